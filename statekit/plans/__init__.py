@@ -1,4 +1,4 @@
 """The registered queries, each next to the SQL that must give the same rows."""
 
-from statekit.plans import log, routing  # noqa: F401
+from statekit.plans import log, reshape, routing, tiering  # noqa: F401
 from statekit.plans.registry import REGISTRY  # noqa: F401
