@@ -100,6 +100,48 @@ def fold(changelog: DataFrame) -> DataFrame:
     )
 
 
+def squash(changelog: DataFrame) -> DataFrame:
+    """A shorter log with the same fold: per key at most its last put or delete and one summed merge.
+
+    Suits a micro-batch or an old part of a log that is kept only to be folded later; ``merges``
+    says how many operands a merge row stands for.
+    """
+    writes = changelog.where(F.col("op") != "get")
+    based = chunks.key_max(writes, KEYS, "seq", {"base_seq": F.when(is_base(), F.col("seq"))})
+    merge = F.col("op") == "merge"
+    at_base = F.col("seq") == F.col("base_seq")
+    counts = F.col("merges") if "merges" in changelog.columns else F.lit(1).cast("bigint")
+    kept = (
+        based.where(F.col("base_seq").isNull() | (F.col("seq") >= F.col("base_seq")))
+        .groupBy(*KEYS)
+        .agg(
+            F.max("base_seq").alias("_bs"),
+            F.max(F.when(at_base, F.col("op"))).alias("_op"),
+            F.max(F.when(at_base, F.col("value"))).alias("_v"),
+            F.sum(F.when(merge, F.col("value"))).cast("decimal(28,2)").alias("_mv"),
+            F.sum(F.when(merge, counts)).alias("_mn"),
+            F.max(F.when(merge, F.col("seq"))).alias("_ms"),
+        )
+    )
+    base = F.struct(
+        F.col("_op").alias("op"), F.col("_v").cast("decimal(28,2)").alias("value"), F.col("_bs").alias("seq"), F.lit(0).cast("bigint").alias("merges")
+    )
+    tail = F.struct(
+        F.lit("merge").alias("op"), F.col("_mv").alias("value"), F.col("_ms").alias("seq"), F.col("_mn").alias("merges")
+    )
+    rows = F.filter(F.array(base, tail), lambda r: r["seq"].isNotNull())
+    return kept.select(*KEYS, F.inline(rows))
+
+
+def fold_squashed(log: DataFrame) -> DataFrame:
+    """Fold a union of squashed logs; equal to folding the logs they came from."""
+    return (
+        after_base(log)
+        .groupBy(*KEYS)
+        .agg(F.sum("value").alias("value"), F.sum("merges").alias("merges"), F.max("seq").alias("seq"))
+    )
+
+
 def fold_set(changelog: DataFrame, element: Column) -> DataFrame:
     """Set-union merge in long form: one row per key and element, so no set must fit in a task."""
     return after_base(changelog).select(*KEYS, element.alias("element")).distinct()
@@ -229,6 +271,20 @@ def captured(changelog: DataFrame, manifest_seq_hi: Column | int) -> DataFrame:
     return upto(changelog, manifest_seq_hi)
 
 
+def newer_checkpoint(checkpoints: DataFrame, least: int) -> DataFrame:
+    """Per checkpoint ``(checkpoint_id, db_id, i)``: the first newer one from ``least`` on, and the newest.
+
+    The order is reversed so that "next" is "previous"; a database with very many checkpoints is
+    cut into chunks like any other hot key.
+    """
+    back = checkpoints.select("checkpoint_id", "db_id", "i", (-F.col("i")).alias("_back"))
+    ahead = chunks.previous(
+        back, ["db_id"], "_back", {"next_i": F.when(F.col("i") >= least, F.col("i"))}, few_keys=True
+    )
+    newest = checkpoints.groupBy("db_id").agg(F.max("i").alias("newest_i"))
+    return ahead.join(newest, "db_id").select("checkpoint_id", "i", "next_i", "newest_i")
+
+
 def live_keys_at(changelog: DataFrame, checkpoints: DataFrame, every: int) -> DataFrame:
     """Live keys at each of the regular checkpoints ``(checkpoint_id, i, seq_hi)``, in one pass.
 

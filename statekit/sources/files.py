@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statekit.functions import routing as r
+
 CODECS = {"None": "none", "Snappy": "snappy", "Zlib": "gzip", "Lz4": "lz4_raw", "Zstd": "zstd"}  # fixed values
 
 
@@ -68,10 +70,18 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def file_rows(df: DataFrame, key: str) -> DataFrame:
+def file_rows(df: DataFrame, key: str, *by: str) -> DataFrame:
     """Inventory with contents: rows and key range of every file that a scan reads."""
     return df.groupBy(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")
+        *by, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")
     ).agg(
         F.count(F.lit(1)).alias("rows"), F.min(key).alias("min_key"), F.max(key).alias("max_key")
     )
+
+
+def group_range(rows: DataFrame, lo: int, hi: int, groups: int = r.GROUPS, shards: int = r.SHARDS) -> DataFrame:
+    """Rows of an inclusive group range: whole shards are pruned by partition, the edges by row group."""
+    per = groups // shards
+    return rows.where(
+        F.col("shard").between(lo // per, hi // per) & F.col("key_group").between(lo, hi)
+    )
