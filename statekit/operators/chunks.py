@@ -51,26 +51,30 @@ def hot_keys(df: DataFrame, keys: list[str], seq: str, spec: ChunkSpec) -> DataF
 
 
 def chunk_of(seq: str, spec: ChunkSpec) -> Column:
-    return F.floor(F.col(seq) / F.lit(spec.width)).cast("bigint")
+    """Integer division, which keeps the order of any BIGINT (the chunk around zero is twice as wide)."""
+    return F.expr(f"`{seq}` div {spec.width}")
 
 
 def chunked(
     df: DataFrame, keys: list[str], seq: str, few_keys: bool = False, spec: ChunkSpec | None = None
-) -> DataFrame:
-    """Add ``_chunk``: null for ordinary keys, ``seq // width`` for hot ones.
+) -> tuple[DataFrame, DataFrame]:
+    """(all rows, rows of hot keys), both with ``_chunk``: null for ordinary keys, else ``seq div width``.
 
     ``few_keys`` says that the key has so few values that all of them are hot (a metric series,
     a database), which saves the look for hot keys. An empty key list means one global sequence.
+
+    The rows of hot keys come from an inner join with the same broadcast, so when no key is hot,
+    adaptive execution drops that branch and every join with it before it reads anything.
     """
     spec = spec or ChunkSpec.of(df.sparkSession)
     if few_keys or not keys:
-        return df.withColumn(CHUNK, chunk_of(seq, spec))
-    hot = hot_keys(df, keys, seq, spec).withColumn("_hot", F.lit(True))
-    return (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn(CHUNK, F.when(F.col("_hot"), chunk_of(seq, spec)))
-        .drop("_hot")
-    )
+        rows = df.withColumn(CHUNK, chunk_of(seq, spec))
+        return rows, rows
+    hot = F.broadcast(hot_keys(df, keys, seq, spec).withColumn("_hot", F.lit(True)))
+    flagged = df.join(hot, keys, "left")
+    rows = flagged.withColumn(CHUNK, F.when(F.col("_hot"), chunk_of(seq, spec))).drop("_hot")
+    only_hot = df.join(hot, keys).withColumn(CHUNK, chunk_of(seq, spec)).drop("_hot")
+    return rows, only_hot
 
 
 def within(keys: list[str], *order: str) -> WindowSpec:
@@ -80,7 +84,7 @@ def within(keys: list[str], *order: str) -> WindowSpec:
 
 
 def carry(
-    rows: DataFrame,
+    hot: DataFrame,
     keys: list[str],
     per_chunk: dict[str, Column],
     across: Callable[[WindowSpec], dict[str, Column]],
@@ -90,9 +94,7 @@ def carry(
     ``per_chunk`` aggregates a chunk (with map-side combine); ``across`` gets the window over all
     earlier chunks of the key, which is sorted in one task: at most seq range / width rows.
     """
-    summary = rows.where(F.col(CHUNK).isNotNull()).groupBy(*keys, CHUNK).agg(
-        *[c.alias(n) for n, c in per_chunk.items()]
-    )
+    summary = hot.groupBy(*keys, CHUNK).agg(*[c.alias(n) for n, c in per_chunk.items()])
     earlier = (
         Window.partitionBy(*(keys or [F.lit(0)]))
         .orderBy(CHUNK)
@@ -114,11 +116,11 @@ def running_sum(
     spec: ChunkSpec | None = None,
 ) -> DataFrame:
     """Add inclusive running sums per key in ``seq`` order; nulls count as nothing."""
-    rows = chunked(df, keys, seq, few_keys, spec)
+    rows, hot = chunked(df, keys, seq, few_keys, spec)
     upto = within(keys, seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()])
     before = carry(
-        rows,
+        hot,
         keys,
         {f"_t_{n}": F.sum(c) for n, c in sums.items()},
         lambda w: {f"_c_{n}": F.sum(f"_t_{n}").over(w) for n in sums},
@@ -143,7 +145,7 @@ def previous(
 
     ``tie`` is a second order column for rows that share ``seq`` on purpose.
     """
-    rows = chunked(df, keys, seq, few_keys, spec)
+    rows, hot = chunked(df, keys, seq, few_keys, spec)
     order = [seq] + ([tie] if tie else [])
     before = within(keys, *order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.select(
@@ -151,7 +153,7 @@ def previous(
     )
     at = F.struct(*order) if tie else F.col(seq)
     handed = carry(
-        rows,
+        hot,
         keys,
         {f"_t_{n}": F.max_by(c, F.when(c.isNotNull(), at)) for n, c in values.items()},
         lambda w: {f"_c_{n}": F.last(f"_t_{n}", ignorenulls=True).over(w) for n in values},
@@ -169,11 +171,11 @@ def earlier_max(
     spec: ChunkSpec | None = None,
 ) -> DataFrame:
     """Add the maximum of each value over all rows strictly before, per key (or over all rows)."""
-    rows = chunked(df, keys, seq, few_keys, spec)
+    rows, hot = chunked(df, keys, seq, few_keys, spec)
     before = within(keys, seq).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.select("*", *[F.max(c).over(before).alias(n) for n, c in values.items()])
     handed = carry(
-        rows,
+        hot,
         keys,
         {f"_t_{n}": F.max(c) for n, c in values.items()},
         lambda w: {f"_c_{n}": F.max(f"_t_{n}").over(w) for n in values},
@@ -190,11 +192,9 @@ def key_max(
     spec: ChunkSpec | None = None,
 ) -> DataFrame:
     """Add the maximum of each value over all rows of the key."""
-    rows = chunked(df, keys, seq, spec=spec)
+    rows, hot = chunked(df, keys, seq, spec=spec)
     local = rows.select("*", *[F.max(c).over(within(keys)).alias(n) for n, c in values.items()])
-    summary = rows.where(F.col(CHUNK).isNotNull()).groupBy(*keys, CHUNK).agg(
-        *[F.max(c).alias(f"_t_{n}") for n, c in values.items()]
-    )
+    summary = hot.groupBy(*keys, CHUNK).agg(*[F.max(c).alias(f"_t_{n}") for n, c in values.items()])
     whole = Window.partitionBy(*keys)
     handed = summary.select(
         *keys, CHUNK, *[F.max(f"_t_{n}").over(whole).alias(f"_c_{n}") for n in values]

@@ -16,18 +16,18 @@ FATAL = ["Closed", "Data", "Internal"]  # fixed values
 
 
 def series(labels: Column | str) -> Column:
-    """A map as sorted text: maps can be neither grouped nor compared."""
-    entries = F.array_sort(F.map_entries(labels))
-    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    """A map as JSON text with sorted keys: maps can be neither grouped nor compared."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
 
 
 def metric_catalog(metrics: DataFrame) -> DataFrame:
-    """Per metric: kind, label keys, number of series, and its largest value as a sample."""
-    per_series = metrics.groupBy("name", "kind", series("labels").alias("_s")).agg(
-        F.max("value").alias("_v"), F.first(F.map_keys("labels")).alias("_keys")
-    )
-    # One row per series from here on; label keys are few by nature.
-    keys = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_keys")))), ",")
+    """Per metric: kind, label keys, number of series, and its largest value as a sample.
+
+    Rows shrink to one per series by a hash aggregation; only then are label keys looked at.
+    """
+    per_series = metrics.groupBy("name", "kind", series("labels").alias("_s")).agg(F.max("value").alias("_v"))
+    labels = F.map_keys(F.from_json("_s", "map<string,string>"))
+    keys = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(labels)))), ",")
     return per_series.groupBy("name", "kind").agg(
         keys.alias("label_keys"), F.count(F.lit(1)).alias("series"), F.max("_v").alias("sample")
     )

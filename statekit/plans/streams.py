@@ -18,20 +18,31 @@ DAY = 24 * 3600 * 1000
 COUNTS = "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events GROUP BY 1"
 
 
-def staged(spark, sf_dir, parts=PARTS, columns=("key", "seq", "ts")):
-    """The events as a folder of files in order, with their schema."""
-    e = t.events(spark, sf_dir).select(*columns)
-    path = session.work_path(spark, "source")
-    runs.stage_all(e, path, "seq", parts)
-    return path, e.schema
+def own_session(spark, sf_dir, factor=1.0):
+    rows = t.table(spark, sf_dir, "events").count()
+    return runs.stream_session(spark, max(1, int(runs.state_partitions(spark, rows) * factor)))
+
+
+def event_stream(spark, own, sf_dir, parts=PARTS, ordered=False):
+    """The events as a stream of about ``parts`` batches.
+
+    A table of many files is streamed where it lies. One of few files, or one that has to arrive in
+    order, is first written to a folder in ``parts`` pieces.
+    """
+    stored = f"{sf_dir}/events.parquet"
+    raw = t.table(spark, sf_dir, "events")
+    per_batch = None if ordered else runs.in_place(spark, stored, parts)
+    if per_batch is None:
+        stored, per_batch = session.work_path(spark, "source"), 1
+        runs.stage_all(raw, stored, "event_id", parts)
+    return t.as_events(runs.replayable(own, stored, raw.schema, per_batch))
 
 
 @query(COUNTS)
 def stream_count(spark, sf_dir):
-    own = runs.stream_session(spark)
-    path, schema = staged(spark, sf_dir)
+    own = own_session(spark, sf_dir)
     out, ckpt = session.work_path(spark, "out"), session.work_path(spark, "ckpt")
-    counts = state.counter(runs.replayable(own, path, schema, per_batch=2))
+    counts = state.counter(event_stream(spark, own, sf_dir, 3))
     runs.drain(runs.start(counts, ckpt, runs.batch_writer(out)))
     return runs.newest_batch(spark, out, ["key"], ["n"])
 
@@ -39,13 +50,11 @@ def stream_count(spark, sf_dir):
 @query(COUNTS)
 def stream_recovery(spark, sf_dir):
     """A failure after batch 3 was written but not committed; the restart repeats that batch only."""
-    own = runs.stream_session(spark)
-    path, schema = staged(spark, sf_dir)
+    own = own_session(spark, sf_dir)
     out, ckpt = session.work_path(spark, "out"), session.work_path(spark, "ckpt")
     write = runs.failing_after(runs.batch_writer(out), 3)
-    runs.with_restarts(
-        lambda: runs.start(state.counter(runs.replayable(own, path, schema, per_batch=1)), ckpt, write)
-    )
+    counts = state.counter(event_stream(spark, own, sf_dir))
+    runs.with_restarts(lambda: runs.start(counts, ckpt, write))
     return runs.newest_batch(spark, out, ["key"], ["n"])
 
 
@@ -62,8 +71,8 @@ def third(spark, sf_dir, index, path, as_counts):
 def stream_rescale(spark, sf_dir):
     """State partitions doubled, then cut to a quarter: the state of a drained run is the first input of the next."""
     held = None
-    for i, partitions in enumerate(runs.widths(spark)):
-        own = runs.stream_session(spark, partitions)
+    for i, factor in enumerate((1, 2, 0.5)):
+        own = own_session(spark, sf_dir, factor)
         path, ckpt = session.work_path(spark, "source"), session.work_path(spark, "ckpt")
         if held is not None:
             seed = held.select(F.col("key.key").alias("key"), F.col("value.sum").alias("n"), F.lit(-1).cast("bigint").alias("seq"))
@@ -79,8 +88,8 @@ def stream_rescale(spark, sf_dir):
 def stream_rescale_savepoint(spark, sf_dir):
     """The same chain with operator-owned state, handed on as the initial state of the next run."""
     held = None
-    for i, partitions in enumerate(runs.widths(spark)):
-        own = runs.stream_session(spark, partitions)
+    for i, factor in enumerate((1, 2, 0.5)):
+        own = own_session(spark, sf_dir, factor)
         path, ckpt = session.work_path(spark, "source"), session.work_path(spark, "ckpt")
         schema = third(spark, sf_dir, i, path, as_counts=False)
         seed = None if held is None else own.read.schema(held.schema).parquet(saved)
@@ -99,7 +108,7 @@ SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events, cut
 WHERE event_id < lo + (hi - lo + 2) // 2 GROUP BY 1""")
 def stream_barrier(spark, sf_dir):
     """State as of a barrier: the batch that drained the first half, read after the second half is in."""
-    own = runs.stream_session(spark)
+    own = own_session(spark, sf_dir)
     e = t.events(spark, sf_dir).select("key", "seq", "ts")
     path, ckpt = session.work_path(spark, "source"), session.work_path(spark, "ckpt")
     barrier = None
@@ -115,10 +124,9 @@ def stream_barrier(spark, sf_dir):
 @query(COUNTS)
 def query_state(spark, sf_dir):
     """The counter state that a finished query left behind."""
-    own = runs.stream_session(spark)
-    path, schema = staged(spark, sf_dir, 2)
+    own = own_session(spark, sf_dir)
     ckpt = session.work_path(spark, "ckpt")
-    counts = state.counter(runs.replayable(own, path, schema))
+    counts = state.counter(event_stream(spark, own, sf_dir, 2))
     runs.drain(runs.start(counts, ckpt, runs.batch_writer(session.work_path(spark, "out"))))
     held = runs.state_of(spark, ckpt)
     return held.select(F.col("key.key").alias("key"), F.col("value.count").alias("n"))
@@ -127,10 +135,9 @@ def query_state(spark, sf_dir):
 @query(COUNTS)
 def state_change_feed(spark, sf_dir):
     """Changes of the counter state over all batches; the last of each key is its count."""
-    own = runs.stream_session(spark)
-    path, schema = staged(spark, sf_dir, 3)
+    own = own_session(spark, sf_dir)
     ckpt = session.work_path(spark, "ckpt")
-    counts = state.counter(runs.replayable(own, path, schema, per_batch=1))
+    counts = state.counter(event_stream(spark, own, sf_dir, 3))
     runs.drain(runs.start(counts, ckpt, runs.batch_writer(session.work_path(spark, "out"))))
     feed = runs.state_changes(spark, ckpt, 0)
     return feed.groupBy(F.col("key.key").alias("key")).agg(
@@ -141,10 +148,9 @@ def state_change_feed(spark, sf_dir):
 @query(COUNTS)
 def stream_tiering(spark, sf_dir):
     """Counts kept through demotion after a day without a touch, and promotion by the next one."""
-    own = runs.stream_session(spark)
-    path, schema = staged(spark, sf_dir)
+    own = own_session(spark, sf_dir)
     out, ckpt = session.work_path(spark, "out"), session.work_path(spark, "ckpt")
-    trail = state.tiers(state.combine(runs.replayable(own, path, schema, per_batch=1)), DAY)
+    trail = state.tiers(state.combine(event_stream(spark, own, sf_dir, ordered=True)), DAY)
     runs.drain(runs.start(trail, ckpt, runs.batch_writer(out)))
     return spark.read.parquet(out).groupBy("key").agg(F.max("n").alias("n"))
 
@@ -159,7 +165,7 @@ FROM c WHERE new > 0""")
 def stream_ttl(spark, sf_dir):
     """State with a TTL of 1.5 s is gone when the second half arrives; the control state is not."""
     ttl_ms = 1500
-    own = runs.stream_session(spark)
+    own = own_session(spark, sf_dir)
     e = t.events(spark, sf_dir).select("key", "seq", "ts")
     path, ckpt = session.work_path(spark, "source"), session.work_path(spark, "ckpt")
     for lo, hi in runs.cuts(e, "seq", 2):
@@ -174,7 +180,7 @@ def stream_ttl(spark, sf_dir):
 @query("SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq FROM events")
 def stream_dedupe(spark, sf_dir):
     """Every part of the log delivered twice: each record comes out once."""
-    own = runs.stream_session(spark)
+    own = own_session(spark, sf_dir)
     e = t.events(spark, sf_dir).select("key", "seq", "ts")
     path, out = session.work_path(spark, "source"), session.work_path(spark, "out")
     for lo, hi in runs.cuts(e, "seq", 3):
@@ -189,15 +195,14 @@ def stream_dedupe(spark, sf_dir):
 FROM events LEFT JOIN customer ON user_id = c_custkey""")
 def stream_enrich(spark, sf_dir):
     """Events joined with the customer table as they arrive."""
-    own = runs.stream_session(spark)
-    path, schema = staged(spark, sf_dir, 3, ("key", "seq"))
+    own = own_session(spark, sf_dir)
     out = session.work_path(spark, "out")
     customers = t.table(own, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("key"),
         F.col("c_name").alias("name"),
         F.col("c_mktsegment").alias("segment"),
     )
-    rows = state.enrich(runs.replayable(own, path, schema, per_batch=1), customers, "key")
+    rows = state.enrich(event_stream(spark, own, sf_dir, 3).select("key", "seq"), customers, "key")
     runs.drain(runs.start(rows, session.work_path(spark, "ckpt"), runs.batch_writer(out), mode="append"))
     return spark.read.parquet(out).select("seq", "key", "name", "segment")
 
@@ -205,11 +210,9 @@ def stream_enrich(spark, sf_dir):
 @query(f"WITH {LOG}, {BASED} {FOLDED}")
 def stream_fold(spark, sf_dir):
     """Merge operands folded as they arrive: every batch is squashed, the rest is folded on reading."""
-    own = runs.stream_session(spark)
-    ops = t.op_log(spark, sf_dir).select("db_id", "key", "op", "value", "seq")
-    path, out = session.work_path(spark, "source"), session.work_path(spark, "out")
-    runs.stage_all(ops, path, "seq", 4)
-    stream = runs.replayable(own, path, ops.schema, per_batch=1)
+    own = own_session(spark, sf_dir)
+    out = session.work_path(spark, "out")
+    stream = t.as_op_log(event_stream(spark, own, sf_dir, 4))
     write = runs.batch_writer(out, log.squash)
     runs.drain(runs.start(stream, session.work_path(spark, "ckpt"), write, mode="append"))
     return dbl(log.fold_squashed(spark.read.parquet(out).drop("batch")))
@@ -219,8 +222,7 @@ def stream_fold(spark, sf_dir):
   max(ts) + INTERVAL 1 DAY > {NOW} AS in_hot FROM events GROUP BY 1""")
 def stream_write_through(spark, sf_dir):
     """Every batch goes to a cold table with all keys and a hot table with recent ones."""
-    own = runs.stream_session(spark)
-    path, schema = staged(spark, sf_dir, 3)
+    own = own_session(spark, sf_dir)
     cold, hot = session.work_path(spark, "cold"), session.work_path(spark, "hot")
     recent = F.col("ts") + F.expr("INTERVAL '1' DAY") > t.now()
 
@@ -230,7 +232,7 @@ def stream_write_through(spark, sf_dir):
         runs.batch_writer(cold)(newest, batch_id)
         runs.batch_writer(hot)(newest.where(recent), batch_id)
 
-    stream = runs.replayable(own, path, schema, per_batch=1)
+    stream = event_stream(spark, own, sf_dir, 3)
     runs.drain(runs.start(stream, session.work_path(spark, "ckpt"), both, mode="append"))
     all_keys = spark.read.parquet(cold).groupBy("key").agg(F.sum("n").alias("n"), F.max("seq").alias("seq"))
     hot_keys = spark.read.parquet(hot).select("key").distinct().withColumn("in_hot", F.lit(True))
@@ -242,9 +244,8 @@ UNION ALL SELECT 'state_rows', CAST(count(DISTINCT user_id) AS DOUBLE) FROM even
 UNION ALL SELECT 'late_rows', CAST(0 AS DOUBLE)""")
 def stream_metrics(spark, sf_dir):
     """Progress reports as a metrics table: rows read, rows in the state at the end, late rows."""
-    own = runs.stream_session(spark)
-    path, schema = staged(spark, sf_dir)
-    counts = state.counter(runs.replayable(own, path, schema, per_batch=1))
+    own = own_session(spark, sf_dir)
+    counts = state.counter(event_stream(spark, own, sf_dir))
     q = runs.start(counts, session.work_path(spark, "ckpt"), runs.batch_writer(session.work_path(spark, "out")))
     rows = runs.progress_metrics(spark, runs.drain(q))
     last = F.max_by("value", F.col("labels")["batch"].cast("bigint"))

@@ -23,9 +23,9 @@ def row_count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as keyed rows ``(key, seq, ts, event_type, value, props)``."""
-    return table(spark, sf_dir, "events").select(
+def as_events(df: DataFrame) -> DataFrame:
+    """Event rows, batch or stream, as keyed rows ``(key, seq, ts, event_type, value, props)``."""
+    return df.select(
         F.col("user_id").cast("string").alias("key"),
         F.col("event_id").alias("seq"),
         "ts",
@@ -35,6 +35,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_events(table(spark, sf_dir, "events"))
+
+
 def op_of(event_type: Column) -> Column:
     return (
         F.when(event_type == "signup", "put")
@@ -45,11 +49,14 @@ def op_of(event_type: Column) -> Column:
 
 
 def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_op_log(events(spark, sf_dir))
+
+
+def as_op_log(e: DataFrame) -> DataFrame:
     """Change log over the events: signup puts, error deletes, view reads, the rest merges.
 
     Keys of users divisible by three expire after seven days.
     """
-    e = events(spark, sf_dir)
     expires = F.pmod(F.col("key").cast("bigint"), F.lit(3)) == 0
     return e.select(
         F.lit("events").alias("db_id"),

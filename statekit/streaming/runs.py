@@ -17,15 +17,20 @@ from pyspark.sql.streaming.query import StreamingQuery
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+def state_partitions(spark: SparkSession, rows: int, per_partition: int = 1 << 21) -> int:
+    """State partitions for a stream of about so many rows: between two and four per core."""
+    most = 4 * max(spark.sparkContext.defaultParallelism, 1)
+    return max(2, min(rows // per_partition, most))
+
+
+def stream_session(spark: SparkSession, partitions: int) -> SparkSession:
     """A session of the same application with its own settings for stateful queries.
 
-    The number of state partitions is fixed by a query's first batch; by default one per core.
+    The number of state partitions is fixed by a query's first batch.
     """
     own = spark.newSession()
-    cores = spark.sparkContext.defaultParallelism
     for name, value in {
-        "spark.sql.shuffle.partitions": str(partitions or max(cores, 1)),
+        "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
@@ -38,12 +43,6 @@ def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkS
     return own
 
 
-def widths(spark: SparkSession) -> tuple[int, int, int]:
-    """State partitions of a rescale chain around the cluster's size: as many as cores, twice, half."""
-    cores = max(spark.sparkContext.defaultParallelism, 2)
-    return cores, cores * 2, cores // 2
-
-
 def stage(df: DataFrame, path: str, seq: str, lo: int, hi: int) -> None:
     """Append the rows with ``lo <= seq < hi`` to a source folder; later calls give later files."""
     df.where((F.col(seq) >= lo) & (F.col(seq) < hi)).write.mode("append").parquet(path)
@@ -71,6 +70,13 @@ def replayable(spark: SparkSession, path: str, schema, per_batch: int | None = N
     return reader.parquet(path)
 
 
+def in_place(spark: SparkSession, path: str, parts: int) -> int | None:
+    """Files per batch for reading a stored table as a stream of ``parts`` batches, or None if it has
+    fewer files than that and must be staged first."""
+    files = len(spark.read.parquet(path).inputFiles())
+    return -(-files // parts) if files >= parts else None
+
+
 def event_time(stream: DataFrame, ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
     """Watermark on an event time; a time without zone is read in the session zone (UTC)."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)

@@ -63,7 +63,9 @@ def test_only_large_keys_are_hot(spark):
     data = [("hot", i, 1) for i in range(1000)] + [(f"k{i}", i, 1) for i in range(1000)]
     df = spark.createDataFrame(data, "k string, seq long, v int")
     assert [r.k for r in chunks.hot_keys(df, ["k"], "seq", ChunkSpec(100, 1)).collect()] == ["hot"]
-    cut = chunks.chunked(df, ["k"], "seq", spec=ChunkSpec(100, 1)).groupBy("k", chunks.CHUNK).count()
+    everything, only_hot = chunks.chunked(df, ["k"], "seq", spec=ChunkSpec(100, 1))
+    assert only_hot.count() == 1000 and only_hot.where("k <> 'hot'").isEmpty()
+    cut = everything.groupBy("k", chunks.CHUNK).count()
     sizes = {(r.k, r[chunks.CHUNK]): r["count"] for r in cut.collect()}
     assert max(sizes.values()) == 100 and len([k for k in sizes if k[0] == "hot"]) == 10
     assert sizes[("k7", None)] == 1
