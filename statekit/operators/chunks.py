@@ -13,7 +13,7 @@ Which keys count as hot changes the layout only, never the result.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -68,7 +68,8 @@ def chunked(
     """
     spec = spec or ChunkSpec.of(df.sparkSession)
     if few_keys or not keys:
-        rows = df.withColumn(CHUNK, chunk_of(seq, spec))
+        # The chunks are the only parallelism here, so they are narrower than those of single hot keys.
+        rows = df.withColumn(CHUNK, chunk_of(seq, replace(spec, width=max(1, spec.width // 16))))
         return rows, rows
     hot = F.broadcast(hot_keys(df, keys, seq, spec).withColumn("_hot", F.lit(True)))
     flagged = df.join(hot, keys, "left")
@@ -137,29 +138,46 @@ def previous(
     keys: list[str],
     seq: str,
     values: dict[str, Column],
+    when: Column | None = None,
     tie: str | None = None,
     few_keys: bool = False,
     spec: ChunkSpec | None = None,
 ) -> DataFrame:
-    """Add, for every row, the last non-null of each value strictly before it in the key's order.
+    """Add values of an earlier row of the key, strictly before the row itself.
 
-    ``tie`` is a second order column for rows that share ``seq`` on purpose.
+    Without ``when``: the last non-null of each value. With it: all values of the last row for which
+    ``when`` holds, nulls included. ``tie`` is a second order column for rows that share ``seq`` on
+    purpose; the rows that give values must not share one.
     """
     rows, hot = chunked(df, keys, seq, few_keys, spec)
-    order = [seq] + ([tie] if tie else [])
-    before = within(keys, *order).rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.select(
-        "*", *[F.last(c, ignorenulls=True).over(before).alias(n) for n, c in values.items()]
+    before = within(keys, *([seq, tie] if tie else [seq])).rowsBetween(Window.unboundedPreceding, -1)
+    if when is None:
+        local = rows.select(
+            "*", *[F.last(c, ignorenulls=True).over(before).alias(n) for n, c in values.items()]
+        )
+        handed = carry(
+            hot,
+            keys,
+            {f"_t_{n}": F.max_by(c, F.when(c.isNotNull(), F.col(seq))) for n, c in values.items()},
+            lambda w: {f"_c_{n}": F.last(f"_t_{n}", ignorenulls=True).over(w) for n in values},
+        )
+        out = attach(local, handed, keys)
+        return out.select(*df.columns, *[F.coalesce(n, f"_c_{n}").alias(n) for n in values])
+    row = F.when(when, F.struct(*[c.alias(n) for n, c in values.items()]))
+    local = rows.select("*", F.last(row, ignorenulls=True).over(before).alias("_l"))
+    # One max_by per value instead of one over a struct keeps the aggregation in the hash path.
+    at = F.when(when, F.col(seq))
+    whole = F.when(
+        F.col("_t_at").isNotNull(), F.struct(*[F.col(f"_t_{n}").alias(n) for n in values])
     )
-    at = F.struct(*order) if tie else F.col(seq)
     handed = carry(
         hot,
         keys,
-        {f"_t_{n}": F.max_by(c, F.when(c.isNotNull(), at)) for n, c in values.items()},
-        lambda w: {f"_c_{n}": F.last(f"_t_{n}", ignorenulls=True).over(w) for n in values},
+        {"_t_at": F.max(at), **{f"_t_{n}": F.max_by(c, at) for n, c in values.items()}},
+        lambda w: {"_c": F.last(whole, ignorenulls=True).over(w)},
     )
-    out = attach(local, handed, keys)
-    return out.select(*df.columns, *[F.coalesce(n, f"_c_{n}").alias(n) for n in values])
+    out = attach(local, handed, keys).withColumn("_r", F.coalesce("_l", "_c"))
+    return out.select(*df.columns, *[F.col("_r")[n].alias(n) for n in values])
 
 
 def earlier_max(

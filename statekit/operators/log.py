@@ -7,6 +7,9 @@ is unique.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,6 +145,55 @@ def fold_squashed(log: DataFrame) -> DataFrame:
     )
 
 
+def fold_with(changelog: DataFrame, fold: Callable[[pd.Series], float], salts: int = 256) -> DataFrame:
+    """User-defined merge of the values that still count; ``fold`` must be associative and commutative.
+
+    Folded three times: per Arrow batch, per key and salt, per key. A hot key thus reaches its last
+    group as at most ``salts`` rows. Use :func:`fold` where a built-in sum will do.
+    """
+    schema = "db_id string, key string, value double"
+
+    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.groupby(["db_id", "key"], sort=False)["value"].agg(fold).reset_index()
+
+    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[:1][["db_id", "key"]].copy()
+        one["value"] = float(fold(pdf["value"]))
+        return one
+
+    rows = after_base(changelog).select(*KEYS, F.col("value").cast("double").alias("value"))
+    partial = rows.mapInPandas(per_batch, schema)
+    salted = partial.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    return (
+        salted.groupBy(*KEYS, "_salt")
+        .applyInPandas(lambda pdf: per_group(pdf), schema)
+        .groupBy(*KEYS)
+        .applyInPandas(lambda pdf: per_group(pdf), schema)
+    )
+
+
+def newest_first(rows: DataFrame, level: str) -> DataFrame:
+    """First hit over layers: the lowest ``level`` (0 = newest layer) wins, then the highest ``seq``."""
+    per_level = (
+        rows.where(is_base())
+        .groupBy(*KEYS, level)
+        .agg(
+            F.max_by(F.col("op") == "put", "seq").alias("_live"),
+            F.max_by("value", "seq").alias("_value"),
+            F.max("seq").alias("_seq"),
+        )
+    )
+    newest = -F.col(level)
+    won = per_level.groupBy(*KEYS).agg(
+        F.max_by("_live", newest).alias("_live"),
+        F.max_by("_value", newest).alias("value"),
+        F.max_by("_seq", newest).alias("seq"),
+        F.min(level).alias(level),
+    )
+    return won.where("_live").drop("_live")
+
+
 def fold_set(changelog: DataFrame, element: Column) -> DataFrame:
     """Set-union merge in long form: one row per key and element, so no set must fit in a task."""
     return after_base(changelog).select(*KEYS, element.alias("element")).distinct()
@@ -164,10 +216,10 @@ def fold_into(state: DataFrame, delta: DataFrame) -> DataFrame:
 
 def read_your_writes(oplog: DataFrame) -> DataFrame:
     """Answer every ``get`` of a log with the last put before it: null after a delete or if never written."""
-    write = F.when(is_base(), F.struct("op", "value"))
-    seen = chunks.previous(oplog, KEYS, "seq", {"_w": write})
+    last = {"_put": F.col("op") == "put", "_value": F.col("value")}
+    seen = chunks.previous(oplog, KEYS, "seq", last, when=is_base())
     return seen.where(F.col("op") == "get").select(
-        *KEYS, "seq", F.when(F.col("_w.op") == "put", F.col("_w.value")).alias("value")
+        *KEYS, "seq", F.when(F.col("_put"), F.col("_value")).alias("value")
     )
 
 
@@ -176,26 +228,32 @@ def running_count(df: DataFrame, keys: list[str], seq: str = "seq", out: str = "
     return chunks.running_sum(df, keys, seq, {out: F.lit(1).cast("bigint")})
 
 
-def asof_read(lookups: DataFrame, changelog: DataFrame, at: str = "at_seq") -> DataFrame:
+def asof_read(
+    lookups: DataFrame, changelog: DataFrame, at: str = "at_seq", unique: bool = False
+) -> DataFrame:
     """Value of a key as of a log position, per lookup row ``(db_id, key, at_seq, ...)``.
 
-    Equal lookups are answered once, so that many lookups of one key at one position cannot
-    crowd a task; the answers are then joined back.
+    ``unique`` promises that no two lookups ask for the same key and position; they then travel
+    through one shuffle together with the log. Otherwise equal lookups are answered once, so that
+    many of them on one key at one position cannot crowd a task, and the answers are joined back.
     """
-    asked = lookups.select(*KEYS, F.col(at).alias("seq")).distinct()
-    marks = asked.select(*KEYS, "seq", F.lit(1).alias("_side"), F.lit(None).cast("string").alias("op"))
-    writes = changelog.where(is_base()).select(*KEYS, "seq", F.lit(0).alias("_side"), "op", "value")
+    asked = lookups if unique else lookups.select(*KEYS, at).distinct()
+    others = [c for c in asked.columns if c not in (*KEYS, at)]
+    marks = asked.select(*KEYS, F.col(at).alias("seq"), F.lit(1).alias("_side"), *others)
+    writes = changelog.where(is_base()).select(
+        *KEYS, "seq", F.lit(0).alias("_side"), (F.col("op") == "put").alias("_live"), F.col("value").alias("_val")
+    )
     both = writes.unionByName(marks, allowMissingColumns=True)
-    write = F.when(F.col("_side") == 0, F.struct("op", "value", "seq"))
-    seen = chunks.previous(both, KEYS, "seq", {"_w": write}, tie="_side").where("_side = 1")
-    live = F.col("_w.op") == "put"
+    last = {"_put": F.col("_live"), "_value": F.col("_val"), "_at": F.col("seq")}
+    seen = chunks.previous(both, KEYS, "seq", last, when=F.col("_side") == 0, tie="_side").where("_side = 1")
     answers = seen.select(
         *KEYS,
         F.col("seq").alias(at),
-        F.when(live, F.col("_w.value")).alias("value"),
-        F.when(live, F.col("_w.seq")).alias("value_seq"),
+        *others,
+        F.when(F.col("_put"), F.col("_value")).alias("value"),
+        F.when(F.col("_put"), F.col("_at")).alias("value_seq"),
     )
-    return lookups.join(answers, [*KEYS, at], "left")
+    return answers if unique else lookups.join(answers, [*KEYS, at], "left")
 
 
 def fence(changelog: DataFrame, max_epochs: int = 100_000) -> DataFrame:
@@ -292,9 +350,9 @@ def live_keys_at(changelog: DataFrame, checkpoints: DataFrame, every: int) -> Da
     summed per checkpoint interval before they are added up over the checkpoints.
     """
     base = changelog.where(is_base()).select(*KEYS, "seq", "op")
-    was = chunks.previous(base, KEYS, "seq", {"_p": F.col("op")})
     live = (F.col("op") == "put").cast("int")
-    before = F.coalesce((F.col("_p") == "put").cast("int"), F.lit(0))
+    was = chunks.previous(base, KEYS, "seq", {"_p": live})
+    before = F.coalesce("_p", F.lit(0))
     steps = was.groupBy("db_id", F.floor(F.col("seq") / every).cast("bigint").alias("i")).agg(
         F.sum(live - before).alias("_d")
     )

@@ -193,11 +193,11 @@ def write_stall(levels: DataFrame, limit: int) -> DataFrame:
     """Per database: highest L0 count and seconds spent above the limit at which writers pause."""
     counted = chunks.running_sum(levels, ["db_id"], "seq", {"l0": F.col("delta")}, few_keys=True)
     before = chunks.previous(
-        counted, ["db_id"], "seq", {"_p": F.struct("ts", "l0")}, few_keys=True
+        counted, ["db_id"], "seq", {"_ts": F.col("ts"), "_l0": F.col("l0")}, few_keys=True
     )
-    held = F.timestamp_diff("MICROSECOND", "_p.ts", "ts")
+    held = F.timestamp_diff("MICROSECOND", "_ts", "ts")
     return before.groupBy("db_id").agg(
         F.max("l0").alias("max_l0"),
         F.count(F.when(F.col("l0") > limit, 1)).alias("changes_above"),
-        F.coalesce(F.sum(F.when(F.col("_p.l0") > limit, held)), F.lit(0)).alias("us_above"),
+        F.coalesce(F.sum(F.when(F.col("_l0") > limit, held)), F.lit(0)).alias("us_above"),
     )

@@ -85,6 +85,25 @@ def asof_read(spark, sf_dir):
         (F.col("seq") - 500).alias("at_seq"),
         F.col("seq").alias("lookup_id"),
     )
+    return dbl(log.asof_read(lookups, t.op_log(spark, sf_dir), unique=True))
+
+
+@query(f"""WITH {LOG}, base AS (SELECT * FROM log WHERE op IN ('put', 'delete')),
+asked AS (SELECT o_orderkey AS lookup_id, CAST(o_custkey AS VARCHAR) AS key,
+  (SELECT max(event_id) FROM events) // 2 AS at_seq FROM orders)
+SELECT 'events' AS db_id, asked.key, at_seq, lookup_id,
+  CAST(CASE WHEN op = 'put' THEN value END AS DOUBLE) AS value,
+  CASE WHEN op = 'put' THEN seq END AS value_seq
+FROM asked ASOF LEFT JOIN base ON asked.key = base.key AND asked.at_seq >= base.seq""")
+def asof_orders(spark, sf_dir):
+    """For every order: the state of its customer's key at one position; many orders ask the same."""
+    middle = F.floor(t.table(spark, sf_dir, "events").agg(F.max("event_id")).scalar() / 2)
+    lookups = t.table(spark, sf_dir, "orders").select(
+        F.lit("events").alias("db_id"),
+        F.col("o_custkey").cast("string").alias("key"),
+        middle.alias("at_seq"),
+        F.col("o_orderkey").alias("lookup_id"),
+    )
     return dbl(log.asof_read(lookups, t.op_log(spark, sf_dir)))
 
 
@@ -103,6 +122,24 @@ def merge_sum(spark, sf_dir):
     return dbl(log.fold(t.op_log(spark, sf_dir)))
 
 
+@query(f"WITH {LOG}, {BASED} SELECT db_id, key, CAST(max(value) AS DOUBLE) AS value FROM counted GROUP BY 1, 2")
+def merge_custom(spark, sf_dir):
+    """A merge function of the user's own: here the largest operand."""
+    return log.fold_with(t.op_log(spark, sf_dir), lambda values: values.max())
+
+
+@query(f"""WITH {LOG}, {STATE}, l AS (SELECT max(event_id) // 1000 AS g FROM events)
+SELECT db_id, key, CAST(value AS DOUBLE) AS value, seq,
+  CAST(CASE WHEN seq // 1000 = g THEN 0 ELSE 1 END AS INTEGER) AS level FROM state, l""")
+def newest_first_merge(spark, sf_dir):
+    """Newest layer first: the last thousand positions are still unmerged, the rest lies in runs."""
+    last = t.table(spark, sf_dir, "events").agg(F.max("event_id")).scalar()
+    layered = t.op_log(spark, sf_dir).withColumn(
+        "level", F.when(F.floor(F.col("seq") / 1000) == F.floor(last / 1000), 0).otherwise(1)
+    )
+    return dbl(log.newest_first(layered, "level"))
+
+
 @query(f"""WITH {LOG}, {BASED}
 SELECT DISTINCT db_id, key, json_extract_string(props, '$.k') AS element FROM counted""")
 def merge_set(spark, sf_dir):
@@ -270,3 +307,15 @@ def record_rmw(spark, sf_dir):
 SELECT key, row_number() OVER (PARTITION BY key ORDER BY seq) AS pos, tag FROM u""")
 def record_tags(spark, sf_dir):
     return records.record_tags(order_updates(spark, sf_dir))
+
+
+@query("""SELECT event_id AS seq, json_extract_string(props, '$.k') AS k,
+  '{"max_files":' || json_extract_string(props, '$.k') || ',"poll":"' || event_type || '"}' AS settings,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS max_files FROM events""")
+def settings_json(spark, sf_dir):
+    """Settings as JSON, numbers bare and text quoted, written from one document and read again."""
+    k = F.get_json_object("props", "$.k")
+    doc = F.to_json(F.struct(k.cast("bigint").alias("max_files"), F.col("event_type").alias("poll")))
+    rows = t.events(spark, sf_dir).select("seq", k.alias("k"), doc.alias("settings"))
+    back = F.from_json("settings", "max_files bigint, poll string")
+    return rows.withColumn("max_files", back["max_files"])

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from statekit import session
 from statekit.operators import log
-from statekit.plans.log import BASED, FOLDED, NOW, dbl
-from statekit.plans.registry import LOG, query
+from statekit.plans.log import BASED, FOLDED, NOW, ST, dbl
+from statekit.plans.registry import LOG, STATE, query
 from statekit.sources import tables as t
 from statekit.streaming import runs, state
 
@@ -218,6 +218,19 @@ def stream_fold(spark, sf_dir):
     return dbl(log.fold_squashed(spark.read.parquet(out).drop("batch")))
 
 
+@query(f"""WITH {LOG}, {STATE}
+SELECT {ST}, (SELECT max(event_id) FROM events) AS seq_hi FROM state""")
+def stream_checkpoints(spark, sf_dir):
+    """A log written in batches, each pinned by a checkpoint; state at the newest of them."""
+    own = own_session(spark, sf_dir)
+    data, pins = session.work_path(spark, "log"), session.work_path(spark, "pins")
+    stream = t.as_op_log(event_stream(spark, own, sf_dir, 3, ordered=True))
+    write = runs.checkpoint_writer(data, pins, "events")
+    runs.drain(runs.start(stream, session.work_path(spark, "ckpt"), write, mode="append"))
+    seq_hi = spark.read.parquet(pins).agg(F.max_by("seq_hi", "batch")).scalar()
+    return dbl(log.resolve(spark.read.parquet(data), as_of=seq_hi)).withColumn("seq_hi", seq_hi)
+
+
 @query(f"""SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, max(event_id) AS seq,
   max(ts) + INTERVAL 1 DAY > {NOW} AS in_hot FROM events GROUP BY 1""")
 def stream_write_through(spark, sf_dir):

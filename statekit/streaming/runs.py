@@ -124,6 +124,23 @@ def batch_writer(path: str, shape: Callable[[DataFrame], DataFrame] | None = Non
     return write
 
 
+def checkpoint_writer(data: str, checkpoints: str, db_id: str, seq: str = "seq") -> Callable[[DataFrame, int], None]:
+    """Sink that follows every written batch with a checkpoint row ``(checkpoint_id, db_id, seq_hi)``.
+
+    The data goes first: a checkpoint never names rows that are not there.
+    """
+    write, pin = batch_writer(data), batch_writer(checkpoints)
+
+    def both(df: DataFrame, batch_id: int) -> None:
+        write(df, batch_id)
+        row = df.agg(F.max(seq).alias("seq_hi")).select(
+            F.lit(f"chk-{batch_id}").alias("checkpoint_id"), F.lit(db_id).alias("db_id"), "seq_hi"
+        )
+        pin(row, batch_id)
+
+    return both
+
+
 def failing_after(write: Callable[[DataFrame, int], None], batch_id: int) -> Callable[[DataFrame, int], None]:
     """The same sink with one induced failure: after the data of a batch is written, before its commit."""
     armed = [True]

@@ -79,3 +79,13 @@ def test_no_task_gets_the_hot_key_whole(spark):
     for line in physical.splitlines():
         if "Window" in line and "sum(1)" in line:
             assert "_chunk" in line
+
+
+@pytest.mark.parametrize("spec", SPECS)
+def test_previous_row_keeps_its_nulls(spark, spec):
+    data = [("k", i, v) for i, v in enumerate([1, None, None, 4, None])]
+    df = spark.createDataFrame(data, "k string, seq long, v int")
+    even = F.col("seq") % 2 == 0
+    got = chunks.previous(df, ["k"], "seq", {"p": F.col("v"), "at": F.col("seq")}, when=even, spec=spec)
+    rows = sorted((r.seq, r.p, r.at) for r in got.collect())
+    assert rows == [(0, None, None), (1, 1, 0), (2, 1, 0), (3, None, 2), (4, None, 2)]
