@@ -145,32 +145,34 @@ def fold_squashed(log: DataFrame) -> DataFrame:
     )
 
 
-def fold_with(changelog: DataFrame, fold: Callable[[pd.Series], float], salts: int = 256) -> DataFrame:
+def fold_with(changelog: DataFrame, fold: Callable[[pd.Series], float]) -> DataFrame:
     """User-defined merge of the values that still count; ``fold`` must be associative and commutative.
 
-    Folded three times: per Arrow batch, per key and salt, per key. A hot key thus reaches its last
-    group as at most ``salts`` rows. Use :func:`fold` where a built-in sum will do.
+    Folded per Arrow batch before the shuffle, so a hot key travels as a few rows. Behind it the rows
+    come sorted by key and are folded as they stream past, one open key at a time: no group is
+    ever held in memory. Use :func:`fold` where a built-in sum will do.
     """
     schema = "db_id string, key string, value double"
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.groupby(["db_id", "key"], sort=False)["value"].agg(fold).reset_index()
+            yield pdf.groupby(KEYS, sort=False)["value"].agg(fold).reset_index()
 
-    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[:1][["db_id", "key"]].copy()
-        one["value"] = float(fold(pdf["value"]))
-        return one
+    def sorted_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key = None
+        for pdf in batches:
+            if open_key is not None:
+                pdf = pd.concat([open_key, pdf], ignore_index=True)
+            done = pdf.groupby(KEYS, sort=False)["value"].agg(fold).reset_index()
+            # The last key may go on in the next batch.
+            yield done.iloc[:-1]
+            open_key = done.iloc[-1:]
+        if open_key is not None:
+            yield open_key
 
     rows = after_base(changelog).select(*KEYS, F.col("value").cast("double").alias("value"))
     partial = rows.mapInPandas(per_batch, schema)
-    salted = partial.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    return (
-        salted.groupBy(*KEYS, "_salt")
-        .applyInPandas(lambda pdf: per_group(pdf), schema)
-        .groupBy(*KEYS)
-        .applyInPandas(lambda pdf: per_group(pdf), schema)
-    )
+    return partial.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(sorted_stream, schema)
 
 
 def newest_first(rows: DataFrame, level: str) -> DataFrame:

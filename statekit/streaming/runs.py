@@ -17,10 +17,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def state_partitions(spark: SparkSession, rows: int, per_partition: int = 1 << 21) -> int:
-    """State partitions for a stream of about so many rows: between two and four per core."""
-    most = 4 * max(spark.sparkContext.defaultParallelism, 1)
-    return max(2, min(rows // per_partition, most))
+def state_partitions(spark: SparkSession, rows: int, per_partition: int = 1 << 20) -> int:
+    """State partitions for a stream of about so many rows: at least two, at most four per core."""
+    cores = max(spark.sparkContext.defaultParallelism, 1)
+    return max(min(2, cores), min(rows // per_partition, 4 * cores))
 
 
 def stream_session(spark: SparkSession, partitions: int) -> SparkSession:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,39 +27,38 @@ def adder(stream: DataFrame, key: str = "key", n: str = "n") -> DataFrame:
 
 
 def combine(stream: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
-    """Touches ``(key, ts)`` as ``(key, n, first_ts, last_ts)``, one row per key and Arrow batch."""
+    """Touches ``(key, ts)`` as ``(key, n, last_ts, last_ms)``, one row per key and Arrow batch."""
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            grouped = pdf.groupby("key", sort=False)["ts"]
-            out = grouped.agg(n="size", first_ts="min", last_ts="max").reset_index()
-            yield out[["key", "n", "first_ts", "last_ts"]]
+            grouped = pdf.groupby("key", sort=False)
+            yield grouped.agg(n=("ts", "size"), last_ts=("ts", "max"), last_ms=("ms", "max")).reset_index()
 
-    touches = stream.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"))
-    return touches.mapInPandas(shrink, "key string, n long, first_ts timestamp, last_ts timestamp")
+    at = F.col(ts).cast("timestamp")
+    touches = stream.select(F.col(key).alias("key"), at.alias("ts"), F.unix_millis(at).alias("ms"))
+    return touches.mapInPandas(shrink, "key string, n long, last_ts timestamp, last_ms long")
 
 
-def seeded_counter(stream: DataFrame, seed: DataFrame | None = None) -> DataFrame:
+def seeded_counter(combined: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     """Counter over combined touches with state of its own, which a seed ``(key, n)`` may preload."""
 
     class Counter(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.n = handle.getValueState("n", "n long")
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            add = sum(int(pdf["n"].sum()) for pdf in rows)
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
             before = self.n.get()
-            total = add + (before[0] if before else 0)
+            total = sum(row.n for row in rows) + (before[0] if before else 0)
             self.n.update((total,))
-            yield pd.DataFrame({"key": [key[0]], "n": [total]})
+            yield Row(key=key[0], n=total)
 
         def handleInitialState(self, key, initialState, timerValues) -> None:
-            self.n.update((int(initialState["n"].iloc[0]),))
+            self.n.update((initialState.n,))
 
         def close(self) -> None:
             pass
 
-    return stream.groupBy("key").transformWithStateInPandas(
+    return combined.select("key", "n").groupBy("key").transformWithState(
         Counter(),
         outputStructType="key string, n long",
         outputMode="Update",
@@ -83,43 +82,40 @@ def tiers(combined: DataFrame, window_ms: int, delay: str = "0 seconds") -> Data
             self.hot = handle.getValueState("hot", "n long, last_ms long")
             self.cold = handle.getValueState("cold", "n long")
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
             add, last = 0, None
-            for pdf in rows:
-                add += int(pdf["n"].sum())
-                newest = int(pdf["last_ts"].max().value // 1_000_000)
-                last = newest if last is None else max(last, newest)
-            out = []
-            hot, cold = self.hot.get(), None
+            for row in rows:
+                add += row.n
+                last = row.last_ms if last is None else max(last, row.last_ms)
+            hot = self.hot.get()
             if hot is None:
                 cold = self.cold.get()
-                if cold is not None:
-                    out.append((key[0], "promote", cold[0], last))
-            before = hot[0] if hot else (cold[0] if cold else 0)
-            last = max(last, hot[1]) if hot else last
-            if hot is None or last > hot[1]:
-                if hot is not None:
-                    self.handle.deleteTimer(hot[1] + window_ms)
+                before = cold[0] if cold else 0
+                if cold:
+                    yield Row(key=key[0], what="promote", n=before, at_ms=last)
                 self.handle.registerTimer(last + window_ms)
+            else:
+                before = hot[0]
+                if last > hot[1]:
+                    self.handle.deleteTimer(hot[1] + window_ms)
+                    self.handle.registerTimer(last + window_ms)
+                last = max(last, hot[1])
             self.hot.update((before + add, last))
-            out.append((key[0], "touch", before + add, last))
-            yield pd.DataFrame(out, columns=["key", "what", "n", "at_ms"])
+            yield Row(key=key[0], what="touch", n=before + add, at_ms=last)
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             fired = expiredTimerInfo.getExpiryTimeInMs()
             hot = self.hot.get()
             if hot is not None and hot[1] + window_ms <= fired:
                 self.cold.update((hot[0],))
                 self.hot.clear()
-                yield pd.DataFrame(
-                    {"key": [key[0]], "what": ["demote"], "n": [hot[0]], "at_ms": [fired]}
-                )
+                yield Row(key=key[0], what="demote", n=hot[0], at_ms=fired)
 
         def close(self) -> None:
             pass
 
     clocked = combined.withWatermark("last_ts", delay)
-    return clocked.groupBy("key").transformWithStateInPandas(
+    return clocked.groupBy("key").transformWithState(
         Tiers(),
         outputStructType="key string, what string, n long, at_ms long",
         outputMode="Update",
@@ -136,21 +132,18 @@ def expiring(combined: DataFrame, ttl_ms: int) -> DataFrame:
             self.short = handle.getValueState("short", "n long", ttlDurationMs=ttl_ms)
             self.kept = handle.getValueState("kept", "n long")
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            add = sum(int(pdf["n"].sum()) for pdf in rows)
-            short = self.short.get()
-            kept = self.kept.get()
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            add = sum(row.n for row in rows)
+            short, kept = self.short.get(), self.kept.get()
             s, k = (short[0] if short else 0), (kept[0] if kept else 0)
             self.short.update((s + add,))
             self.kept.update((k + add,))
-            yield pd.DataFrame(
-                {"key": [key[0]], "short_before": [s], "kept_before": [k], "short": [s + add], "kept": [k + add]}
-            )
+            yield Row(key=key[0], short_before=s, kept_before=k, short=s + add, kept=k + add)
 
         def close(self) -> None:
             pass
 
-    return combined.groupBy("key").transformWithStateInPandas(
+    return combined.select("key", "n").groupBy("key").transformWithState(
         Expiring(),
         outputStructType="key string, short_before long, kept_before long, short long, kept long",
         outputMode="Update",
