@@ -5,6 +5,9 @@ Rows are counted per key first (map-side combine); routing is then computed once
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,15 +109,38 @@ def reshard_map(
 
 
 def encoded_order(keyed: DataFrame, groups: int = r.GROUPS, state_id: str = "s") -> DataFrame:
-    """Per key group: first and last encoded key, and keys whose encoding breaks (group, key) order."""
+    """Per key group: first and last encoded key, and keys whose encoding breaks (group, key) order.
+
+    Keys are range-partitioned by (group, key), so each task checks an equal, sorted slice as it streams
+    past; only one row per slice and group goes on to the check across slices.
+    """
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for pdf in batches:
+            for group, part in pdf.groupby("key_group", sort=False):
+                codes = part["encoded"].tolist()
+                back = sum(b <= a for a, b in zip(codes, codes[1:]))
+                if last is not None and last[0] == group:
+                    back += codes[0] <= last[1]
+                last = (group, codes[-1])
+                yield pd.DataFrame(
+                    {"key_group": [group], "n": [len(codes)], "first": [codes[0]], "last": [codes[-1]], "back": [back]}
+                )
+
     enc = keyed.select(
         "key_group", "key", r.encoded_key("key_group", "key", groups, state_id).alias("encoded")
     )
-    in_order = Window.partitionBy("key_group").orderBy("key")
-    marked = enc.withColumn("_back", F.lag("encoded").over(in_order) >= F.col("encoded"))
-    return marked.groupBy("key_group").agg(
-        F.count(F.lit(1)).alias("keys"),
-        F.hex(F.min("encoded")).alias("first_encoded"),
-        F.hex(F.max("encoded")).alias("last_encoded"),
-        F.count(F.when(F.col("_back"), 1)).alias("inversions"),
+    in_order = enc.repartitionByRange("key_group", "key").sortWithinPartitions("key_group", "key")
+    parts = in_order.select("key_group", "encoded").mapInPandas(
+        slices, "key_group int, n long, first binary, last binary, back long"
+    )
+    # Slices that overlap would show up as a slice that starts before the one below it ends.
+    by_first = Window.partitionBy("key_group").orderBy("first")
+    crossed = (F.lag("last").over(by_first) >= F.col("first")).cast("long")
+    return parts.withColumn("_crossed", F.coalesce(crossed, F.lit(0))).groupBy("key_group").agg(
+        F.sum("n").alias("keys"),
+        F.hex(F.min("first")).alias("first_encoded"),
+        F.hex(F.max("last")).alias("last_encoded"),
+        F.sum(F.col("back") + F.col("_crossed")).alias("inversions"),
     )

@@ -241,9 +241,10 @@ def stream_write_through(spark, sf_dir):
 
     def both(df, batch_id):
         newest = df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("seq"), F.max_by("ts", "seq").alias("ts"))
-        # Each tier is written from its own pass over the batch: no executor has to keep it in memory.
         runs.batch_writer(cold)(newest, batch_id)
-        runs.batch_writer(hot)(newest.where(recent), batch_id)
+        # The hot tier is a part of what was just written, so the batch is not computed twice.
+        written = df.sparkSession.read.parquet(f"{cold}/batch={batch_id}")
+        runs.batch_writer(hot)(written.where(recent), batch_id)
 
     stream = event_stream(spark, own, sf_dir, 3)
     runs.drain(runs.start(stream, session.work_path(spark, "ckpt"), both, mode="append"))
