@@ -24,6 +24,29 @@ def is_base() -> Column:
     return F.col("op").isin("put", "delete")
 
 
+def duplicate_positions(changelog: DataFrame) -> DataFrame:
+    """Positions that a key uses more than once; the other operators rely on there being none."""
+    used = changelog.groupBy(*KEYS, "seq").agg(F.count(F.lit(1)).alias("rows"))
+    return used.where("rows > 1")
+
+
+def checkpoint(
+    changelog: DataFrame, checkpoint_id: str, flushed: Column | None = None, expire_ts: Column | None = None
+) -> DataFrame:
+    """Pin the log as it is: one row per database with the newest durable and the newest flushed position.
+
+    ``flushed`` is the position up to which the manifest has caught up (default: all of it).
+    """
+    hi = F.max("seq")
+    return changelog.groupBy("db_id").agg(
+        F.lit(checkpoint_id).alias("checkpoint_id"),
+        hi.alias("seq_hi"),
+        F.least(hi, hi if flushed is None else flushed).alias("manifest_seq_hi"),
+        F.max("create_ts").alias("create_ts"),
+        (F.lit(None).cast("timestamp_ntz") if expire_ts is None else expire_ts).alias("expire_ts"),
+    )
+
+
 def upto(changelog: DataFrame, seq_hi: Column | int) -> DataFrame:
     """The log as a checkpoint at ``seq_hi`` saw it; a plain filter, so it reaches the scan."""
     return changelog.where(F.col("seq") <= seq_hi)

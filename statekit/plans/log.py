@@ -319,3 +319,22 @@ def settings_json(spark, sf_dir):
     rows = t.events(spark, sf_dir).select("seq", k.alias("k"), doc.alias("settings"))
     back = F.from_json("settings", "max_files bigint, poll string")
     return rows.withColumn("max_files", back["max_files"])
+
+
+@query(f"""WITH {LOG}, d AS (SELECT key, seq, count(*) AS c FROM log GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT count(*) AS rows, (SELECT count(*) FROM d) AS duplicates, count(DISTINCT key) AS keys FROM log""")
+def unique_positions(spark, sf_dir):
+    """Every position of a key is used once, which the ordered operators rely on."""
+    ops = t.op_log(spark, sf_dir)
+    keys = ops.groupBy("db_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    twice = log.duplicate_positions(ops).agg(F.count(F.lit(1))).scalar()
+    return keys.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys")).withColumn("duplicates", twice)
+
+
+@query(f"""WITH {LOG}, {HALF} SELECT 'events' AS db_id, 'chk-now' AS checkpoint_id, max(seq) AS seq_hi,
+  (SELECT seq_hi FROM half) AS manifest_seq_hi, max(create_ts) AS create_ts,
+  CAST(NULL AS TIMESTAMP) AS expire_ts FROM log""")
+def take_checkpoint(spark, sf_dir):
+    """A checkpoint of the whole log whose manifest has only caught up with half of it."""
+    flushed = t.half_way(spark, sf_dir)
+    return log.checkpoint(t.op_log(spark, sf_dir), "chk-now", flushed)

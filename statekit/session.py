@@ -16,6 +16,19 @@ CONF = {
 }
 
 
+def suggested_conf(input_bytes: int) -> dict[str, str]:
+    """Settings for a job over so many bytes: shuffle partitions of about 128 MB before adaptive
+    execution joins small ones, larger scan splits, and skewed joins split even at an extra shuffle."""
+    mb = 1 << 20
+    return {
+        **CONF,
+        "spark.sql.shuffle.partitions": str(max(200, min(input_bytes // (128 * mb), 200_000))),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    }
+
+
 def local_session(cores: int | str = "*", **extra: str) -> SparkSession:
     """A session for tests and the bench; a cluster job brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("statekit")

@@ -143,6 +143,21 @@ def test_checkpoint_clone(spark):
     assert [x.key for x in live.exceptAll(pinned).collect()] == ["after"]
 
 
+def test_checkpoint_and_duplicates(spark):
+    df = oplog(spark, [("put", "a", 1), ("put", "b", 2)])
+    row = log.checkpoint(df, "chk-1", F.lit(0)).first()
+    assert (row.checkpoint_id, row.seq_hi, row.manifest_seq_hi, row.expire_ts) == ("chk-1", 1, 0, None)
+    assert log.checkpoint(df, "chk-2", F.lit(99)).first().manifest_seq_hi == 1
+    assert log.duplicate_positions(df).isEmpty()
+    assert log.duplicate_positions(df.unionByName(df)).count() == 2
+
+
+def test_newest_layer_wins(spark):
+    rows = [("d", "a", "put", 1, 9, 1), ("d", "a", "put", 2, 3, 0), ("d", "b", "put", 5, 1, 1), ("d", "b", "delete", None, 2, 0)]
+    df = spark.createDataFrame(rows, LOG + ", level int")
+    assert as_dict(log.newest_first(df, "level")) == {"a": 2}
+
+
 def test_barrier(spark):
     rows = [("s", v, i) for i, v in enumerate(["a", "a", "b", "BAR", "a", "c"])]
     df = spark.createDataFrame(rows, "stream string, value string, seq long")
@@ -370,6 +385,43 @@ def test_orphan_states_over_time(spark):
     assert low["old"] == "too_young"
 
 
+def test_retention_and_refresh(spark):
+    day = lambda d: F.expr(f"TIMESTAMP_NTZ '2024-01-{d:02d} 00:00:00'")
+    rows = [("c1", 1, 5), ("c2", 2, None), ("c3", 3, 5), ("c4", 4, 25), ("c5", 5, 25), ("c6", 6, None)]
+    df = spark.createDataFrame([("d", n, c, x) for n, c, x in rows], "db_id string, checkpoint_id string, c int, x int")
+    cps = df.select(
+        "db_id", "checkpoint_id",
+        F.make_timestamp_ntz(F.lit(2024), F.lit(1), "c", F.lit(0), F.lit(0), F.lit(0)).alias("create_ts"),
+        F.make_timestamp_ntz(F.lit(2024), F.lit(1), "x", F.lit(0), F.lit(0), F.lit(0)).alias("expire_ts"),
+    )
+    held = spark.createDataFrame([("c1",), ("c4",)], "checkpoint_id string")
+    got = as_dict(upkeep.checkpoint_retention(cps, held, 1, day(10)), "checkpoint_id", "status")
+    assert got == {"c1": "unrestorable", "c2": "leak", "c3": "expired", "c4": "referenced", "c5": "deletable", "c6": "newest"}
+    fresh = upkeep.refresh(cps, "c1", day(20))
+    assert as_dict(upkeep.checkpoint_retention(fresh, held, 1, day(10)), "checkpoint_id", "status")["c1"] == "referenced"
+
+
+def test_write_stall(spark):
+    f = spark.range(20).select(
+        F.lit("d").alias("db_id"), F.col("id").alias("file_no"),
+        (F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.make_dt_interval(secs=F.col("id"))).alias("create_ts"),
+    )
+    row = upkeep.write_stall(upkeep.level_log(f, 10, 4), 8).first()
+    # Fourteen files before the first merge, above eight from the ninth flush until that merge.
+    assert row.max_l0 == 14 and row.us_above == (13 - 8) * 1_000_000 + (19 - 18) * 1_000_000
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from statekit import session
+
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(fake)
+
+
 def test_clone_chain(spark):
     edges = [("r", None)] + [(f"c{i}", "r" if i == 0 else f"c{i - 1}") for i in range(9)] + [("x", "c3")]
     got = {x.db: (x.depth, x.root, x.clones) for x in upkeep.clone_chain(spark.createDataFrame(edges, "db_id string, parent_id string")).collect()}
