@@ -24,11 +24,12 @@ CHUNK = "_chunk"
 @dataclass(frozen=True)
 class ChunkSpec:
     """``width``: most rows of one key that a task sorts. ``sample``: one row in so many is
-    counted when hot keys are looked for. A key is hot from about ``width`` rows on, so there
-    are at most rows/width hot keys and they can be broadcast."""
+    counted when hot keys are looked for. A key is hot from about ``hot_rows`` rows on (by default
+    ``width``), so there are at most rows/hot_rows hot keys and they can be broadcast."""
 
     width: int = 1 << 22
     sample: int = 1 << 10
+    hot_rows: int | None = None
 
     @classmethod
     def of(cls, spark: SparkSession) -> "ChunkSpec":
@@ -39,8 +40,8 @@ class ChunkSpec:
 
 
 def hot_keys(df: DataFrame, keys: list[str], seq: str, spec: ChunkSpec) -> DataFrame:
-    """Keys with about ``width`` rows or more, from a hash sample that a recomputation repeats."""
-    least = max(1, spec.width // spec.sample)
+    """Keys with about ``hot_rows`` rows or more, from a hash sample that a recomputation repeats."""
+    least = max(1, (spec.hot_rows or spec.width) // spec.sample)
     return (
         df.where(F.pmod(F.xxhash64(seq), F.lit(spec.sample)) == 0)
         .groupBy(*keys)

@@ -254,7 +254,11 @@ def running_count(df: DataFrame, keys: list[str], seq: str = "seq", out: str = "
 
 
 def asof_read(
-    lookups: DataFrame, changelog: DataFrame, at: str = "at_seq", unique: bool = False
+    lookups: DataFrame,
+    changelog: DataFrame,
+    at: str = "at_seq",
+    unique: bool = False,
+    spec: chunks.ChunkSpec | None = None,
 ) -> DataFrame:
     """Value of a key as of a log position, per lookup row ``(db_id, key, at_seq, ...)``.
 
@@ -270,7 +274,7 @@ def asof_read(
     )
     both = writes.unionByName(marks, allowMissingColumns=True)
     last = {"_put": F.col("_live"), "_value": F.col("_val"), "_at": F.col("seq")}
-    seen = chunks.previous(both, KEYS, "seq", last, when=F.col("_side") == 0, tie="_side").where("_side = 1")
+    seen = chunks.previous(both, KEYS, "seq", last, when=F.col("_side") == 0, tie="_side", spec=spec).where("_side = 1")
     answers = seen.select(
         *KEYS,
         F.col("seq").alias(at),
@@ -281,6 +285,27 @@ def asof_read(
     return answers if unique else lookups.join(answers, [*KEYS, at], "left")
 
 
+def asof_time(
+    lookups: DataFrame, changelog: DataFrame, at: str = "at_ts", unique: bool = False, chunk_s: int = 3600
+) -> DataFrame:
+    """Value of a key as of a time, inclusive; of several writes at one time the last one counts.
+
+    The order is the time in microseconds. A hot key is cut into chunks of ``chunk_s`` seconds, so a
+    task sorts what one key wrote and was asked in that long.
+    """
+    base = chunks.ChunkSpec.of(changelog.sparkSession)
+    spec = chunks.ChunkSpec(chunk_s * 1_000_000, base.sample, base.width)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    one = (
+        changelog.where(is_base())
+        .groupBy(*KEYS, micros("create_ts").alias("_us"))
+        .agg(F.max_by(F.col("op") == "put", "seq").alias("_p"), F.max_by("value", "seq").alias("value"))
+    )
+    timed = one.select(*KEYS, F.when(F.col("_p"), "put").otherwise("delete").alias("op"), "value", F.col("_us").alias("seq"))
+    asked = lookups.withColumn("_at", micros(at))
+    return asof_read(asked, timed, "_at", unique, spec).drop("_at", "value_seq")
+
+
 def fence(changelog: DataFrame, max_epochs: int = 100_000) -> DataFrame:
     """Add ``accepted``: false for a write of a writer epoch after a newer epoch has written.
 

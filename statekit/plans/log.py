@@ -338,3 +338,18 @@ def take_checkpoint(spark, sf_dir):
     """A checkpoint of the whole log whose manifest has only caught up with half of it."""
     flushed = t.half_way(spark, sf_dir)
     return log.checkpoint(t.op_log(spark, sf_dir), "chk-now", flushed)
+
+
+@query(f"""WITH {LOG}, base AS (SELECT * FROM log WHERE op IN ('put', 'delete')),
+asked AS (SELECT event_id AS lookup_id, CAST(user_id AS VARCHAR) AS key, ts - INTERVAL 90 MINUTE AS at_ts FROM events)
+SELECT 'events' AS db_id, asked.key, lookup_id, at_ts, CAST(CASE WHEN op = 'put' THEN value END AS DOUBLE) AS value
+FROM asked ASOF LEFT JOIN base ON asked.key = base.key AND asked.at_ts >= base.create_ts""")
+def asof_time(spark, sf_dir):
+    """For every event: what its user's state was ninety minutes earlier."""
+    lookups = t.events(spark, sf_dir).select(
+        F.lit("events").alias("db_id"),
+        "key",
+        F.col("seq").alias("lookup_id"),
+        (F.col("ts") - F.expr("INTERVAL '90' MINUTE")).alias("at_ts"),
+    )
+    return dbl(log.asof_time(lookups, t.op_log(spark, sf_dir)))

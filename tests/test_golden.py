@@ -204,6 +204,15 @@ def test_asof_inclusive_and_repeated(spark):
     assert got == [("k", 0, 1), ("k", 0, 1), ("k", 1, 2)] and log.asof_read(asks, df).count() == 6
 
 
+def test_asof_time_takes_the_last_write_of_an_instant(spark):
+    ts = lambda c: F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.make_dt_interval(secs=F.col(c))
+    rows = [("d", "k", "put", 1, 0, 5), ("d", "k", "put", 2, 1, 5), ("d", "k", "delete", None, 2, 9)]
+    df = spark.createDataFrame(rows, LOG + ", s int").withColumn("create_ts", ts("s"))
+    asks = spark.createDataFrame([("d", "k", s) for s in (4, 5, 8, 9, 9)], "db_id string, key string, s int")
+    got = log.asof_time(asks.withColumn("at_ts", ts("s")), df).collect()
+    assert sorted((x.s, x.value) for x in got if x.value) == [(5, 2), (8, 2)] and len(got) == 5
+
+
 # Scans
 
 

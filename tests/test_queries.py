@@ -32,7 +32,7 @@ def test_batch_query(spark, duck, name):
 
 
 CHUNKED = [
-    "running_count", "read_your_writes", "asof_read", "merge_sum", "merge_set", "incremental_merge",
+    "running_count", "read_your_writes", "asof_read", "asof_time", "asof_orders", "merge_sum", "merge_set", "incremental_merge",
     "barrier_snapshot", "checkpoint_live_keys", "record_tags", "touch_gaps", "tier_gap", "tier_watermark",
     "demotion_buckets", "newest_checkpoint", "write_stall", "latency_quantiles", "hit_ratio", "gauge",
 ]
