@@ -57,25 +57,35 @@ def chunk_of(seq: str, spec: ChunkSpec) -> Column:
 
 
 def chunked(
-    df: DataFrame, keys: list[str], seq: str, few_keys: bool = False, spec: ChunkSpec | None = None
+    df: DataFrame,
+    keys: list[str],
+    seq: str,
+    few_keys: bool = False,
+    spec: ChunkSpec | None = None,
+    base: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(all rows, rows of hot keys), both with ``_chunk``: null for ordinary keys, else ``seq div width``.
 
     ``few_keys`` says that the key has so few values that all of them are hot (a metric series,
     a database), which saves the look for hot keys. An empty key list means one global sequence.
 
+    ``base`` is what the second result and the look for hot keys are taken from instead of ``df``: give
+    it when ``df`` is itself the result of a shuffle and the same keys can be had from a plain scan.
+
     The rows of hot keys come from an inner join with the same broadcast, so when no key is hot,
     adaptive execution drops that branch and every join with it before it reads anything.
     """
     spec = spec or ChunkSpec.of(df.sparkSession)
     if few_keys or not keys:
         # The chunks are the only parallelism here, so they are narrower than those of single hot keys.
-        rows = df.withColumn(CHUNK, chunk_of(seq, replace(spec, width=max(1, spec.width // 16))))
-        return rows, rows
-    hot = F.broadcast(hot_keys(df, keys, seq, spec).withColumn("_hot", F.lit(True)))
+        chunk = chunk_of(seq, replace(spec, width=max(1, spec.width // 16)))
+        rows = df.withColumn(CHUNK, chunk)
+        return rows, rows if base is None else base.withColumn(CHUNK, chunk)
+    source = df if base is None else base
+    hot = F.broadcast(hot_keys(source, keys, seq, spec).withColumn("_hot", F.lit(True)))
     flagged = df.join(hot, keys, "left")
     rows = flagged.withColumn(CHUNK, F.when(F.col("_hot"), chunk_of(seq, spec))).drop("_hot")
-    only_hot = df.join(hot, keys).withColumn(CHUNK, chunk_of(seq, spec)).drop("_hot")
+    only_hot = source.join(hot, keys).withColumn(CHUNK, chunk_of(seq, spec)).drop("_hot")
     return rows, only_hot
 
 
@@ -143,6 +153,7 @@ def previous(
     tie: str | None = None,
     few_keys: bool = False,
     spec: ChunkSpec | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Add values of an earlier row of the key, strictly before the row itself.
 
@@ -150,7 +161,7 @@ def previous(
     ``when`` holds, nulls included. ``tie`` is a second order column for rows that share ``seq`` on
     purpose; the rows that give values must not share one.
     """
-    rows, hot = chunked(df, keys, seq, few_keys, spec)
+    rows, hot = chunked(df, keys, seq, few_keys, spec, base)
     before = within(keys, *([seq, tie] if tie else [seq])).rowsBetween(Window.unboundedPreceding, -1)
     if when is None:
         local = rows.select(
@@ -188,9 +199,10 @@ def earlier_max(
     values: dict[str, Column],
     few_keys: bool = False,
     spec: ChunkSpec | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Add the maximum of each value over all rows strictly before, per key (or over all rows)."""
-    rows, hot = chunked(df, keys, seq, few_keys, spec)
+    rows, hot = chunked(df, keys, seq, few_keys, spec, base)
     before = within(keys, seq).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.select("*", *[F.max(c).over(before).alias(n) for n, c in values.items()])
     handed = carry(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statekit.operators import chunks
+from statekit.session import durable
 
 KEYS = ["db_id", "key"]
 STATE = ["db_id", "key", "value", "seq", "create_ts", "expire_ts"]
@@ -268,13 +269,17 @@ def asof_read(
     """
     asked = lookups if unique else lookups.select(*KEYS, at).distinct()
     others = [c for c in asked.columns if c not in (*KEYS, at)]
-    marks = asked.select(*KEYS, F.col(at).alias("seq"), F.lit(1).alias("_side"), *others)
+    mark = [*KEYS, F.col(at).alias("seq"), F.lit(1).alias("_side"), *others]
+    marks = asked.select(*mark)
     writes = changelog.where(is_base()).select(
         *KEYS, "seq", F.lit(0).alias("_side"), (F.col("op") == "put").alias("_live"), F.col("value").alias("_val")
     )
     both = writes.unionByName(marks, allowMissingColumns=True)
+    # Which keys are hot can be told before equal lookups are made one, straight from the scans.
+    scanned = writes.unionByName(lookups.select(*mark), allowMissingColumns=True)
     last = {"_put": F.col("_live"), "_value": F.col("_val"), "_at": F.col("seq")}
-    seen = chunks.previous(both, KEYS, "seq", last, when=F.col("_side") == 0, tie="_side", spec=spec).where("_side = 1")
+    seen = chunks.previous(both, KEYS, "seq", last, when=F.col("_side") == 0, tie="_side", spec=spec, base=scanned)
+    seen = seen.where("_side = 1")
     answers = seen.select(
         *KEYS,
         F.col("seq").alias(at),
@@ -357,9 +362,9 @@ def barrier_counts(df: DataFrame, stream: str, value: str, barrier: str, seq: st
     per_epoch = rows.groupBy(stream, value, "epoch").agg(F.count(F.lit(1)).alias("_n"))
     barriers = df.where(F.col(value) == barrier).groupBy(stream).agg(F.count(F.lit(1)).alias("_last"))
     closed = per_epoch.join(barriers, stream).where(F.col("epoch") <= F.col("_last"))
-    counted = chunks.running_sum(
-        closed.select(stream, value, "epoch", "_n"), [stream, value], "epoch", {"n": F.col("_n")}
-    )
+    # Read several times below, so it is written once instead of being computed again each time.
+    once = durable(df.sparkSession, closed.select(stream, value, "epoch", "_n"), "epochs")
+    counted = chunks.running_sum(once, [stream, value], "epoch", {"n": F.col("_n")})
     return counted.select(stream, "epoch", value, "n")
 
 

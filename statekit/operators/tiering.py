@@ -43,7 +43,7 @@ def trail(
     if mode != "watermark":
         raise ValueError(f"tiering mode must be gap or watermark, got {mode!r}")
     clock = chunks.earlier_max(
-        with_last_touch(events, key, ts, seq), [], seq, {"_seen": F.col(ts)}
+        with_last_touch(events, key, ts, seq), [], seq, {"_seen": F.col(ts)}, base=events
     )
     reached = F.col("_seen") - millis(1) >= F.col("prev_ts") + millis(window_ms)
     return clock.withColumn("promoted", F.coalesce(reached, F.lit(False))).drop("_seen")
