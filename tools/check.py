@@ -23,7 +23,7 @@ def norm(v):
     if isinstance(v, decimal.Decimal):
         return f"{float(v):.6g}" if v % 1 else str(int(v))
     if isinstance(v, float):
-        return "nan" if v != v else f"{v:.9g}"
+        return "nan" if v != v else repr(v)
     if isinstance(v, (bytes, bytearray)):
         return bytes(v).hex()
     if isinstance(v, dict):
