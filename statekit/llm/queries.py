@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statekit.llm import suffix_dedup
+from statekit.llm import jaccard_join, suffix_dedup
 from statekit.llm.common import table
 
 QUERIES: dict = {}
@@ -24,3 +24,8 @@ def query(sql: str | None = None):
 @query()
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query()
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(spark, table(spark, sf_dir, "documents"), width=3, percent=90)
