@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statekit.llm import jaccard_join, suffix_dedup
+from statekit.llm import decontaminate, jaccard_join, suffix_dedup
 from statekit.llm.common import table
 
 QUERIES: dict = {}
@@ -29,3 +29,8 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(spark, table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@query()
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
