@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from statekit.llm import decontaminate, jaccard_join, packing, suffix_dedup
+from statekit.llm import decontaminate, jaccard_join, language_id, packing, secrets, suffix_dedup
+from statekit.llm.common import fold as fold_of
 from statekit.llm.common import table
 
 QUERIES: dict = {}
@@ -40,3 +42,17 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(fold_of("doc_id"), F.lit(4))
+    found = language_id.identify(spark, docs, language_id.learn(spark, docs.where(fold != 2)))
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.find_secrets(spark, docs, secrets.learn(spark, docs)).drop("found")
