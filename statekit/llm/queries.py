@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statekit.llm import decontaminate, jaccard_join, language_id, packing, secrets, suffix_dedup
+from statekit.llm import decontaminate, jaccard_join, language_id, packing, quality, secrets, suffix_dedup, url_rules
 from statekit.llm.common import fold as fold_of
 from statekit.llm.common import table
 
@@ -56,3 +56,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.find_secrets(spark, docs, secrets.learn(spark, docs)).drop("found")
+
+
+@query()
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
+    return quality.judge(spark, table(spark, sf_dir, "documents"), trusted)
+
+
+@query()
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(spark, table(spark, sf_dir, "pages"))
