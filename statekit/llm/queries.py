@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statekit.llm import decontaminate, jaccard_join, language_id, packing, quality, secrets, suffix_dedup, url_rules
+from statekit.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality, secrets, suffix_dedup, url_rules
 from statekit.llm.common import fold as fold_of
 from statekit.llm.common import table
 
@@ -67,3 +67,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(spark, table(spark, sf_dir, "pages"))
+
+
+@query()
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark, table(spark, sf_dir, "pages"))
