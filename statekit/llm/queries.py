@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statekit.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality, secrets, suffix_dedup, url_rules
+from statekit.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality, secrets, suffix_dedup, toxicity, url_rules
 from statekit.llm.common import fold as fold_of
 from statekit.llm.common import table
 
@@ -72,3 +72,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark, table(spark, sf_dir, "pages"))
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.pmod(fold_of("doc_id"), F.lit(3))
+    model = toxicity.train(*toxicity.sample(docs, labels.where(fold != 1)))
+    return toxicity.score(spark, docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
