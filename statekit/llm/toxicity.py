@@ -24,7 +24,7 @@ STEPS, STRIDE = 16, 8
 WORDS, GRAMS = 1 << 15, 1 << 12
 VECTOR, HIDDEN = 8, 8
 ROWS, MOST_BYTES = 1_500, 20_000
-EPOCHS, BATCH, RATE = 8, 256, 0.02
+EPOCHS, BATCH, RATE = 8, 256, 0.04
 CHUNK = 2048
 
 
@@ -196,12 +196,12 @@ def worst(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 5, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """A model from labelled texts; without both labels it gives the share of label 1 for every text."""
+    """A model from labelled texts; without both labels, or any word, it gives the share of label 1 for every text."""
     model = new_model(seed)
     share = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.01
-    if len(set(labels.tolist())) < 2:
+    s = Sample(texts, labels) if len(set(labels.tolist())) == 2 else None
+    if s is None or not len(s.word):
         return model | {"out": np.zeros_like(model["out"]), "scale": np.array([0, np.log(share / (1 - share))], np.float32)}
-    s = Sample(texts, labels)
     n = len(texts)
     text_of = np.repeat(np.arange(n), np.diff(s.first))
     pairs = np.unique(np.stack([s.inverse, text_of]), axis=1)
