@@ -9,11 +9,11 @@ quotations and mixed pages in the learning rows do not wash the filters out. Lea
 (``PER_LANGUAGE`` rows per language in expectation, picked by a hash of the id); scoring takes every document.
 """
 
-from __future__ import annotations
-
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,11 +157,9 @@ def keep_known(spark: SparkSession, docs: DataFrame, model: Filter) -> DataFrame
     """The rows of docs, with their columns, whose text has a known language."""
     shared = spark.sparkContext.broadcast(model)
 
-    def known(batches):
-        import pandas as pd
-
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             parts = c.pieces(pa.RecordBatch.from_pydict({"doc_id": np.zeros(len(texts), np.int64), "text": pa.array(texts.fillna(""), pa.string())}))
             yield pd.Series([x != UNKNOWN for part in parts if part.num_rows for out in decide(shared)(part) for x in out["lang_pred"]], dtype=bool)
 
-    return docs.where(F.pandas_udf(known, "boolean", F.PandasUDFType.SCALAR_ITER)("text"))
+    return docs.where(F.pandas_udf(known, "boolean")("text"))

@@ -6,14 +6,13 @@ found and seeded random strings on one side, the corpus' own words and repeated
 secret if the mean log-likelihood ratio per character and the sum both pass their thresholds.
 """
 
-from __future__ import annotations
-
 import hashlib
 import re
 import string
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,9 +130,13 @@ def seeded(n: int) -> list[str]:
 
 
 def learn(spark: SparkSession, docs: DataFrame, samples: int = SAMPLES) -> np.ndarray:
-    """Bits for every transition, from at most ``samples`` distinct strings of either label, picked by hash."""
-    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("lot"))
-    texts = texts.orderBy("lot").limit(samples // 10).select("text")  # rows, whole; the first by hash
+    """Bits for every transition, from at most ``samples`` distinct strings of either label, picked by hash.
+
+    The strings come from about ``samples`` / 10 whole texts, picked by a hash of the text.
+    """
+    texts = docs.where("text IS NOT NULL").select("text")
+    share = samples / 10 / max(1, texts.count())
+    texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
     found = c.map_batches(texts, samples_of, "value string, random boolean").distinct().withColumn("lot", F.xxhash64("value"))
     one, other = (found.where(f"random = {x}").orderBy("lot").limit(samples).select("value").toPandas()["value"].tolist() for x in ("true", "false"))
     same = [x * 30 for x in string.ascii_letters + string.digits for _ in range(1 + len(other) // 200)]
@@ -168,15 +171,13 @@ def redact(spark: SparkSession, docs: DataFrame, model: np.ndarray, mark: str =
     """The rows of docs, with their columns; every span of a text is replaced by the mark, a null text stays."""
     shared = spark.sparkContext.broadcast(model)
 
-    def clean(batches: Iterator):
-        import pandas as pd
-
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             batch = pa.RecordBatch.from_pydict({"text": pa.array(texts.fillna(""), pa.string())})
             out = [cover(t, s, mark) for part in c.pieces(batch) if part.num_rows for t, s in zip(part.column("text").to_pylist(), scan(part, shared.value), strict=True)]
             yield pd.Series(out, index=texts.index, dtype=object).where(texts.notna(), None)
 
-    return docs.withColumn("text", F.pandas_udf(clean, "string", F.PandasUDFType.SCALAR_ITER)("text"))
+    return docs.withColumn("text", F.pandas_udf(clean, "string")("text"))
 
 
 def cover(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
