@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -83,9 +85,9 @@ def chunked(
         return rows, rows if base is None else base.withColumn(CHUNK, chunk)
     source = df if base is None else base
     hot = F.broadcast(hot_keys(source, keys, seq, spec).withColumn("_hot", F.lit(True)))
-    flagged = df.join(hot, keys, "left")
+    flagged = key_join(df, hot, keys, "left")
     rows = flagged.withColumn(CHUNK, F.when(F.col("_hot"), chunk_of(seq, spec))).drop("_hot")
-    only_hot = source.join(hot, keys).withColumn(CHUNK, chunk_of(seq, spec)).drop("_hot")
+    only_hot = key_join(source, hot, keys, "inner").withColumn(CHUNK, chunk_of(seq, spec)).drop("_hot")
     return rows, only_hot
 
 
@@ -115,8 +117,15 @@ def carry(
     return summary.select(*keys, CHUNK, *[c.alias(n) for n, c in across(earlier).items()])
 
 
+def key_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, *plain: str) -> DataFrame:
+    """Join on keys of which a null is a value like others, and on ``plain`` columns of which it is none."""
+    other = {k: f"_right_{k}" for k in [*keys, *plain]}
+    on = [F.col(k).eqNullSafe(F.col(other[k])) for k in keys] + [F.col(k) == F.col(other[k]) for k in plain]
+    return left.join(right.withColumnsRenamed(other), reduce(and_, on), how).drop(*other.values())
+
+
 def attach(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(carried, [*keys, CHUNK], "left")
+    return key_join(rows, carried, keys, "left", CHUNK)
 
 
 def running_sum(

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, DoubleType, FractionalType, IntegralType, LongType
 
 from statekit.operators import chunks
 from statekit.session import durable
@@ -127,15 +128,25 @@ def fold(changelog: DataFrame) -> DataFrame:
     )
 
 
+def sum_type(changelog: DataFrame) -> DataType:
+    """Type of a sum of the log's values: as exact as the values themselves, and wide enough to go on adding."""
+    kind = changelog.schema["value"].dataType
+    if isinstance(kind, DecimalType):
+        return DecimalType(min(38, kind.precision + (10 if kind.precision <= 18 else 0)), kind.scale)
+    return LongType() if isinstance(kind, IntegralType) else DoubleType() if isinstance(kind, FractionalType) else kind
+
+
 def squash(changelog: DataFrame) -> DataFrame:
     """A shorter log with the same fold: per key at most its last put or delete and one summed merge.
 
-    Suits a micro-batch or an old part of a log that is kept only to be folded later; ``merges``
-    says how many operands a merge row stands for.
+    Suits a part of a log that is kept only to be folded later; ``merges`` says how many operands a merge row
+    stands for. The parts must not overlap in ``seq`` for any key: a put or delete of one part between two
+    merges of another could not be placed any more.
     """
     writes = changelog.where(F.col("op") != "get")
     based = chunks.key_max(writes, KEYS, "seq", {"base_seq": F.when(is_base(), F.col("seq"))})
     merge = F.col("op") == "merge"
+    total = sum_type(changelog)
     at_base = F.col("seq") == F.col("base_seq")
     counts = F.col("merges") if "merges" in changelog.columns else F.lit(1).cast("bigint")
     kept = (
@@ -145,13 +156,13 @@ def squash(changelog: DataFrame) -> DataFrame:
             F.max("base_seq").alias("_bs"),
             F.max(F.when(at_base, F.col("op"))).alias("_op"),
             F.max(F.when(at_base, F.col("value"))).alias("_v"),
-            F.sum(F.when(merge, F.col("value"))).cast("decimal(28,2)").alias("_mv"),
+            F.sum(F.when(merge, F.col("value"))).cast(total).alias("_mv"),
             F.sum(F.when(merge, counts)).alias("_mn"),
             F.max(F.when(merge, F.col("seq"))).alias("_ms"),
         )
     )
     base = F.struct(
-        F.col("_op").alias("op"), F.col("_v").cast("decimal(28,2)").alias("value"), F.col("_bs").alias("seq"), F.lit(0).cast("bigint").alias("merges")
+        F.col("_op").alias("op"), F.col("_v").cast(total).alias("value"), F.col("_bs").alias("seq"), F.lit(0).cast("bigint").alias("merges")
     )
     tail = F.struct(
         F.lit("merge").alias("op"), F.col("_mv").alias("value"), F.col("_ms").alias("seq"), F.col("_mn").alias("merges")
@@ -180,14 +191,14 @@ def fold_with(changelog: DataFrame, fold: Callable[[pd.Series], float]) -> DataF
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.groupby(KEYS, sort=False)["value"].agg(fold).reset_index()
+            yield pdf.groupby(KEYS, sort=False, dropna=False)["value"].agg(fold).reset_index()
 
     def sorted_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key = None
         for pdf in batches:
             if open_key is not None:
                 pdf = pd.concat([open_key, pdf], ignore_index=True)
-            done = pdf.groupby(KEYS, sort=False)["value"].agg(fold).reset_index()
+            done = pdf.groupby(KEYS, sort=False, dropna=False)["value"].agg(fold).reset_index()
             # The last key may go on in the next batch.
             yield done.iloc[:-1]
             open_key = done.iloc[-1:]
@@ -234,7 +245,7 @@ def fold_into(state: DataFrame, delta: DataFrame) -> DataFrame:
     merge = F.col("op") == "merge"
     kept = (F.col("seq") == F.col("_s")) & (F.col("op") == "put")
     return based.groupBy(*KEYS).agg(
-        F.sum(F.col("value")).cast("decimal(28,2)").alias("value"),
+        F.sum(F.col("value")).cast(sum_type(delta)).alias("value"),
         (F.count(F.when(merge, 1)) + F.coalesce(F.max(F.when(kept, F.col("_m"))), F.lit(0))).alias("merges"),
         F.max("seq").alias("seq"),
     )
@@ -311,28 +322,17 @@ def asof_time(
     return asof_read(asked, timed, "_at", unique, spec).drop("_at", "value_seq")
 
 
-def fence(changelog: DataFrame, max_epochs: int = 100_000) -> DataFrame:
+def fence(changelog: DataFrame) -> DataFrame:
     """Add ``accepted``: false for a write of a writer epoch after a newer epoch has written.
 
-    An epoch is closed by the first write of any newer epoch of its database. There is one row per
-    database and epoch; up to ``max_epochs`` of them are broadcast and the log is not shuffled. Beyond
-    that the running maximum of the epoch is computed in chunks.
+    An epoch is closed by the first write of any newer epoch of its database; a null epoch is older than
+    all others. There is one row per database and epoch, so that the log itself is only joined.
     """
     first = changelog.groupBy("db_id", "writer_epoch").agg(F.min("seq").alias("_first"))
-    if first.limit(max_epochs + 1).count() > max_epochs:
-        seen = chunks.earlier_max(
-            changelog, ["db_id"], "seq", {"_e": F.col("writer_epoch")}, few_keys=True
-        )
-        return seen.withColumn(
-            "accepted", F.col("writer_epoch") >= F.coalesce("_e", "writer_epoch")
-        ).drop("_e")
-    newer = Window.partitionBy("db_id").orderBy("writer_epoch").rowsBetween(1, Window.unboundedFollowing)
+    newer = Window.partitionBy("db_id").orderBy(F.asc_nulls_first("writer_epoch")).rowsBetween(1, Window.unboundedFollowing)
     closed = first.select("db_id", "writer_epoch", F.min("_first").over(newer).alias("_closed"))
-    return (
-        changelog.join(F.broadcast(closed), ["db_id", "writer_epoch"], "left")
-        .withColumn("accepted", F.col("_closed").isNull() | (F.col("seq") < F.col("_closed")))
-        .select(*changelog.columns, "accepted")
-    )
+    joined = chunks.key_join(changelog, closed, ["db_id", "writer_epoch"], "left")
+    return joined.withColumn("accepted", F.col("_closed").isNull() | (F.col("seq") < F.col("_closed"))).select(*changelog.columns, "accepted")
 
 
 def change_feed(changelog: DataFrame, seq_from: int, seq_to: int) -> DataFrame:
@@ -369,10 +369,10 @@ def barrier_counts(df: DataFrame, stream: str, value: str, barrier: str, seq: st
 
 
 def capture_report(rows: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Durable is not captured: rows ``(i, seq)`` of a checkpoint that lie behind its flush point are lost."""
+    """Durable is not captured: rows ``(db_id, i, seq)`` of a checkpoint that lie behind its flush point are lost."""
     caught = F.col("seq") <= F.col("manifest_seq_hi")
     marks = checkpoints.select("checkpoint_id", "db_id", "i", "manifest_seq_hi")
-    return rows.join(marks, "i").groupBy("checkpoint_id", "db_id").agg(
+    return rows.join(marks, ["db_id", "i"]).groupBy("checkpoint_id", "db_id").agg(
         F.count(F.lit(1)).alias("durable_rows"),
         F.count(F.when(caught, 1)).alias("captured_rows"),
         F.count(F.when(~caught, 1)).alias("lost_rows"),

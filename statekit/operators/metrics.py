@@ -65,7 +65,7 @@ def quantiles(df: DataFrame, by: str, value: str, points: dict[str, float]) -> D
     per_value = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
     upto = chunks.running_sum(per_value, [by], value, {"_upto": F.col("_n")}, few_keys=True)
     total = per_value.groupBy(by).agg(F.sum("_n").alias("_total"))
-    placed = upto.join(total, by)
+    placed = chunks.key_join(upto, total, [by], "inner")
     at = [
         F.min(F.when(F.col("_upto") >= F.ceil(F.lit(p) * F.col("_total")), F.col(value))).alias(n)
         for n, p in points.items()

@@ -49,21 +49,22 @@ def orphans(
     expired), ``too_young``, or ``deletable``.
 
     References are made distinct per file before they are joined, so a file held by most
-    checkpoints is no hot key. A file newer than ``low_watermark`` may belong to a running commit
+    checkpoints is no hot key; files and checkpoints are named within their database. A file newer than ``low_watermark`` may belong to a running commit
     and counts as too young.
     """
     alive = checkpoints.where(F.col("expire_ts").isNull() | (F.col("expire_ts") > now))
     pinned = (
-        checkpoint_refs.join(alive.select("checkpoint_id"), "checkpoint_id", "left_semi")
-        .select("file_id")
+        checkpoint_refs.join(alive.select("db_id", "checkpoint_id"), ["db_id", "checkpoint_id"], "left_semi")
+        .select("db_id", "file_id")
         .distinct()
         .withColumn("_pinned", F.lit(True))
     )
-    live = manifest_refs.select("file_id").distinct().withColumn("_live", F.lit(True))
+    live = manifest_refs.select("db_id", "file_id").distinct().withColumn("_live", F.lit(True))
     young = F.col("create_ts") > now - F.expr(f"INTERVAL '{min_age_s}' SECOND")
     if low_watermark is not None:
         young = young | (F.col("create_ts") >= low_watermark)
-    return files.join(live, "file_id", "left").join(pinned, "file_id", "left").select(
+    name = ["db_id", "file_id"]
+    return files.join(live, name, "left").join(pinned, name, "left").select(
         *files.columns,
         F.when(F.col("_live"), "live")
         .when(F.col("_pinned"), "pinned")
@@ -75,9 +76,8 @@ def orphans(
 
 def orphan_files(files: DataFrame, manifest_refs: DataFrame, checkpoint_refs: DataFrame) -> DataFrame:
     """Files in neither the manifest nor any checkpoint, whatever their age."""
-    return files.join(manifest_refs.select("file_id"), "file_id", "left_anti").join(
-        checkpoint_refs.select("file_id"), "file_id", "left_anti"
-    )
+    name = ["db_id", "file_id"]
+    return files.join(manifest_refs.select(*name), name, "left_anti").join(checkpoint_refs.select(*name), name, "left_anti")
 
 
 def checkpoint_retention(
@@ -95,11 +95,12 @@ def checkpoint_retention(
         checkpoints.select("db_id", "checkpoint_id", "create_ts")
         .withColumn("_rn", F.row_number().over(recent))
         .where(F.col("_rn") <= keep)
-        .select("checkpoint_id", F.lit(True).alias("_newest"))
+        .select("db_id", "checkpoint_id", F.lit(True).alias("_newest"))
     )
-    refs = retained.select("checkpoint_id").distinct().withColumn("_ref", F.lit(True))
+    name = ["db_id", "checkpoint_id"]
+    refs = retained.select(*name).distinct().withColumn("_ref", F.lit(True))
     gone = F.coalesce(F.col("expire_ts") <= now, F.lit(False))
-    both = checkpoints.join(refs, "checkpoint_id", "left").join(newest, "checkpoint_id", "left")
+    both = checkpoints.join(refs, name, "left").join(newest, name, "left")
     return both.select(
         *checkpoints.columns,
         F.when(F.col("_ref") & gone, "unrestorable")

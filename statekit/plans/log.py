@@ -48,7 +48,7 @@ FROM checkpoints JOIN events ON event_id // 500 = i GROUP BY 1, 2""")
 def durable_not_captured(spark, sf_dir):
     """Rows since the previous checkpoint that were durable, and those its manifest had not caught."""
     i = F.floor(F.col("event_id") / t.CHECKPOINT_EVERY).cast("bigint")
-    rows = t.table(spark, sf_dir, "events").select(i.alias("i"), F.col("event_id").alias("seq"))
+    rows = t.table(spark, sf_dir, "events").select(F.lit("events").alias("db_id"), i.alias("i"), F.col("event_id").alias("seq"))
     return log.capture_report(rows, t.checkpoints(spark, sf_dir))
 
 

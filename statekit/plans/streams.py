@@ -14,6 +14,7 @@ from statekit.sources import tables as t
 from statekit.streaming import runs, state
 
 PARTS = 6
+BATCH = "64g"
 DAY = 24 * 3600 * 1000
 COUNTS = "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events GROUP BY 1"
 
@@ -23,39 +24,40 @@ def own_session(spark, sf_dir, factor=1.0):
     return runs.stream_session(spark, max(1, int(runs.state_partitions(spark, rows) * factor)))
 
 
-def event_stream(spark, own, sf_dir, parts=PARTS, ordered=False):
-    """The events as a stream of about ``parts`` batches.
+def event_stream(spark, own, sf_dir):
+    """The events as a stream of the stored table where it lies, in batches by size, in no order."""
+    schema = t.table(spark, sf_dir, "events").schema
+    return t.as_events(runs.replayable(own, f"{sf_dir}/events.parquet", schema, bytes_per_batch=BATCH))
 
-    A table of many files is streamed where it lies. One of few files, or one that has to arrive in
-    order, is first written to a folder in ``parts`` pieces.
-    """
-    stored = f"{sf_dir}/events.parquet"
-    raw = t.table(spark, sf_dir, "events")
-    per_batch = None if ordered else runs.in_place(spark, stored, parts)
-    if per_batch is None:
-        stored, per_batch = session.work_path(spark, "source"), 1
-        runs.stage_all(raw, stored, "event_id", parts)
-    return t.as_events(runs.replayable(own, stored, raw.schema, per_batch))
+
+def fed_in_order(spark, own, sf_dir, parts, start, copies=1):
+    """Run a query over the events in ``parts`` batches that are disjoint and ascending in seq; the drained query."""
+    raw, path = t.table(spark, sf_dir, "events"), session.work_path(spark, "source")
+    begin = lambda: start(t.as_events(runs.replayable(own, path, raw.schema)))
+    return runs.in_order(begin, raw, path, "event_id", parts, copies)
 
 
 @query(COUNTS)
 def stream_count(spark, sf_dir):
     own = own_session(spark, sf_dir)
     out, ckpt = session.work_path(spark, "out"), session.work_path(spark, "ckpt")
-    counts = state.counter(event_stream(spark, own, sf_dir, 3))
+    counts = state.counter(event_stream(spark, own, sf_dir))
     runs.drain(runs.start(counts, ckpt, runs.batch_writer(out)))
     return runs.newest_batch(spark, out, ["key"], ["n"])
 
 
-@query(COUNTS)
+@query("SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, CAST(3 AS BIGINT) AS failed_batch FROM events GROUP BY 1")
 def stream_recovery(spark, sf_dir):
-    """A failure after batch 3 was written but not committed; the restart repeats that batch only."""
+    """A failure after batch 3 was written but not committed; the restart repeats that batch only.
+
+    ``failed_batch`` is the batch that really failed.
+    """
     own = own_session(spark, sf_dir)
     out, ckpt = session.work_path(spark, "out"), session.work_path(spark, "ckpt")
     write = runs.failing_after(runs.batch_writer(out), 3)
-    counts = state.counter(event_stream(spark, own, sf_dir))
-    runs.with_restarts(lambda: runs.start(counts, ckpt, write))
-    return runs.newest_batch(spark, out, ["key"], ["n"])
+    fed_in_order(spark, own, sf_dir, PARTS, lambda events: runs.start(state.counter(events), ckpt, write))
+    failed = F.lit(max(write.failures, default=None)).cast("bigint")
+    return runs.newest_batch(spark, out, ["key"], ["n"]).withColumn("failed_batch", failed)
 
 
 def third(spark, sf_dir, index, path, as_counts):
@@ -126,7 +128,7 @@ def query_state(spark, sf_dir):
     """The counter state that a finished query left behind."""
     own = own_session(spark, sf_dir)
     ckpt = session.work_path(spark, "ckpt")
-    counts = state.counter(event_stream(spark, own, sf_dir, 2))
+    counts = state.counter(event_stream(spark, own, sf_dir))
     runs.drain(runs.start(counts, ckpt, runs.batch_writer(session.work_path(spark, "out"))))
     held = runs.state_of(spark, ckpt)
     return held.select(F.col("key.key").alias("key"), F.col("value.count").alias("n"))
@@ -137,7 +139,7 @@ def state_change_feed(spark, sf_dir):
     """Changes of the counter state over all batches; the last of each key is its count."""
     own = own_session(spark, sf_dir)
     ckpt = session.work_path(spark, "ckpt")
-    counts = state.counter(event_stream(spark, own, sf_dir, 3))
+    counts = state.counter(event_stream(spark, own, sf_dir))
     runs.drain(runs.start(counts, ckpt, runs.batch_writer(session.work_path(spark, "out"))))
     feed = runs.state_changes(spark, ckpt, 0)
     return feed.groupBy(F.col("key.key").alias("key")).agg(
@@ -150,8 +152,11 @@ def stream_tiering(spark, sf_dir):
     """Counts kept through demotion after a day without a touch, and promotion by the next one."""
     own = own_session(spark, sf_dir)
     out, ckpt = session.work_path(spark, "out"), session.work_path(spark, "ckpt")
-    trail = state.tiers(state.combine(event_stream(spark, own, sf_dir, ordered=True)), DAY)
-    runs.drain(runs.start(trail, ckpt, runs.batch_writer(out)))
+    progress = runs.Progress(own)
+    delay = runs.disorder(t.table(spark, sf_dir, "events"), "event_id", "ts", PARTS)
+    trail = lambda events: state.tiers(state.combine(events), DAY, delay)
+    q = fed_in_order(spark, own, sf_dir, PARTS, lambda events: runs.start(trail(events), ckpt, runs.batch_writer(out)))
+    runs.no_late_rows(progress.of(q))
     return spark.read.parquet(out).groupBy("key").agg(F.max("n").alias("n"))
 
 
@@ -181,13 +186,11 @@ def stream_ttl(spark, sf_dir):
 def stream_dedupe(spark, sf_dir):
     """Every part of the log delivered twice: each record comes out once."""
     own = own_session(spark, sf_dir)
-    e = t.events(spark, sf_dir).select("key", "seq", "ts")
-    path, out = session.work_path(spark, "source"), session.work_path(spark, "out")
-    for lo, hi in runs.cuts(e, "seq", 3):
-        runs.stage(e, path, "seq", lo, hi)
-        runs.stage(e, path, "seq", lo, hi)
-    once = state.dedupe(runs.replayable(own, path, e.schema, per_batch=2), ["key", "seq"], delay="90 days")
-    runs.drain(runs.start(once, session.work_path(spark, "ckpt"), runs.batch_writer(out), mode="append"))
+    out, ckpt, progress = session.work_path(spark, "out"), session.work_path(spark, "ckpt"), runs.Progress(own)
+    delay = runs.disorder(t.table(spark, sf_dir, "events"), "event_id", "ts", 3)
+    once = lambda events: state.dedupe(events.select("key", "seq", "ts"), ["key", "seq"], delay=delay)
+    begin = lambda events: runs.start(once(events), ckpt, runs.batch_writer(out), mode="append")
+    runs.no_late_rows(progress.of(fed_in_order(spark, own, sf_dir, 3, begin, copies=2)))
     return spark.read.parquet(out).select("key", "seq")
 
 
@@ -202,7 +205,7 @@ def stream_enrich(spark, sf_dir):
         F.col("c_name").alias("name"),
         F.col("c_mktsegment").alias("segment"),
     )
-    rows = state.enrich(event_stream(spark, own, sf_dir, 3).select("key", "seq"), customers, "key")
+    rows = state.enrich(event_stream(spark, own, sf_dir).select("key", "seq"), customers, "key")
     runs.drain(runs.start(rows, session.work_path(spark, "ckpt"), runs.batch_writer(out), mode="append"))
     return spark.read.parquet(out).select("seq", "key", "name", "segment")
 
@@ -212,9 +215,8 @@ def stream_fold(spark, sf_dir):
     """Merge operands folded as they arrive: every batch is squashed, the rest is folded on reading."""
     own = own_session(spark, sf_dir)
     out = session.work_path(spark, "out")
-    stream = t.as_op_log(event_stream(spark, own, sf_dir, 4))
-    write = runs.batch_writer(out, log.squash)
-    runs.drain(runs.start(stream, session.work_path(spark, "ckpt"), write, mode="append"))
+    write, ckpt = runs.batch_writer(out, log.squash), session.work_path(spark, "ckpt")
+    fed_in_order(spark, own, sf_dir, 4, lambda events: runs.start(t.as_op_log(events), ckpt, write, mode="append"))
     return dbl(log.fold_squashed(spark.read.parquet(out).drop("batch")))
 
 
@@ -224,10 +226,9 @@ def stream_checkpoints(spark, sf_dir):
     """A log written in batches, each pinned by a checkpoint; state at the newest of them."""
     own = own_session(spark, sf_dir)
     data, pins = session.work_path(spark, "log"), session.work_path(spark, "pins")
-    stream = t.as_op_log(event_stream(spark, own, sf_dir, 3, ordered=True))
-    write = runs.checkpoint_writer(data, pins, "events")
-    runs.drain(runs.start(stream, session.work_path(spark, "ckpt"), write, mode="append"))
-    seq_hi = spark.read.parquet(pins).agg(F.max_by("seq_hi", "batch")).scalar()
+    write, ckpt = runs.checkpoint_writer(data, pins, "events"), session.work_path(spark, "ckpt")
+    fed_in_order(spark, own, sf_dir, 3, lambda events: runs.start(t.as_op_log(events), ckpt, write, mode="append"))
+    seq_hi = spark.read.parquet(pins).agg(F.max("seq_hi")).scalar()
     return dbl(log.resolve(spark.read.parquet(data), as_of=seq_hi)).withColumn("seq_hi", seq_hi)
 
 
@@ -246,7 +247,7 @@ def stream_write_through(spark, sf_dir):
         written = df.sparkSession.read.parquet(f"{cold}/batch={batch_id}")
         runs.batch_writer(hot)(written.where(recent), batch_id)
 
-    stream = event_stream(spark, own, sf_dir, 3)
+    stream = event_stream(spark, own, sf_dir)
     runs.drain(runs.start(stream, session.work_path(spark, "ckpt"), both, mode="append"))
     all_keys = spark.read.parquet(cold).groupBy("key").agg(F.sum("n").alias("n"), F.max("seq").alias("seq"))
     hot_keys = spark.read.parquet(hot).select("key").distinct().withColumn("in_hot", F.lit(True))
@@ -260,8 +261,9 @@ def stream_metrics(spark, sf_dir):
     """Progress reports as a metrics table: rows read, rows in the state at the end, late rows."""
     own = own_session(spark, sf_dir)
     counts = state.counter(event_stream(spark, own, sf_dir))
+    progress = runs.Progress(own)
     q = runs.start(counts, session.work_path(spark, "ckpt"), runs.batch_writer(session.work_path(spark, "out")))
-    rows = runs.progress_metrics(spark, runs.drain(q))
+    rows = runs.progress_metrics(spark, progress.of(runs.drain(q)))
     last = F.max_by("value", F.col("labels")["batch"].cast("bigint"))
     return rows.groupBy("name").agg(
         F.when(F.col("name") == "state_rows", last).otherwise(F.sum("value")).alias("value")

@@ -22,7 +22,7 @@ def suggested_conf(input_bytes: int) -> dict[str, str]:
     mb = 1 << 20
     return {
         **CONF,
-        "spark.sql.shuffle.partitions": str(max(200, min(input_bytes // (128 * mb), 200_000))),
+        "spark.sql.shuffle.partitions": str(max(200, input_bytes // (128 * mb))),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.files.maxPartitionBytes": "256m",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

@@ -54,7 +54,7 @@ def manifest_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = last_group(spark, sf_dir)
     return f.where(
         ((F.col("level") == "SR") & (group < last)) | ((F.col("level") == "L0") & (group == last))
-    ).select("file_id")
+    ).select("db_id", "file_id")
 
 
 def checkpoint_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +63,5 @@ def checkpoint_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     upto = F.floor(F.col("manifest_seq_hi") / PER_FILE)
     first = F.floor(upto / PER_RUN) * PER_RUN
     return cps.select(
-        "checkpoint_id", F.explode(F.sequence(first, upto)).alias("file_no")
-    ).select("checkpoint_id", fixed_width("L0-", F.col("file_no"), 20).alias("file_id"))
+        "db_id", "checkpoint_id", F.explode(F.sequence(first, upto)).alias("file_no")
+    ).select("db_id", "checkpoint_id", fixed_width("L0-", F.col("file_no"), 20).alias("file_id"))

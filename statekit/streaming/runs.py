@@ -7,20 +7,22 @@ after a failure replaces its own output.
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def state_partitions(spark: SparkSession, rows: int, per_partition: int = 1 << 20) -> int:
-    """State partitions for a stream of about so many rows: at least two, at most four per core."""
-    cores = max(spark.sparkContext.defaultParallelism, 1)
-    return max(min(2, cores), min(rows // per_partition, 4 * cores))
+    """State partitions for a stream of about so many rows, however many cores there are just now."""
+    return max(min(2, spark.sparkContext.defaultParallelism), rows // per_partition)
 
 
 def stream_session(spark: SparkSession, partitions: int) -> SparkSession:
@@ -57,26 +59,59 @@ def cuts(df: DataFrame, seq: str, parts: int) -> list[tuple[int, int]]:
     return [(lo + i * width, lo + (i + 1) * width) for i in range(parts)]
 
 
-def stage_all(df: DataFrame, path: str, seq: str, parts: int) -> None:
-    for lo, hi in cuts(df, seq, parts):
-        stage(df, path, seq, lo, hi)
+def row_cuts(df: DataFrame, seq: str, parts: int, most_rows: int = 100_000_000) -> list[tuple[int, int]]:
+    """Neighbouring ranges of ``seq`` with about equal numbers of rows: ``parts`` of them, more if a range
+    would hold over ``most_rows``."""
+    row = df.agg(F.min(seq).alias("lo"), F.max(seq).alias("hi"), F.count(seq).alias("n")).first()
+    if row["lo"] is None:
+        return []
+    parts = max(parts, -(-row["n"] // most_rows))
+    inner = df.approxQuantile(seq, [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    edges = sorted({row["lo"], row["hi"] + 1, *(int(x) for x in inner)})
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def in_order(begin: Callable[[], StreamingQuery], df: DataFrame, path: str, seq: str, parts: int, copies: int = 1) -> StreamingQuery | None:
+    """Feed ``df`` to a query as micro-batches that are disjoint and ascending in ``seq``.
+
+    Each range is staged and drained before the next one comes, so a batch is one range whatever the number
+    of files that ``df`` lies in or that a range is written to. ``begin`` starts the query on its checkpoint; ``copies``
+    delivers every range so many times within its batch.
+    """
+    query = None
+    for lo, hi in row_cuts(df, seq, parts):
+        for _ in range(copies):
+            stage(df, path, seq, lo, hi)
+        query = with_restarts(begin)
+    return query
 
 
-def replayable(spark: SparkSession, path: str, schema, per_batch: int | None = None) -> DataFrame:
-    """File stream that resumes after the last committed file; at most ``per_batch`` files a batch."""
+def disorder(df: DataFrame, seq: str, ts: str, parts: int) -> str:
+    """Watermark delay for ``in_order``: by how much event time goes back from one range to a later one."""
+    ranges = row_cuts(df, seq, parts)
+    which = F.lit(0)
+    for i, (lo, _) in enumerate(ranges):
+        which = F.when(F.col(seq) >= lo, i).otherwise(which)
+    ms = F.unix_millis(F.col(ts).cast("timestamp"))
+    rows = df.groupBy(which.alias("i")).agg(F.min(ms).alias("lo"), F.max(ms).alias("hi")).orderBy("i").collect()  # a row per range
+    back, top = 0, None
+    for row in rows:
+        back = back if top is None else max(back, top - row["lo"])
+        top = row["hi"] if top is None else max(top, row["hi"])
+    return f"{back} milliseconds"
+
+
+def replayable(spark: SparkSession, path: str, schema, per_batch: int | None = None, bytes_per_batch: str | None = None) -> DataFrame:
+    """File stream that resumes after the last committed file; at most ``per_batch`` files, or about so many
+    bytes (``64g``), a batch. Files of one batch come in no order; see :func:`in_order` where that matters."""
     reader = spark.readStream.schema(schema)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", str(per_batch))
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(path)
 
 
-def in_place(spark: SparkSession, path: str, parts: int) -> int | None:
-    """Files per batch for reading a stored table as a stream of ``parts`` batches, or None if it has
-    fewer files than that and must be staged first."""
-    files = len(spark.read.parquet(path).inputFiles())
-    return -(-files // parts) if files >= parts else None
-
-
 def event_time(stream: DataFrame, ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
     """Watermark on an event time; a time without zone is read in the session zone (UTC)."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
@@ -143,14 +178,15 @@ def checkpoint_writer(data: str, checkpoints: str, db_id: str, seq: str = "seq")
 
 def failing_after(write: Callable[[DataFrame, int], None], batch_id: int) -> Callable[[DataFrame, int], None]:
     """The same sink with one induced failure: after the data of a batch is written, before its commit."""
-    armed = [True]
+    failures: list[int] = []
 
     def write_then_fail(df: DataFrame, number: int) -> None:
         write(df, number)
-        if armed[0] and number >= batch_id:
-            armed[0] = False
+        if not failures and number >= batch_id:
+            failures.append(number)
             raise RuntimeError(f"induced failure after batch {number}")
 
+    write_then_fail.failures = failures
     return write_then_fail
 
 
@@ -204,10 +240,40 @@ def last_batch(query: StreamingQuery) -> int:
     return query.lastProgress["batchId"]
 
 
-def progress_metrics(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Metrics rows from the query's progress reports (Spark keeps the newest hundred)."""
+class Progress(StreamingQueryListener):
+    """Keeps every progress report of a session's queries; a query itself remembers the newest hundred only."""
+
+    def __init__(self, spark: SparkSession):
+        self.reports: list = []
+        self.ended: set[str] = set()
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.reports.append(json.loads(event.progress.json))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def of(self, query: StreamingQuery, seconds: float = 60) -> list[dict]:
+        """All reports of a query, once its end has been heard of."""
+        until = time.monotonic() + seconds
+        while str(query.runId) not in self.ended:
+            if time.monotonic() > until:
+                raise TimeoutError("the end of the query was not reported")
+            time.sleep(0.05)
+        return [p for p in self.reports if p["id"] == str(query.id)]
+
+
+def progress_metrics(spark: SparkSession, reports: list[dict]) -> DataFrame:
+    """Metrics rows from progress reports."""
     rows = []
-    for p in query.recentProgress:
+    for p in reports:
         labels = {"batch": str(p["batchId"])}
         rows.append((p["timestamp"], "input_rows", labels, "counter", float(p["numInputRows"])))
         for i, op in enumerate(p["stateOperators"]):
@@ -215,3 +281,10 @@ def progress_metrics(spark: SparkSession, query: StreamingQuery) -> DataFrame:
             rows.append((p["timestamp"], "state_rows", at, "gauge", float(op["numRowsTotal"])))
             rows.append((p["timestamp"], "late_rows", at, "counter", float(op["numRowsDroppedByWatermark"])))
     return spark.createDataFrame(rows, "ts string, name string, labels map<string,string>, kind string, value double")
+
+
+def no_late_rows(reports: list[dict]) -> None:
+    """Fail if a watermark has dropped rows: the delay is then too short for the source."""
+    late = sum(op["numRowsDroppedByWatermark"] for p in reports for op in p["stateOperators"])
+    if late:
+        raise ValueError(f"{late} rows came after the watermark and were dropped")

@@ -31,7 +31,7 @@ def combine(stream: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            grouped = pdf.groupby("key", sort=False)
+            grouped = pdf.groupby("key", sort=False, dropna=False)
             yield grouped.agg(n=("ts", "size"), last_ts=("ts", "max"), last_ms=("ms", "max")).reset_index()
 
     at = F.col(ts).cast("timestamp")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from statekit.operators import chunks
+from statekit.operators import chunks, log, metrics
 from statekit.operators.chunks import ChunkSpec
 
 SPECS = [ChunkSpec(), ChunkSpec(5, 1), ChunkSpec(1, 1), ChunkSpec(40, 4)]
@@ -89,3 +89,22 @@ def test_previous_row_keeps_its_nulls(spark, spec):
     got = chunks.previous(df, ["k"], "seq", {"p": F.col("v"), "at": F.col("seq")}, when=even, spec=spec)
     rows = sorted((r.seq, r.p, r.at) for r in got.collect())
     assert rows == [(0, None, None), (1, 1, 0), (2, 1, 0), (3, None, 2), (4, None, 2)]
+
+
+def test_a_null_key_is_a_key_like_others(narrow):
+    """A null series runs on over chunk borders, and its quantiles are not lost."""
+    df = narrow.range(30).select(F.when(F.col("id") % 2 == 0, "a").alias("k"), F.col("id").alias("seq"))
+    for few in (True, False):
+        got = chunks.running_sum(df, ["k"], "seq", {"n": F.lit(1)}, few_keys=few).collect()
+        assert {x.k: max(y.n for y in got if y.k == x.k) for x in got} == {"a": 15, None: 15}
+    q = metrics.quantiles(df.withColumn("v", F.col("seq").cast("int")), "k", "v", {"top": 1.0}).collect()
+    assert {x.k: x.top for x in q} == {"a": 28, None: 29}
+
+
+def test_folds_keep_null_keys_and_decimals(spark):
+    rows = [("d", None, "merge", "1.234", 1), ("d", None, "merge", "1.001", 2), ("d", "a", "put", "1.001", 3)]
+    df = spark.createDataFrame(rows, "db_id string, key string, op string, v string, seq long")
+    df = df.withColumn("value", F.col("v").cast("decimal(20,3)")).drop("v")
+    want = {None: 2.235, "a": 1.001}
+    assert {x.key: float(x.value) for x in log.fold_squashed(log.squash(df)).collect()} == want
+    assert {x.key: round(x.value, 3) for x in log.fold_with(df, lambda v: v.sum()).collect()} == want

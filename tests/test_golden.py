@@ -167,12 +167,11 @@ def test_barrier(spark):
     assert as_dict(end, "value", "count") == {"a": 3, "b": 1, "c": 1}
 
 
-@pytest.mark.parametrize("max_epochs", [100, 0])
-def test_fencing(spark, max_epochs):
-    rows = [("d", 1, 0), ("d", 1, 1), ("d", 2, 2), ("d", 1, 3), ("d", 2, 4), ("e", 1, 9)]
+def test_fencing(spark):
+    rows = [("d", 1, 0), ("d", 1, 1), ("d", 2, 2), ("d", 1, 3), ("d", 2, 4), ("e", 1, 9), ("f", None, 1), ("f", 1, 2), ("f", None, 3), (None, 1, 5)]
     df = spark.createDataFrame(rows, "db_id string, writer_epoch int, seq long")
-    got = {(x.db_id, x.seq): x.accepted for x in log.fence(df, max_epochs).collect()}
-    assert got == {("d", 0): True, ("d", 1): True, ("d", 2): True, ("d", 3): False, ("d", 4): True, ("e", 9): True}
+    got = {(x.db_id, x.seq): x.accepted for x in log.fence(df).collect()}
+    assert got == {("d", 0): True, ("d", 1): True, ("d", 2): True, ("d", 3): False, ("d", 4): True, ("e", 9): True, ("f", 1): True, ("f", 2): True, ("f", 3): False, (None, 5): True}
 
 
 def test_ttl(spark):
@@ -381,16 +380,22 @@ def test_compaction(spark):
 
 def test_orphan_states_over_time(spark):
     ts = lambda s: F.expr(f"TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '{s}' SECOND")
-    f = spark.createDataFrame([("old",), ("pinned",), ("live",)], "file_id string").withColumn("create_ts", ts(0))
-    refs = spark.createDataFrame([("live",)], "file_id string")
-    cp_refs = spark.createDataFrame([("c1", "pinned")], "checkpoint_id string, file_id string")
-    cps = spark.createDataFrame([("c1",)], "checkpoint_id string").withColumn("expire_ts", ts(900))
-    at = lambda s: {x.file_id: x.status for x in upkeep.orphans(f, refs, cp_refs, cps, ts(s), 2).collect()}
+    # A second database has files and checkpoints of the same names, held by nobody.
+    other = [("e", "pinned"), ("e", "live")]
+    f = spark.createDataFrame([("d", "old"), ("d", "pinned"), ("d", "live"), *other], "db_id string, file_id string").withColumn("create_ts", ts(0))
+    refs = spark.createDataFrame([("d", "live")], "db_id string, file_id string")
+    cp_refs = spark.createDataFrame([("d", "c1", "pinned")], "db_id string, checkpoint_id string, file_id string")
+    cps = spark.createDataFrame([("d", "c1", 900), ("e", "c1", 0)], "db_id string, checkpoint_id string, s int")
+    cps = cps.withColumn("expire_ts", F.when(F.col("s") == 900, ts(900)).otherwise(ts(0)))
+    judged = lambda s, *low: upkeep.orphans(f, refs, cp_refs, cps, ts(s), 2, *low).collect()
+    assert {x.status for x in judged(5) if x.db_id == "e"} == {"deletable"} and len(judged(5)) == 5
+    assert {x.file_id for x in upkeep.orphan_files(f, refs, cp_refs).collect() if x.db_id == "e"} == {"pinned", "live"}
+    at = lambda s: {x.file_id: x.status for x in judged(s) if x.db_id == "d"}
     assert at(1) == {"old": "too_young", "pinned": "pinned", "live": "live"}
     assert at(5) == {"old": "deletable", "pinned": "pinned", "live": "live"}
     # A young file alone does not free the pinned one; the end of the checkpoint does.
     assert at(901) == {"old": "deletable", "pinned": "deletable", "live": "live"}
-    low = {x.file_id: x.status for x in upkeep.orphans(f, refs, cp_refs, cps, ts(901), 2, ts(0)).collect()}
+    low = {x.file_id: x.status for x in judged(901, ts(0)) if x.db_id == "d"}
     assert low["old"] == "too_young"
 
 
@@ -403,7 +408,9 @@ def test_retention_and_refresh(spark):
         F.make_timestamp_ntz(F.lit(2024), F.lit(1), "c", F.lit(0), F.lit(0), F.lit(0)).alias("create_ts"),
         F.make_timestamp_ntz(F.lit(2024), F.lit(1), "x", F.lit(0), F.lit(0), F.lit(0)).alias("expire_ts"),
     )
-    held = spark.createDataFrame([("c1",), ("c4",)], "checkpoint_id string")
+    held = spark.createDataFrame([("d", "c1"), ("d", "c4")], "db_id string, checkpoint_id string")
+    both = upkeep.checkpoint_retention(cps.union(cps.withColumn("db_id", F.lit("e"))), held, 1, day(10)).collect()
+    assert len(both) == 12 and {x.checkpoint_id: x.status for x in both if x.db_id == "e"} == {"c1": "expired", "c2": "leak", "c3": "expired", "c4": "deletable", "c5": "deletable", "c6": "newest"}
     got = as_dict(upkeep.checkpoint_retention(cps, held, 1, day(10)), "checkpoint_id", "status")
     assert got == {"c1": "unrestorable", "c2": "leak", "c3": "expired", "c4": "referenced", "c5": "deletable", "c6": "newest"}
     fresh = upkeep.refresh(cps, "c1", day(20))

@@ -4,10 +4,16 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from statekit.plans import REGISTRY
 from statekit.streaming import runs, state
 from tests.test_golden import TRACE
 
 
+def staged(df, path, seq, parts):
+    for lo, hi in runs.cuts(df, seq, parts):
+        runs.stage(df, path, seq, lo, hi)
+
+
 def one_file_each(spark, path, rows, schema):
     """Each row as its own source file, in order."""
     for row in rows:
@@ -18,7 +24,7 @@ def test_recovery_counts_each_record_once(spark, tmp_path):
     own = runs.stream_session(spark, 2)
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     df = spark.range(60).select((F.concat(F.lit("key-"), (F.col("id") % 6).cast("string"))).alias("key"), F.col("id").alias("seq"))
-    runs.stage_all(df, src, "seq", 6)
+    staged(df, src, "seq", 6)
     tries = []
     write = runs.failing_after(runs.batch_writer(out), 3)
 
@@ -39,7 +45,7 @@ def test_fail_fast_names_the_cause(spark, tmp_path):
     own = runs.stream_session(spark, 1)
     src = str(tmp_path / "src")
     df = spark.range(10).select(F.col("id").cast("string").alias("key"), F.col("id").alias("seq"))
-    runs.stage_all(df, src, "seq", 1)
+    staged(df, src, "seq", 1)
 
     def broken(batch, number):
         raise RuntimeError("disk on fire")
@@ -82,15 +88,18 @@ def test_late_events_are_dropped_behind_the_watermark(spark, tmp_path):
     stream = runs.replayable(own, src, spark.createDataFrame([], "key string, ms long").schema, per_batch=1)
     clocked = runs.event_time(stream.select("key", F.timestamp_millis("ms").alias("ts")))
     counts = clocked.groupBy(F.window("ts", "10 seconds")).agg(F.count(F.lit(1)).alias("n"))
+    progress = runs.Progress(own)
     q = runs.drain(runs.start(counts, str(tmp_path / "ckpt"), runs.batch_writer(out)))
-    late = runs.progress_metrics(spark, q).where("name = 'late_rows'").agg(F.sum("value")).first()[0]
+    with pytest.raises(ValueError):
+        runs.no_late_rows(progress.of(q))
+    late = runs.progress_metrics(spark, progress.of(q)).where("name = 'late_rows'").agg(F.sum("value")).first()[0]
     assert late == 1.0
 
 
 def test_simple_sinks(spark, tmp_path):
     src = str(tmp_path / "src")
     df = spark.range(10).select(F.col("id").cast("string").alias("key"), F.col("id").alias("seq"))
-    runs.stage_all(df, src, "seq", 2)
+    staged(df, src, "seq", 2)
     stream = runs.replayable(spark, src, df.schema)
     runs.drain(runs.simple_sink(stream, "memory", str(tmp_path / "m"), "kept"))
     assert spark.table("kept").count() == 10
@@ -111,3 +120,41 @@ def test_combine_shrinks_a_hot_key(spark):
     df = spark.range(5000).select(F.lit("hot").alias("key"), F.timestamp_millis(F.col("id")).alias("ts"))
     rows = state.combine(df).collect()
     assert sum(x.n for x in rows) == 5000 and len(rows) <= 8
+
+
+def events_in(spark, path, files, stretch=1):
+    """The events dealt by hash into so many files, with event times stretched."""
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) * stretch - (stretch - 1) * 1_700_000_000_000_000)
+    e.withColumn("ts", at.cast("timestamp_ntz")).repartition(files, F.xxhash64("event_id")).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["stream_fold", "stream_tiering", "stream_dedupe", "stream_checkpoints"])
+def test_result_does_not_depend_on_the_files(spark, tmp_path, name):
+    rows = lambda d: sorted(map(str, REGISTRY[name].run(spark, d).collect()))
+    want = rows("/root/testdata/sf0.001")
+    assert want and rows(events_in(spark, tmp_path / "8", 8)) == want
+
+
+def test_dedupe_over_years(spark, tmp_path):
+    d = events_in(spark, tmp_path, 4, stretch=40)
+    assert REGISTRY["stream_dedupe"].run(spark, d).count() == spark.read.parquet(f"{d}/events.parquet").count()
+
+
+def test_progress_keeps_every_report(spark, tmp_path):
+    own = runs.stream_session(spark, 1)
+    own.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    rows = [(str(i), i) for i in range(5)]
+    one_file_each(spark, str(tmp_path / "src"), rows, "key string, seq long")
+    progress = runs.Progress(own)
+    stream = runs.replayable(own, str(tmp_path / "src"), spark.createDataFrame([], "key string, seq long").schema, per_batch=1)
+    q = runs.drain(runs.start(state.counter(stream), str(tmp_path / "c"), runs.batch_writer(str(tmp_path / "o"))))
+    got = runs.progress_metrics(spark, progress.of(q)).where("name = 'input_rows'").agg(F.sum("value")).first()[0]
+    assert got == 5
+
+
+def test_null_keys_are_combined(spark):
+    df = spark.range(100).select(F.when(F.col("id") % 2 == 0, "k").alias("key"), F.timestamp_millis(F.col("id")).alias("ts"))
+    rows = state.combine(df).groupBy("key").agg(F.sum("n").alias("n")).collect()
+    assert {x.key: x.n for x in rows} == {"k": 50, None: 50}
