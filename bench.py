@@ -17,7 +17,9 @@ HEADLINE = [
     "read_your_writes", "asof_read", "merge_sum", "merge_set", "fenced_writes", "record_rmw",
     "record_tags", "point_lookup", "replay_dedupe", "rescale_rows", "rescale_verify", "tier_gap",
     "tier_watermark", "compacted_state", "orphans", "metric_catalog", "hit_ratio", "latency_quantiles",
-    "throughput_report", "barrier_snapshot", "stream_count",
+    "throughput_report", "barrier_snapshot", "asof_orders", "asof_time", "clone_chain", "incremental_merge",
+    "stream_count", "stream_fold", "stream_tiering", "stream_dedupe", "stream_checkpoints", "stream_enrich", "query_state",
+    "state_change_feed",
 ]
 
 

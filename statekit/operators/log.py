@@ -298,7 +298,7 @@ def asof_read(
         F.when(F.col("_put"), F.col("_value")).alias("value"),
         F.when(F.col("_put"), F.col("_at")).alias("value_seq"),
     )
-    return answers if unique else lookups.join(answers, [*KEYS, at], "left")
+    return answers if unique else chunks.key_join(lookups, answers, [*KEYS, at], "left")
 
 
 def asof_time(
@@ -335,7 +335,18 @@ def fence(changelog: DataFrame) -> DataFrame:
     return joined.withColumn("accepted", F.col("_closed").isNull() | (F.col("seq") < F.col("_closed"))).select(*changelog.columns, "accepted")
 
 
-def change_feed(changelog: DataFrame, seq_from: int, seq_to: int) -> DataFrame:
+def clone(changelog: DataFrame, manifest_seq_hi: Column | int, db_id: str, lo: str | None = None, hi: str | None = None) -> DataFrame:
+    """A new database from what a checkpoint caught, of all keys or of ``lo <= key < hi``.
+
+    The clone has its own name, so that later rows of either database are no rows of the other.
+    """
+    rows = captured(changelog, manifest_seq_hi)
+    rows = rows if lo is None else rows.where(F.col("key") >= lo)
+    rows = rows if hi is None else rows.where(F.col("key") < hi)
+    return rows.withColumn("db_id", F.lit(db_id))
+
+
+def change_feed(changelog: DataFrame, seq_from: Column | int, seq_to: Column | int) -> DataFrame:
     """Log rows of an inclusive range of positions."""
     return changelog.where(F.col("seq").between(seq_from, seq_to))
 

@@ -353,3 +353,23 @@ def asof_time(spark, sf_dir):
         (F.col("ts") - F.expr("INTERVAL '90' MINUTE")).alias("at_ts"),
     )
     return dbl(log.asof_time(lookups, t.op_log(spark, sf_dir)))
+
+
+@query(f"""WITH {LOG}, {HALF}
+SELECT 'copy' AS db_id, key, CAST(value AS DOUBLE) AS value, seq FROM old_state WHERE key >= '2' AND key < '5'
+UNION ALL SELECT 'copy', key || '-new', CAST(value AS DOUBLE), seq FROM old_state WHERE key >= '2' AND key < '5'
+UNION ALL SELECT 'events', key, CAST(value AS DOUBLE), seq FROM old_state""")
+def clone_range(spark, sf_dir):
+    """Keys from 2 to 5 cloned at a checkpoint; the clone is written to and its origin is not changed by that."""
+    changes, flushed = t.op_log(spark, sf_dir), t.half_way(spark, sf_dir)
+    copy = log.clone(changes, flushed, "copy", "2", "5")
+    more = copy.withColumn("key", F.concat("key", F.lit("-new")))
+    every = log.captured(changes, flushed).unionByName(copy).unionByName(more)
+    return dbl(log.latest(every).select("db_id", "key", "value", "seq"))
+
+
+@query(f"""WITH {LOG} SELECT key, op, seq, CAST(value AS DOUBLE) AS value FROM log, cnt WHERE seq BETWEEN n // 4 AND n // 2""")
+def change_feed_table(spark, sf_dir):
+    """The changes of a table between two positions of its log."""
+    n = t.row_count(t.table(spark, sf_dir, "events"))
+    return dbl(log.change_feed(t.op_log(spark, sf_dir), F.floor(n / 4), F.floor(n / 2)).select("key", "op", "seq", "value"))

@@ -14,7 +14,7 @@ from statekit.sources import tables as t
 from statekit.streaming import runs, state
 
 PARTS = 6
-BATCH = "64g"
+BATCH = 64 << 30
 DAY = 24 * 3600 * 1000
 COUNTS = "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events GROUP BY 1"
 
@@ -268,3 +268,18 @@ def stream_metrics(spark, sf_dir):
     return rows.groupBy("name").agg(
         F.when(F.col("name") == "state_rows", last).otherwise(F.sum("value")).alias("value")
     )
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS source_offset, max(event_id) AS seq_hi, CAST(0 AS BIGINT) AS torn FROM events")
+def checkpoint_offset(spark, sf_dir):
+    """State and source position are one cut, although batch 1 failed after it was written: the newest
+    checkpoint, and how many checkpoints don't hold just the rows before their offset."""
+    own = own_session(spark, sf_dir)
+    data, pins = session.work_path(spark, "log"), session.work_path(spark, "pins")
+    write, ckpt = runs.failing_after(runs.checkpoint_writer(data, pins, "events"), 1), session.work_path(spark, "ckpt")
+    fed_in_order(spark, own, sf_dir, 3, lambda events: runs.start(t.as_op_log(events), ckpt, write, mode="append"))
+    marks = runs.checkpoint_offsets(spark, pins)
+    held = spark.read.parquet(data).groupBy("batch").agg(F.count(F.lit(1)).alias("held"), F.max("seq").alias("top"))
+    both = marks.join(held, "batch", "full")
+    torn = F.coalesce((F.col("held") == F.col("rows")) & (F.col("top") == F.col("seq_hi")), F.lit(False))
+    return both.agg(F.max("source_offset").alias("source_offset"), F.max("seq_hi").alias("seq_hi"), F.sum(F.when(torn, 0).otherwise(1)).cast("bigint").alias("torn"))

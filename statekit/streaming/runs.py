@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
@@ -101,14 +101,14 @@ def disorder(df: DataFrame, seq: str, ts: str, parts: int) -> str:
     return f"{back} milliseconds"
 
 
-def replayable(spark: SparkSession, path: str, schema, per_batch: int | None = None, bytes_per_batch: str | None = None) -> DataFrame:
+def replayable(spark: SparkSession, path: str, schema, per_batch: int | None = None, bytes_per_batch: int | None = None) -> DataFrame:
     """File stream that resumes after the last committed file; at most ``per_batch`` files, or about so many
-    bytes (``64g``), a batch. Files of one batch come in no order; see :func:`in_order` where that matters."""
+    bytes, a batch. Files of one batch come in no order; see :func:`in_order` where that matters."""
     reader = spark.readStream.schema(schema)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", str(per_batch))
     if bytes_per_batch:
-        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
+        reader = reader.option("maxBytesPerTrigger", str(bytes_per_batch))
     return reader.parquet(path)
 
 
@@ -160,22 +160,29 @@ def batch_writer(path: str, shape: Callable[[DataFrame], DataFrame] | None = Non
 
 
 def checkpoint_writer(data: str, checkpoints: str, db_id: str, seq: str = "seq") -> Callable[[DataFrame, int], None]:
-    """Sink that follows every written batch with a checkpoint row ``(checkpoint_id, db_id, seq_hi)``.
+    """Sink that follows every written batch with a checkpoint row ``(checkpoint_id, db_id, seq_hi, rows)``.
 
-    The data goes first: a checkpoint never names rows that are not there.
+    The data goes first: a checkpoint never names rows that are not there. ``rows`` counts what the batch took
+    from the source, which :func:`checkpoint_offsets` adds up to the position to go on from.
     """
     write, pin = batch_writer(data), batch_writer(checkpoints)
 
     def both(df: DataFrame, batch_id: int) -> None:
         write(df, batch_id)
-        row = df.agg(F.max(seq).alias("seq_hi")).select(
-            F.lit(f"chk-{batch_id}").alias("checkpoint_id"), F.lit(db_id).alias("db_id"), "seq_hi"
+        row = df.agg(F.max(seq).alias("seq_hi"), F.count(F.lit(1)).alias("rows")).select(
+            F.lit(f"chk-{batch_id}").alias("checkpoint_id"), F.lit(db_id).alias("db_id"), "seq_hi", "rows"
         )
         pin(row, batch_id)
 
     return both
 
 
+def checkpoint_offsets(spark: SparkSession, checkpoints: str) -> DataFrame:
+    """Checkpoints with ``source_offset``: the source rows that all batches up to theirs have taken."""
+    upto = Window.partitionBy("db_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    return spark.read.parquet(checkpoints).withColumn("source_offset", F.sum("rows").over(upto))
+
+
 def failing_after(write: Callable[[DataFrame, int], None], batch_id: int) -> Callable[[DataFrame, int], None]:
     """The same sink with one induced failure: after the data of a batch is written, before its commit."""
     failures: list[int] = []
