@@ -25,9 +25,12 @@ def own_session(spark, sf_dir, factor=1.0):
 
 
 def event_stream(spark, own, sf_dir):
-    """The events as a stream of the stored table where it lies, in batches by size, in no order."""
+    """The events as a stream of the stored table where it lies, in batches by size, in no order.
+
+    The pattern matches a table that is one file as well as one that is a folder; a plain path must be a folder.
+    """
     schema = t.table(spark, sf_dir, "events").schema
-    return t.as_events(runs.replayable(own, f"{sf_dir}/events.parquet", schema, bytes_per_batch=BATCH))
+    return t.as_events(runs.replayable(own, f"{sf_dir}/events.parque[t]", schema, bytes_per_batch=BATCH))
 
 
 def fed_in_order(spark, own, sf_dir, parts, start, copies=1):
