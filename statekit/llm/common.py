@@ -57,12 +57,12 @@ def as_arrow(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``PIECE`` bytes of text each; a longer text makes a slice of its own."""
-    if "text" not in batch.schema.names or batch.num_rows == 0:
+    if name not in batch.schema.names or batch.num_rows == 0:
         yield batch
         return
-    ends = np.cumsum(lengths(batch.column("text")))
+    ends = np.cumsum(lengths(batch.column(name)))
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0

@@ -10,8 +10,9 @@ Bucket refinement, coarse to fine; a bucket with one member is left out of all l
 2. *span buckets*: the identifier of a longer string is made from the identifiers of its q-grams at later
    offsets, id50(p) = (id25(p), id25(p+25)), id100(p) = (id50(p), id50(p+50)), each result being used
    again by the next. A span (all windows of an anchor) is (id100(first), id100(last)).
-3. *window buckets*: only where one q-gram bucket has fallen apart into several span buckets, the first
-   member of each is refined once more by id100 of its single windows.
+3. *part buckets*: only where one q-gram bucket has fallen apart into several span buckets, the first member of
+   each is refined again: in parts of up to 19 windows, first by the 82 bytes that they have in common.
+4. *window buckets*: the same once more for the first members of parts that differ, by their single windows.
 
 A bucket's pointer is its earliest member; every other member is removed. Order inside a bucket is not
 needed, so refinement stops at depth 100 and identifiers are hashes instead of ranks (64 bits of span
@@ -24,18 +25,29 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statekit.llm import common as c
-from statekit.session import durable
 
 DEPTH, GRAM = 100, 25
+PART = 19
+PART_COMMON = DEPTH - PART + 1
 REACH = DEPTH - GRAM
 BLOCK = 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 
 
+def placed(first, size, ahead):
+    """A run of windows as one number: where it starts, how many, and how far its anchor is from there."""
+    return (first << 14) | (size << 7) | ahead
+
+
+def unplaced(place: np.ndarray):
+    return place >> 14, (place >> 7) & 127, place & 127
+
+
 def identifiers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """id25 and id100 of every position of a block that has room for them."""
     sums = c.prefix_hash(data)
@@ -58,53 +70,94 @@ def anchors(id25: np.ndarray, windows: int) -> np.ndarray:
     return (low & PLACE).astype(np.int64)
 
 
-def spans(data: np.ndarray):
-    """(first window, windows, q-gram bucket, span bucket) of each anchor of one text."""
+def spans(data: np.ndarray, at: np.ndarray):
+    """(text, place, q-gram bucket, span bucket) of each anchor of several texts that lie one after the other."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
     found = []
     for start in range(0, max(0, len(data) - DEPTH + 1), BLOCK):
         block = data[start : start + BLOCK + DEPTH - 1]
         id25, id100 = identifiers(block)
-        at = anchors(id25, len(id100))
-        head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        size = np.diff(np.r_[head, len(at)])
-        place = at[head] - head
-        whole = c.pair(id100[head], id100[head + size - 1]) + c.mix((place * 128 + size).astype(np.uint64))
-        found.append((head + start, size, id25[at[head]], whole))
-    if not found:
-        return None
-    return [np.concatenate(x) for x in zip(*found, strict=True)]
+        anchor = anchors(id25, len(id100))
+        mine = owner[start : start + len(id100)]
+        whole = mine == owner[start + DEPTH - 1 : start + DEPTH - 1 + len(id100)]  # a window lies in one text
+        head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (mine[1:] != mine[:-1]) | (whole[1:] != whole[:-1])])
+        size = np.diff(np.r_[head, len(id100)])
+        head, size = head[whole[head]], size[whole[head]]
+        ahead = anchor[head] - head
+        span = c.pair(id100[head], id100[head + size - 1]) + c.mix((ahead * 128 + size).astype(np.uint64))
+        found.append((mine[head], placed(head + start - at[mine[head]], size, ahead), id25[anchor[head]], span))
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else None
 
 
 def find_anchors(batch: pa.RecordBatch):
     data, at = c.buffer(batch.column("text"))
-    ids = c.ids(batch)
-    out = []
-    for k in range(batch.num_rows):
-        if (got := spans(data[at[k] : at[k + 1]])) is not None:
-            out.append((np.full(len(got[0]), ids[k]), *got))
-    if out:
-        doc, first, size, gram, span = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield {"doc_id": doc, "place": first * 128 + size, "gram": gram, "span": span}
+    if (got := spans(data, at)) is not None:
+        yield {"doc_id": c.ids(batch)[got[0]], "place": got[1], "gram": got[2], "span": got[3]}
 
 
-def find_windows(batch: pa.RecordBatch):
-    """The single windows of the spans that a q-gram bucket holds in several versions."""
+def runs_of(batch: pa.RecordBatch):
+    """The runs that the documents bring: ids, start of their text in the bytes, place and bucket; and the hashes."""
     data, at = c.buffer(batch.column("text"))
-    ids, runs = c.ids(batch), batch.column("runs").to_pylist()
-    for k in range(batch.num_rows):
-        text = data[at[k] : at[k + 1]]
-        place = np.array([r["place"] for r in runs[k]], np.int64)
-        first, size = place >> 7, place & 127
-        gram = np.array([r["gram"] for r in runs[k]], np.int64)
-        order = np.argsort(first)
-        first, size, gram = first[order], size[order], gram[order]
-        for start in range(0, len(text), BLOCK):
-            here = (first >= start) & (first < start + BLOCK)
-            if not here.any():
-                continue
-            _, id100 = identifiers(text[start : start + BLOCK + 2 * DEPTH])
-            place = c.expand(first[here] - start, size[here])
-            yield {"doc_id": np.full(len(place), ids[k]), "place": (place + start) * 128 + 1, "gram": np.repeat(gram[here], size[here]), "window": id100[place]}
+    lists = batch.column("runs")
+    flat, ends = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    place, gram = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("place", "gram"))
+    doc = np.repeat(np.arange(batch.num_rows), ends)
+    return c.ids(batch)[doc], at[doc], place, gram, c.prefix_hash(data)
+
+
+def find_parts(batch: pa.RecordBatch):
+    """Runs cut by the distance to the anchor; all windows of a part have PART_COMMON bytes in common."""
+    ids, text, place, gram, sums = runs_of(batch)
+    first, size, ahead = unplaced(place)
+    for part in range(0, REACH + 1, PART):
+        far = np.minimum(ahead, part + PART - 1)  # the distance falls from window to window
+        near = np.maximum(ahead - size + 1, part)
+        some = far >= near
+        doc, start, anchor, far, near = ids[some], text[some], (first + ahead)[some], far[some], near[some]
+        common = c.span_hash(sums, start + anchor - part, start + anchor - part + PART_COMMON)
+        one, last = (c.span_hash(sums, start + anchor - x, start + anchor - x + DEPTH) for x in (far, near))
+        span = c.pair(one, last) + c.mix((far * 128 + near).astype(np.uint64))
+        yield {"doc_id": doc, "place": placed(anchor - far, far - near + 1, far), "gram": c.pair(gram[some].view(np.uint64), common), "span": span}
+
+
+def find_windows(batch: pa.RecordBatch):
+    """The single windows of the runs that the documents bring."""
+    ids, text, place, gram, sums = runs_of(batch)
+    first, size, _ = unplaced(place)
+    window = c.expand(text + first, size)
+    own = c.span_hash(sums, window, window + DEPTH)
+    yield {"doc_id": np.repeat(ids, size), "place": placed(window - np.repeat(text, size), 1, 0), "gram": np.repeat(gram, size), "span": own}
+
+
+def unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with its packed texts as bytes."""
+    press = zstandard.ZstdDecompressor()
+    texts = pa.array([press.decompress(x) for x in batch.column("packed").to_pylist()], pa.binary())
+    rest = {n: batch.column(n) for n in batch.schema.names if n != "packed"}
+    return pa.RecordBatch.from_pydict(rest | {"text": texts})
+
+
+def unpacked(fn):
+    def run(batch: pa.RecordBatch):
+        for packed in c.pieces(batch, "packed"):
+            for part in c.pieces(unpack(packed)):
+                yield from fn(part)
+
+    return run
+
+
+def pack_texts(batch: pa.RecordBatch):
+    press = zstandard.ZstdCompressor(level=1)
+    yield {"doc_id": batch.column("doc_id"), "packed": [press.compress(x.encode()) for x in batch.column("text").to_pylist()]}
+
+
+def refine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the span buckets but the earliest, and the earliest ones of q-gram buckets with several of them."""
+    buckets = rows.groupBy("gram", "span").agg(F.min(F.struct("doc_id", "place")).alias("head"), F.count(F.lit(1)).alias("n"))
+    late = rows.join(buckets.where("n > 1").drop("n"), ["gram", "span"]).where("doc_id != head.doc_id OR place != head.place")
+    apart = buckets.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    edges = buckets.join(apart, "gram").select("head.doc_id", F.struct("head.place", "gram").alias("run"))
+    return late.select("doc_id", "place"), edges.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 
 def merge(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +177,8 @@ def cut(batch: pa.RecordBatch):
         a = b = np.zeros(0, np.int64)
         if runs[k].is_valid and len(runs[k].values):
             place = runs[k].values.to_numpy(zero_copy_only=False)
-            a, b = merge(place >> 7, (place >> 7) + (place & 127) + DEPTH - 1)
+            first, size, _ = unplaced(place)
+            a, b = merge(first, first + size + DEPTH - 1)
         keep = np.ones(len(text), bool)
         for x, y in zip(a, b, strict=True):
             keep[x:y] = False
@@ -144,21 +198,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     an id before all others; for repeated rows and ids see ``common.one_each``. Other columns are ignored.
     """
     texts, names = c.one_each(spark, docs)
-    found = c.map_batches(texts, find_anchors, "doc_id long, place long, gram long, span long")
+    schema = "doc_id long, place long, gram long, span long"
+    found = c.map_batches(texts, find_anchors, schema)
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    held = durable(spark, found.join(grams, "gram"), "suffix-anchors")
-    buckets = held.groupBy("gram", "span").agg(F.min(F.struct("doc_id", "place")).alias("head"), F.count(F.lit(1)).alias("n"))
-    buckets = durable(spark, buckets, "suffix-buckets")
-    member = "doc_id != head.doc_id OR place != head.place"
-    copies = held.join(buckets.where("n > 1").drop("n"), ["gram", "span"]).where(member).select("doc_id", "place")
-    apart = buckets.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    edges = buckets.join(apart, "gram").select("head.doc_id", F.struct("head.place", "gram").alias("run"))
-    edges = edges.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    # The texts are shuffled by id once; the last join below takes the same exchange again.
-    single = c.map_batches(texts.join(edges, "doc_id"), find_windows, "doc_id long, place long, gram long, window long")
-    heads = single.groupBy("gram", "window").agg(F.min(F.struct("doc_id", "place")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    late = single.join(heads, ["gram", "window"]).where(member).select("doc_id", "place")
-    runs = copies.unionByName(late).groupBy("doc_id").agg(F.collect_list("place").alias("runs"))
-    out = texts.join(runs, "doc_id", "left").select("doc_id", "text", "runs")
+    # The texts are shuffled by id once, packed; the three joins below take the same exchange.
+    packed = c.map_batches(texts, pack_texts, "doc_id long, packed binary")
+    whole, edges = refine(found.join(grams, "gram"))
+    parts, edges = refine(c.map_batches(packed.join(edges, "doc_id"), unpacked(find_parts), schema))
+    single, _ = refine(c.map_batches(packed.join(edges, "doc_id"), unpacked(find_windows), schema))
+    runs = whole.unionByName(parts).unionByName(single).groupBy("doc_id").agg(F.collect_list("place").alias("runs"))
+    out = packed.join(runs, "doc_id", "left").select("doc_id", "packed", "runs")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return c.shown(c.map_batches(out, cut, schema), names)
+    return c.shown(c.map_batches(out, unpacked(cut), schema), names)

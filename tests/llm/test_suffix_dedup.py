@@ -46,14 +46,16 @@ def test_long_text_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(op, "BLOCK", 64)
     rows = rows_for_test()[:60]
     import numpy as np
+    import pyarrow as pa
 
-    for _, text in rows:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        got = op.spans(data)
-        if got is None:
-            assert len(data) < op.DEPTH
-        else:
-            assert got[1].sum() == len(data) - op.DEPTH + 1 and (got[0][1:] == got[0][:-1] + got[1][:-1]).all()
+    from statekit.llm import common as c
+
+    data, at = c.buffer(pa.array([t or "" for _, t in rows]))
+    doc, place, _, _ = op.spans(data, at)
+    for k in range(len(rows)):
+        first, size, ahead = op.unplaced(place[doc == k])
+        assert size.sum() == max(0, at[k + 1] - at[k] - op.DEPTH + 1)
+        assert (first == np.cumsum(size) - size).all() and ((ahead >= size - 1) & (ahead <= op.REACH)).all()
 
 
 def test_edges(spark):
