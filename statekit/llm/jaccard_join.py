@@ -2,7 +2,8 @@
 
 The columns (n-grams) are dealt into blocks, and the part of a document's row inside a block is a
 *block row*. A pair within the similarity differs in at most D n-grams, D derived from the sizes, so with
-D + 2 blocks at least two of its block rows are equal. Only equal block rows are multiplied:
+D + E blocks at least E of its block rows are equal (E is a quarter of D, two at least); documents that share fewer
+with all others together are out at once. Only equal block rows are multiplied:
 
 * Equal rows of the whole matrix are one row (exact copies cost nothing).
 * Block rows shared by few documents are multiplied pair by pair; the sizes of equal block rows add up to a
@@ -54,8 +55,9 @@ def shingle_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
     return out
 
 
-def levels(percent: int, most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size classes: smallest size of each, largest partner of its sizes, and number of blocks (0: none needed)."""
+def levels(percent: int, most: int = 1 << 31) -> tuple[np.ndarray, ...]:
+    """Size classes: smallest size of each, largest partner of its sizes, number of blocks (0: none needed),
+    and how many of them are equal at least."""
     low = [1]
     while low[-1] < most:
         low.append(max(low[-1] + 1, low[-1] * 100 // percent + 1, low[-1] * 4 // 3))
@@ -63,7 +65,8 @@ def levels(percent: int, most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, n
     high = low[1:] - 1
     partner = high * 100 // percent
     differ = (high + partner) * (100 - percent) // (100 + percent)
-    return low, partner, np.where(differ > 0, differ + 2, 0)
+    equal = np.maximum(2, -(-differ // 4))
+    return low, partner, np.where(differ > 0, differ + equal, 0), equal
 
 
 def profile(width: int):
@@ -81,10 +84,10 @@ def profile(width: int):
 
 
 def block_rows(width: int, percent: int):
-    low, partner, blocks = levels(percent)
+    low, partner, blocks, equal = levels(percent)
 
     def run(batch: pa.RecordBatch):
-        sigs, docs, sizes = [], [], []
+        sigs, docs, sizes, needs = [], [], [], []
         ids = c.ids(batch)
         for k, s in enumerate(shingle_sets(batch, width)):
             if not len(s):
@@ -100,13 +103,15 @@ def block_rows(width: int, percent: int):
                 size = np.diff(edge)
                 name = c.mix(np.arange(n, dtype=np.uint64) + np.uint64((level + 1) << 32))
                 sig = c.mix((sums[edge[1:]] - sums[edge[:-1]]) ^ name)
-                if (size == 0).sum() < 2:  # then a pair also shares a block that is not empty
+                empty = int((size == 0).sum())
+                if empty < equal[level]:  # then a pair also shares blocks that are not empty
                     sig, size = sig[size > 0], size[size > 0]
+                needs.append(np.full(len(sig), max(1, int(equal[level]) - empty)))
                 sigs.append(sig)
                 docs.append(np.full(len(sig), ids[k]))
                 sizes.append(size if level == own else -1 - size)  # below zero: met by smaller ones only
         if sigs:
-            yield {"sig": np.concatenate(sigs), "doc_id": np.concatenate(docs), "size": np.concatenate(sizes)}
+            yield {"sig": np.concatenate(sigs), "doc_id": np.concatenate(docs), "size": np.concatenate(sizes), "need": np.concatenate(needs)}
 
     return run
 
@@ -166,13 +171,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, per
     rows = durable(spark, filled.join(same, ["n", "s1", "s2"]).select("doc_id", "n", "rep", "n_copies"), "jaccard-rows")
     reps = rows.where("doc_id = rep").select("doc_id", "n")
 
-    sigs = c.map_batches(texts, block_rows(width, percent), "sig long, doc_id long, size int")
+    sigs = c.map_batches(texts, block_rows(width, percent), "sig long, doc_id long, size int, need int")
     twice = sigs.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("sig")
     shared = durable(spark, sigs.join(twice, "sig").join(reps, "doc_id"), "jaccard-blocks")
+    # A document that shares fewer block rows than any pair within the similarity must is out.
+    met = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("sig")
+    met = shared.join(met, "sig").withColumn("lower", F.col("size") < 0)
+    able = met.groupBy("doc_id", "lower").agg(F.count(F.lit(1)).alias("has"), F.max("need").alias("least")).where("has >= least")
+    shared = durable(spark, met.join(able.select("doc_id", "lower"), ["doc_id", "lower"]).drop("lower", "need"), "jaccard-able")
     held = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    few = shared.join(held.where(f"held <= {FEW}").select("sig"), "sig")
     many = shared.join(held.where(f"held > {FEW}").select("sig"), "sig").select("doc_id").distinct()
+    many = durable(spark, many, "jaccard-many")
+    few = shared.join(held.where(f"held <= {FEW}").select("sig"), "sig")
+    few = few.join(many.withColumn("wide", F.lit(True)), "doc_id", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     once = (F.col("size_a") >= 0) | (F.col("size_b") >= 0)  # a pair counts in the class of its smaller side
+    once = once & ~(F.col("wide_a") & F.col("wide_b"))  # two of those meet in their single n-grams
     pairs = pairs_of(few, "sig", percent, once).groupBy("a", "b", "na", "nb").agg(F.sum(F.greatest("size_a", "size_b")).alias("same"))
     pairs = durable(spark, pairs.withColumn("sure", enough("same", percent)), "jaccard-pairs")
     columns = durable(spark, rare_columns(spark, texts, many, width, percent), "jaccard-columns")
@@ -203,9 +216,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, per
 
 
 def unshared_bound(percent: int) -> Column:
-    """N-grams that no other row has can't be common: what they leave must reach the similarity."""
-    most = F.least(F.col("n_a") - F.col("alone_a"), F.col("n_b") - F.col("alone_b"))
-    return most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    """What two rows can have in common at most must reach the similarity.
+
+    N-grams that no other row has can't be common, and if the pair meets in this column first, nothing
+    before it in the order by rarity is: a pair that is within the similarity passes in the first column it meets in.
+    """
+    alone = F.least(F.col("n_a") - F.col("alone_a"), F.col("n_b") - F.col("alone_b"))
+    after = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    return F.least(alone, after) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
 
 
 def rare_columns(spark: SparkSession, texts: DataFrame, many: DataFrame, width: int, percent: int) -> DataFrame:
@@ -220,4 +238,5 @@ def rare_columns(spark: SparkSession, texts: DataFrame, many: DataFrame, width:
     )
     prefix = F.expr(f"int(n - ((n * {percent} + 99) div 100) + 1)")
     ranked = ranked.where(f"(n - alone) * 100 >= n * {percent}")
-    return ranked.select("doc_id", "n", "alone", "shared_by", F.explode(F.slice("grams", F.lit(1), prefix)).alias("g")).where("g.df > 1").select("g.gram", "doc_id", "n", "alone", "shared_by")
+    columns = ranked.select("doc_id", "n", "alone", "shared_by", F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("at", "g"))
+    return columns.where("g.df > 1").select("g.gram", "doc_id", "n", "alone", "shared_by", "at")

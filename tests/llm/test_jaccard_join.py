@@ -67,7 +67,7 @@ def test_against_brute_force(spark, monkeypatch, width, percent, few):
 
 def test_levels_meet():
     for percent in (80, 90):
-        low, partner, blocks = op.levels(percent, 5000)
+        low, partner, blocks, _ = op.levels(percent, 5000)
         level = lambda n: [k for k in range(len(blocks)) if (low[k] <= n < low[k + 1]) or (k + 1 < len(low) and low[k + 1] <= n and n <= partner[k] and n < low[k + 2])]
         for n in range(1, 700):
             for m in range(n, n * 100 // percent + 1):
