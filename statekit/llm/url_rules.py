@@ -1,28 +1,29 @@
 """URL filter by association rules: fixed rules first, mined token combinations for the rest.
 
-The urls that the fixed rules decide are the labelled ones. Spark's FP-growth mines which combinations of url
+The urls that the fixed rules decide are the labelled ones. Level by level it is mined which combinations of url
 tokens go with a verdict; rules below the support or confidence, and rules that a shorter one already implies, are
-pruned. A url is judged by the best mined rule whose tokens it has, found by an inverted index that lists each
+pruned, all others are kept. A url is judged by the best mined rule whose tokens it has, found by an inverted index that lists each
 rule under its rarest token.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statekit.llm import common as c
+from statekit.session import durable
 
 # Fixed rules: host, path, verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 SUPPORT, CONFIDENCE = 0.002, 0.7
 MOST_TOKENS = 12  # of a url, for mining only
 MOST_ROWS = 200_000  # labelled urls that are mined, the first by hash
-MOST_RULES = 5_000  # kept by confidence, support and length
+MOST_HELD = 50_000  # sets that a task counts before it hands the counts on
 DEFAULT = "allow"
 
 
@@ -66,21 +67,79 @@ def prepared(pages: DataFrame) -> DataFrame:
 
 
 def mine(rows: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[frozenset, str, float, float]]:
-    """Pruned rules (tokens, verdict, confidence, support) from the rows with a fixed verdict."""
+    """Pruned rules (tokens, verdict, confidence, support) from the rows with a fixed verdict.
+
+    Sets are counted by size. One is live if a larger set can still be a rule that survives the pruning: it is
+    frequent with some verdict, not all of one verdict (it would imply its supersets) and rarer than each of its
+    subsets (else those say the same). All subsets of a live set are live, so nothing that survives is missed; the
+    live sets are bounded by the support only.
+    """
+    spark = rows.sparkSession
+    labels = sorted({v for *_, v in RULES})
+    names = [f"n{k}" for k in range(len(labels))]
     known = rows.where("fixed IS NOT NULL").select("tokens", "fixed").orderBy(F.xxhash64("tokens")).limit(MOST_ROWS)
-    items = F.concat(F.array(F.concat(F.lit("="), "fixed")), F.slice(F.array_sort("tokens"), 1, MOST_TOKENS))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(known.select(items.alias("items")))
-    found = model.associationRules.select("antecedent", F.col("consequent")[0].alias("label"), "confidence", "support")
-    found = found.where(F.col("label").startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
-    best = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_sort("antecedent")).limit(MOST_RULES).collect()
-    kept: list[tuple[frozenset, str, float, float]] = []
-    by_token = defaultdict(list)
-    for r in sorted(best, key=lambda r: (-round(r.confidence, 9), len(r.antecedent), -r.support, sorted(r.antecedent))):
-        mine_, label = frozenset(r.antecedent), r.label[1:]
-        if not any(tokens <= mine_ and verdict == label for t in mine_ for tokens, verdict in by_token[t]):
-            kept.append((mine_, label, r.confidence, r.support))
-            by_token[min(mine_)].append((mine_, label))
-    return kept
+    known = known.select(F.slice(F.array_sort("tokens"), 1, MOST_TOKENS).alias("items"), *[(F.col("fixed") == v).cast("long").alias(n) for v, n in zip(labels, names, strict=True)])
+    known = durable(spark, known.groupBy("items").agg(*[F.sum(n).alias(n) for n in names]), "labelled-urls")
+    every = sum(x or 0 for x in known.agg(*[F.sum(n) for n in names]).first())
+    least = max(1, math.ceil(support * every))
+    rules: list[tuple[frozenset, str, float, float]] = []
+    live: dict[tuple, tuple[int, list[float]]] = {}  # rows and best confidence of each verdict, its own or a subset's
+    counted = known.select(F.explode("items").alias("item"), *names).select(F.array("item").alias("items"), *names)
+    while True:
+        total = counted.groupBy("items").agg(*[F.sum(n).alias(n) for n in names])
+        now = {}
+        for r in total.where(F.array_max(F.array(*names)) >= least).collect():
+            items, n = tuple(r["items"]), [r[x] for x in names]
+            below = [live[x] for x in subsets(items)]
+            if any(sum(n) == have for have, _ in below):
+                continue
+            best = [max((b[k] for _, b in below), default=0.0) for k in range(len(labels))]
+            rate = [x / sum(n) for x in n]
+            rules += [(frozenset(items), v, q, x / every) for v, x, q, b in zip(labels, n, rate, best, strict=True) if x >= least and q >= confidence and q > b]
+            if max(n) < sum(n):
+                now[items] = sum(n), [max(x) for x in zip(rate, best, strict=True)]
+        live = now
+        if not live:
+            return sorted(rules, key=lambda r: (-round(r[2], 9), len(r[0]), -r[3], sorted(r[0])))
+        counted = larger(spark, known, live, names)
+
+
+def subsets(items: tuple) -> list[tuple]:
+    """Those with one token less, but not the empty one."""
+    return [items[:k] + items[k + 1 :] for k in range(len(items))] if len(items) > 1 else []
+
+
+def larger(spark: SparkSession, known: DataFrame, live: dict[tuple, tuple], names: list[str]) -> DataFrame:
+    """Counts, not yet added up, of the sets with one token more of which every subset is live."""
+    size = len(next(iter(live)))
+    after = defaultdict(set)  # tokens that lead from a prefix to a live set
+    for items in live:
+        for k in range(size):
+            after[items[:k]].add(items[k])
+    shared = spark.sparkContext.broadcast((frozenset(live), frozenset(t for x in live for t in x), dict(after)))
+
+    def count(batch: pa.RecordBatch):
+        alive, letters, follow = shared.value
+        found: dict[tuple, list[int]] = {}
+        for got, *n in zip(*[batch.column(x).to_pylist() for x in ("items", *names)], strict=True):
+            have = [t for t in got if t in letters]
+            paths = [((), 0)]
+            for _ in range(size):
+                paths = [((*p, have[j]), j + 1) for p, i in paths for j in range(i, len(have)) if have[j] in follow.get(p, ())]
+            for p, i in paths:
+                for t in have[i:]:
+                    items = (*p, t)
+                    if all(x in alive for x in subsets(items)):
+                        found[items] = [a + b for a, b in zip(found[items], n, strict=True)] if items in found else n
+            if len(found) >= MOST_HELD:
+                yield columns(found)
+                found = {}
+        yield columns(found)
+
+    def columns(found: dict) -> dict:
+        return {"items": [list(x) for x in found], **{name: [n[k] for n in found.values()] for k, name in enumerate(names)}}
+
+    return c.map_batches(known, count, ", ".join(["items array<string>", *[f"{n} long" for n in names]]))
 
 
 def inverted(rules: list) -> dict[str, list[tuple[int, frozenset, str]]]:

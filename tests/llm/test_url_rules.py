@@ -59,3 +59,14 @@ def test_edges(spark):
     assert op.judge(spark, none).count() == 0
     odd = spark.createDataFrame([(1, None), (1, None), (2, "http://a.net/" + "x/" * 20000)], "page_id long, url string")
     assert [x.verdict for x in op.judge(spark, odd).orderBy(F.col("page_id")).collect()] == ["allow"] * 3
+
+
+def pages(spark, urls):
+    return op.prepared(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+
+
+def test_supersets_do_not_crowd_out_a_weaker_rule(spark):
+    urls = ["http://a.com/de/b/c/d/e/f/g"] * 20 + ["https://h.example.org/es/i/j/k/l/m"] * 20 + ["http://z.org/mix"] * 3 + ["http://z.com/de/mix"]
+    got = {(s, v): round(q, 9) for s, v, q, _ in op.mine(pages(spark, urls), 0.02, 0.7)}
+    assert got[frozenset(["p:mix"]), "allow"] == 0.75 and got[frozenset(["p:c"]), "block"] == got[frozenset(["p:i"]), "block"] == 1
+    assert all(len(s) <= 2 for s, _ in got)
