@@ -22,7 +22,6 @@ from statekit.session import durable
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 SUPPORT, CONFIDENCE = 0.002, 0.7
 MOST_TOKENS = 12  # of a url, for mining only
-MOST_ROWS = 200_000  # labelled urls that are mined, the first by hash
 MOST_HELD = 50_000  # sets that a task counts before it hands the counts on
 DEFAULT = "allow"
 
@@ -67,7 +66,7 @@ def prepared(pages: DataFrame) -> DataFrame:
 
 
 def mine(rows: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[frozenset, str, float, float]]:
-    """Pruned rules (tokens, verdict, confidence, support) from the rows with a fixed verdict.
+    """Pruned rules (tokens, verdict, confidence, support) from all rows with a fixed verdict.
 
     Sets are counted by size. One is live if a larger set can still be a rule that survives the pruning: it is
     frequent with some verdict, not all of one verdict (it would imply its supersets) and rarer than each of its
@@ -77,8 +76,7 @@ def mine(rows: DataFrame, support: float = SUPPORT, confidence: float = CONFIDEN
     spark = rows.sparkSession
     labels = sorted({v for *_, v in RULES})
     names = [f"n{k}" for k in range(len(labels))]
-    known = rows.where("fixed IS NOT NULL").select("tokens", "fixed").orderBy(F.xxhash64("tokens")).limit(MOST_ROWS)
-    known = known.select(F.slice(F.array_sort("tokens"), 1, MOST_TOKENS).alias("items"), *[(F.col("fixed") == v).cast("long").alias(n) for v, n in zip(labels, names, strict=True)])
+    known = rows.where("fixed IS NOT NULL").select(F.slice(F.array_sort("tokens"), 1, MOST_TOKENS).alias("items"), *[(F.col("fixed") == v).cast("long").alias(n) for v, n in zip(labels, names, strict=True)])
     known = durable(spark, known.groupBy("items").agg(*[F.sum(n).alias(n) for n in names]), "labelled-urls")
     every = sum(x or 0 for x in known.agg(*[F.sum(n) for n in names]).first())
     least = max(1, math.ceil(support * every))

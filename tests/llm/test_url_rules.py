@@ -70,3 +70,9 @@ def test_supersets_do_not_crowd_out_a_weaker_rule(spark):
     got = {(s, v): round(q, 9) for s, v, q, _ in op.mine(pages(spark, urls), 0.02, 0.7)}
     assert got[frozenset(["p:mix"]), "allow"] == 0.75 and got[frozenset(["p:c"]), "block"] == got[frozenset(["p:i"]), "block"] == 1
     assert all(len(s) <= 2 for s, _ in got)
+
+
+def test_every_labelled_row_counts(spark):
+    urls = F.when(F.col("id") % 2 == 0, "http://a.com/de/x").otherwise("http://b.org/y/z")
+    got = {(s, v): (q, share) for s, v, q, share in op.mine(op.prepared(spark.range(410_000).select(F.col("id").alias("page_id"), urls.alias("url"))), 0.1, 0.7)}
+    assert got[frozenset(["p:x"]), "block"] == got[frozenset(["p:y"]), "allow"] == (1.0, 0.5)
