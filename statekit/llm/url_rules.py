@@ -21,7 +21,7 @@ from statekit.session import durable
 # Fixed rules: host, path, verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 SUPPORT, CONFIDENCE = 0.002, 0.7
-MOST_TOKENS = 12  # of a url, for mining only
+MOST_TOKENS = None  # of a url, for mining: all
 MOST_HELD = 50_000  # sets that a task counts before it hands the counts on
 DEFAULT = "allow"
 
@@ -76,7 +76,7 @@ def mine(rows: DataFrame, support: float = SUPPORT, confidence: float = CONFIDEN
     spark = rows.sparkSession
     labels = sorted({v for *_, v in RULES})
     names = [f"n{k}" for k in range(len(labels))]
-    known = rows.where("fixed IS NOT NULL").select(F.slice(F.array_sort("tokens"), 1, MOST_TOKENS).alias("items"), *[(F.col("fixed") == v).cast("long").alias(n) for v, n in zip(labels, names, strict=True)])
+    known = rows.where("fixed IS NOT NULL").select(F.array_sort("tokens").alias("items"), *[(F.col("fixed") == v).cast("long").alias(n) for v, n in zip(labels, names, strict=True)])
     known = durable(spark, known.groupBy("items").agg(*[F.sum(n).alias(n) for n in names]), "labelled-urls")
     every = sum(x or 0 for x in known.agg(*[F.sum(n) for n in names]).first())
     least = max(1, math.ceil(support * every))

@@ -76,3 +76,9 @@ def test_every_labelled_row_counts(spark):
     urls = F.when(F.col("id") % 2 == 0, "http://a.com/de/x").otherwise("http://b.org/y/z")
     got = {(s, v): (q, share) for s, v, q, share in op.mine(op.prepared(spark.range(410_000).select(F.col("id").alias("page_id"), urls.alias("url"))), 0.1, 0.7)}
     assert got[frozenset(["p:x"]), "block"] == got[frozenset(["p:y"]), "allow"] == (1.0, 0.5)
+
+
+def test_host_words_of_long_urls(spark):
+    deep = "/".join("abcdefghi")
+    got = op.mine(pages(spark, [f"http://good.example.org/en/{deep}"] * 5 + [f"http://bad.example.org/es/{deep}"] * 5 + [f"http://ugly.example.org/en/{deep}"]), 0.1, 0.7)
+    assert {(frozenset(["w:bad"]), "block", 1.0), (frozenset(["w:good"]), "allow", 1.0)} <= {x[:3] for x in got}
