@@ -1,7 +1,7 @@
 """Main text of web pages by consensus of the pages of a host.
 
-Each page scores its containers (text without links, less for links) and votes for the generalised tag-class paths
-of the best ones. Spark adds the votes per host and keeps the paths that lead there. Then every page is extracted
+Each page scores its containers (text without links, less for links) and votes for the generalised tag-class path
+of the best one: the innermost beside which there is no text but links and less than a paragraph. Spark adds the votes per host and keeps the paths that lead there. Then every page is extracted
 again from the first winning path that it has; a page with none uses its own best container.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 RAW_END = {x: re.compile(rf"</{x}[\s/>]", re.I) for x in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("nav footer aside form script style textarea title noscript iframe xmp head template button select option svg canvas object dialog menu label input".split())
@@ -32,20 +33,27 @@ ROLES = frozenset("navigation banner complementary contentinfo search dialog ale
 DEEP = 12  # levels of a path, from below
 PATHS = 3  # winning paths per host
 SHARE = 0.1  # of a host's votes that a path needs
+SHORT = 70  # characters of a page, links and headings aside, that are less than a paragraph
+LINKS = 0.5  # share of a block from which it is links
 
 
 class Page:
     """One pass over a page: blocks of text in order, each with the containers around it."""
 
     def __init__(self, source: str):
-        self.paths: list[str] = []  # of every container
-        self.parents: list[int] = []
-        self.scores: list[float] = []
+        self.paths: list[str | None] = [None]  # of every container; the first is the page, which has a path only if it is the best
+        self.parents: list[int] = [-1]
+        self.scores: list[float] = [0.0]
+        self.plain: list[float] = [0]  # characters of the own blocks that are not links; endless with a heading
+        self.whole: list[bool] = [False]  # article or main
         self.blocks: list[tuple[int, str]] = []  # innermost container and text, in order
         self._read(source)
+        self.best = self._best()
+        if self.best == 0 and self.blocks:
+            self.paths[0] = ""
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, str, int, bool]] = [("", "", -1, False)]  # tag, path, container, dropped
+        stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, path, container, dropped
         text: list[str] = []
         links = 0
 
@@ -56,8 +64,10 @@ class Page:
             if joined and not stack[-1][3]:
                 box = stack[-1][2]
                 self.blocks.append((box, joined))
-                if box >= 0:
-                    self.scores[box] += len(joined) - 3 * min(links, len(joined))
+                self.scores[box] += len(joined) - 3 * min(links, len(joined))
+                if links < LINKS * len(joined):
+                    heading = any(s[0] in HEADING for s in stack[1:])
+                    self.plain[box] += float("inf") if heading else len(joined)
             links = 0
 
         def pop(to: int) -> None:
@@ -109,7 +119,9 @@ class Page:
                 box = len(self.paths)
                 self.paths.append(path)
                 self.parents.append(above[2])
-                self.scores.append(200.0 if tag in ("article", "main") else 0.0)
+                self.whole.append(tag in ("article", "main"))
+                self.scores.append(200.0 if self.whole[-1] else 0.0)
+                self.plain.append(0)
             if m[3] and m[3].endswith("/") and tag not in INLINE | CONTAINER:
                 continue
             if tag in RAW_END:
@@ -130,20 +142,23 @@ class Page:
         words = {w for n in [*names, attributes.get("id", "")] for w in re.split("[-_#]+", n.lower())}
         return bool(words & NOISE)
 
-    def best(self) -> list[int]:
-        """The container that holds most of the text, and from there down those that hold nearly all of it."""
-        total = list(self.scores)
-        for k in range(len(total) - 1, -1, -1):
-            if self.parents[k] >= 0:
-                total[self.parents[k]] += max(0.0, total[k])
-        if not total:
-            return []
-        k = max((k for k in range(len(total)) if self.parents[k] < 0), key=lambda k: total[k])
-        while True:
-            inner = [j for j in range(len(total)) if self.parents[j] == k and total[j] >= 0.6 * total[k]]
-            if not inner:
-                return [k]
-            k = max(inner, key=lambda j: total[j])
+    def _best(self) -> int:
+        """From the page down to the container that holds most, as long as nothing beside it is text of the page."""
+        total, plain = list(self.scores), list(self.plain)
+        for k in range(len(total) - 1, 0, -1):
+            total[self.parents[k]] += max(0.0, total[k])
+            plain[self.parents[k]] += plain[k]
+        inner: dict[int, list[int]] = {}
+        for k in range(1, len(total)):
+            inner.setdefault(self.parents[k], []).append(k)
+        k, beside = 0, 0
+        while k in inner and not self.whole[k]:
+            down = max(inner[k], key=lambda j: total[j])
+            beside += self.plain[k] + sum(plain[j] for j in inner[k] if j != down)
+            if total[down] <= 0 or beside >= SHORT:
+                break
+            k = down
+        return k
 
     def text(self, paths: list[str]) -> str:
         """Blocks below all containers of the first path that the page has."""
@@ -152,11 +167,11 @@ class Page:
             if roots:
                 break
         else:
-            roots = set(self.best())
+            roots = {self.best}
         inside = [k in roots for k in range(len(self.paths))]
         for k in range(len(inside)):
-            inside[k] = inside[k] or (self.parents[k] >= 0 and inside[self.parents[k]])
-        return " ".join(t for box, t in self.blocks if not inside or (box >= 0 and inside[box]))
+            inside[k] = inside[k] or (k > 0 and inside[self.parents[k]])
+        return " ".join(t for box, t in self.blocks if inside[box])
 
 
 def host_of(url) -> F.Column:
@@ -166,7 +181,8 @@ def host_of(url) -> F.Column:
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars, path (that it was taken from by vote, or null).
 
-    Null or empty html gives an empty text; a page without any container gives all its text. A null url counts
+    Null or empty html gives an empty text; a page without any container gives all its text. Its path, and that of a
+    page of which no part is enough, is empty. A null url counts
     as the empty host, which votes like others. Ties between paths go to the first by name. Repeated rows stay
     repeated; other columns are ignored.
     """
@@ -178,9 +194,9 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
             hosts, paths = [], []
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 page = Page(source)
-                for k in page.best():
+                if page.blocks:
                     hosts.append(host)
-                    paths.append(page.paths[k])
+                    paths.append(page.paths[page.best])
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], names=["host", "path"])
 
     votes = rows.select("host", "html").mapInArrow(vote, "host string, path string").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))

@@ -53,3 +53,28 @@ def test_votes_beat_a_loud_page(spark):
     got = sorted((r.page_id, r.text) for r in op.extract(spark, df).collect())
     assert [t for _, t in got] == [("good " * 60).strip()] * 9 + [("good " * 5).strip(), "", "", "", "deep"]
     assert op.extract(spark, df.where("false")).count() == 0
+
+
+LONG = " ".join(["word"] * 60)
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        (f"<article><h1>Title</h1><p>{LONG}</p><div class=body>{LONG * 4}</div></article>", f"Title {LONG} {LONG * 4}"),
+        (f"<body><main><p>{LONG}</p><div><div>{LONG * 4}</div></div></main></body>", f"{LONG} {LONG * 4}"),
+        (f"<body><div class=a><h1>T</h1></div><div class=b>{LONG}</div></body>", f"T {LONG}"),
+        (f"<body><div class=a>{LONG}</div><div class=b>{LONG * 9}</div></body>", f"{LONG} {LONG * 9}"),
+        (f"<body><div class=a><p><a href=x>{LONG}</a></p></div><div class=b>{LONG}</div></body>", LONG),
+        (f"<div>{LONG}</div><p>loose {LONG}</p><article>{LONG}!</article>", f"{LONG} loose {LONG} {LONG}!"),
+        (f"<body><div>{LONG}</div></body><p>after {LONG}", f"{LONG} after {LONG}"),
+    ],
+)
+def test_no_article_text_is_left_beside(source, want):
+    assert text(source) == want
+
+
+def test_whole_pages_of_a_host(spark):
+    rows = [(i, "http://h.org", f"<div class=x{i}>{LONG}</div><div>end {LONG}</div>") for i in range(5)] + [(9, "http://h.org", f"<body><nav>n</nav><div>short</div><article>{LONG}</article></body>")]
+    got = {r.page_id: (r.text, r.path) for r in op.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: (f"{LONG} end {LONG}", "") for i in range(5)}, 9: (LONG, ">body>article")}
