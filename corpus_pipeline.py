@@ -7,6 +7,8 @@ go, secrets are replaced by a mark, and what is left is packed. All but the last
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,15 @@ from statekit.session import durable
 ORACLE_SQL = None  # learned models and tokenizers have no SQL form; the tests hold each stage against brute force
 
 
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among ids; a null id is an id like others."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def keep(spark: SparkSession, docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs whose document is among those that decide returns; for repeated ids see ``common.one_each``."""
+    texts, names = common.one_each(spark, docs)
+    if names is None:
+        return docs.join(decide(docs).select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = texts.join(decide(texts).select("doc_id"), "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("_digest"))
+    kept = kept.join(names, "doc_id").select(F.col("shown").alias("_kept"), "_digest")
+    same = F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)) == F.col("_kept")
+    return docs.join(kept, same & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("_digest")), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +37,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingles at a similarity of 0.8 or more."""
-    found = jaccard_join.jaccard_components(spark, docs, width=5, percent=80)
-    return keep(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return keep(spark, docs, lambda x: jaccard_join.jaccard_components(spark, x, width=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    found = decontaminate.find_leaks(spark, docs, common.table(spark, sf_dir, "benchmark"))
-    return keep(docs, found.where("NOT contaminated"))
+    items = common.table(spark, sf_dir, "benchmark")
+    return keep(spark, docs, lambda x: decontaminate.find_leaks(spark, x, items).where("NOT contaminated"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,14 @@ def test_odd_rows(spark, tmp_path):
         for _, stage in p.STAGES[:-1]:
             docs = p.durable(spark, stage(spark, docs, str(tmp_path)), "stage")
         p.pack(spark, docs, str(tmp_path)).collect()
+
+
+def test_texts_under_one_id_are_decided_one_by_one(spark, tmp_path):
+    leak, clean, other, last = (" ".join(f"{x}{k}" for k in range(40)) for x in ("leak", "clean", "other", "last"))
+    spark.createDataFrame([("i", leak)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, leak), (None, clean), (2, leak), (2, other), (3, clean), (3, last), (3, last), (4, clean), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert key(p.leaks(spark, docs, str(tmp_path))) == sorted((r for r in rows if r[1] != leak), key=str)
+    want = [(None, leak), (None, clean), (2, other), (3, last), (3, last), (5, None)]
+    assert key(p.near_copies(spark, docs, str(tmp_path))) == sorted(want, key=str)
