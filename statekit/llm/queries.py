@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statekit.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality, secrets, suffix_dedup, toxicity, url_rules
+from statekit.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality, secrets, suffix_dedup, toxicity, url_rules, whitening
 from statekit.llm.common import fold as fold_of
 from statekit.llm.common import table
 
@@ -80,3 +80,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(fold_of("doc_id"), F.lit(3))
     model = toxicity.train(*toxicity.sample(docs, labels.where(fold != 1)))
     return toxicity.score(spark, docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(spark, vectors)
+    error = whitening.identity_error(spark, vectors, model)
+    rows = whitening.whiten(spark, vectors, model)
+    return rows.withColumns({"deviation": F.expr("try_cast(deviation AS bigint)"), "identity_error": F.lit(error)})
