@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statekit.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality, secrets, suffix_dedup, toxicity, url_rules, whitening
+from statekit.llm import collocations, decontaminate, html_extract, jaccard_join, language_id, packing, quality, secrets, suffix_dedup, toxicity, url_rules, whitening
 from statekit.llm.common import fold as fold_of
 from statekit.llm.common import table
 
@@ -89,3 +89,32 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     error = whitening.identity_error(spark, vectors, model)
     rows = whitening.whiten(spark, vectors, model)
     return rows.withColumns({"deviation": F.expr("try_cast(deviation AS bigint)"), "identity_error": F.lit(error)})
+
+
+@query("""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 100),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, n, p.f AS l, q.f AS r, h,
+    CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(p.f AS HUGEINT) * q.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS h FROM cand) c JOIN total USING (lang)
+  JOIN f p ON p.lang = c.lang AND p.k = h AND p.phrase = array_to_string(w[1:h], ' ')
+  JOIN f q ON q.lang = c.lang AND q.k = c.k - h AND q.phrase = array_to_string(w[h + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, h) = 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM cand))),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (
+  SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 100 * b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000""")
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, table(spark, sf_dir, "documents"))
