@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statekit.llm import collocations, decontaminate, html_extract, jaccard_join, language_id, packing, quality, secrets, suffix_dedup, toxicity, url_rules, whitening
+from statekit.llm import collocations, decontaminate, html_extract, jaccard_join, kneser_ney, language_id, packing, quality, secrets, suffix_dedup, toxicity, url_rules, whitening
 from statekit.llm.common import fold as fold_of
 from statekit.llm.common import table
 
@@ -118,3 +118,11 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, e
 FROM kept QUALIFY rank <= 2000""")
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(spark, table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(fold_of("doc_id"), F.lit(7))
+    model = kneser_ney.fit(spark, docs.where(fold != 2))
+    return kneser_ney.score(spark, docs, model).withColumn("held_out", fold == 2)
