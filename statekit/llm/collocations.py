@@ -1,7 +1,7 @@
 """Phrases whose words come together more often than their parts would, mined with stripes.
 
 Level k of one to five counts phrases of k words. Each prefix of k - 1 words keys a *stripe*: an associative counter of
-the words that follow it, with one entry (a null word) for whatever else follows, the end of a piece included. A task
+the words that follow it, with one entry (``ELSE``) for whatever else follows, the end of a piece included. A task
 fills the stripes of a block of text, Spark merges stripes of a key elementwise, and a merged stripe gives at once the
 extensions (its frequent entries), the count of the prefix (its total) and the maximum that may subsume the prefix.
 
@@ -31,17 +31,18 @@ from statekit.llm import common as c
 from statekit.session import durable
 
 LONGEST, LEAST, PERCENT = 5, 100, 100
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 BUCKETS = 256
 HOT = 1 / 256
 LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 16, 1 << 28, 16
 UNKNOWN = "und"
+ELSE = "\t"  # no word holds a tab or a space
 
 ENDS = b".,;:!?\n\x0b\x0c\r"
 INSIDE = c.split_on(ENDS + b" \t")
 END = ~c.split_on(ENDS)
 
-STRIPE = "lang string, prefix string, bucket int, words array<string>, counts array<long>"
+STRIPE = "lang string, prefix string, bucket int, words string, counts string"  # both lists with spaces between
 
 
 @dataclass
@@ -165,19 +166,21 @@ def stripes_of(block: Block, size: int, known: Known | None):
     entry, where, count = np.unique(stripe * (many + 1) + following, return_index=True, return_counts=True)
     heads = np.flatnonzero(np.diff(entry // (many + 1), prepend=-1))
     one, nexts = at[where[heads]], following[where]
+    del at, following, stripe, entry
     texts = [block.words.take(pa.array(block.word[one + k])) for k in range(size - 1)]
     nexts = pa.array(nexts, mask=nexts == many)
     return {
         "lang": block.names.take(pa.array(block.lang[one])),
         "prefix": pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string())) if texts else pa.array([""] * len(one), pa.large_string()),
         "bucket": bucket[where[heads]],
-        "words": listed(heads, block.words.take(nexts)),
+        "words": listed(heads, block.words.take(nexts).fill_null(ELSE)),
         "counts": listed(heads, pa.array(count)),
     }
 
 
 def listed(heads: np.ndarray, values: pa.Array) -> pa.Array:
-    return pa.LargeListArray.from_arrays(pa.array(np.r_[heads, len(values)], pa.int64()), values)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(values)], pa.int32()), values.cast(pa.string()))
+    return pc.binary_join(lists, " ")
 
 
 def partial(docs: DataFrame, size: int, known, most: int) -> DataFrame:
@@ -203,9 +206,9 @@ def partial(docs: DataFrame, size: int, known, most: int) -> DataFrame:
 def merged(parts: DataFrame, least: int) -> DataFrame:
     """Stripes of a key added up elementwise: total, frequent entries and the largest of them."""
     key = ["lang", "prefix", "bucket"]
-    entries = parts.repartition(*key).select(*key, F.inline(F.arrays_zip("words", "counts")))
-    entries = entries.groupBy(*key, "words").agg(F.sum("counts").alias("n"))
-    frequent = F.col("words").isNotNull() & (F.col("n") >= least)
+    entries = F.arrays_zip(F.split("words", " ").alias("words"), F.split("counts", " ").alias("counts"))
+    entries = parts.repartition(*key).select(*key, F.inline(entries)).groupBy(*key, "words").agg(F.sum(F.col("counts").cast("long")).alias("n"))
+    frequent = (F.col("words") != ELSE) & (F.col("n") >= least)
     return entries.groupBy(*key).agg(
         F.sum("n").alias("total"),
         F.max(F.when(frequent, F.col("n"))).alias("top"),
