@@ -11,7 +11,7 @@ from statekit.operators import log
 from statekit.plans.log import BASED, FOLDED, NOW, ST, dbl
 from statekit.plans.registry import LOG, STATE, query
 from statekit.sources import tables as t
-from statekit.streaming import runs, state
+from statekit.streaming import ordered, runs, state
 
 PARTS = 6
 BATCH = 64 << 30
@@ -33,11 +33,18 @@ def event_stream(spark, own, sf_dir):
     return t.as_events(runs.replayable(own, f"{sf_dir}/events.parque[t]", schema, bytes_per_batch=BATCH))
 
 
-def fed_in_order(spark, own, sf_dir, parts, start, copies=1):
-    """Run a query over the events in ``parts`` batches that are disjoint and ascending in seq; the drained query."""
-    raw, path = t.table(spark, sf_dir, "events"), session.work_path(spark, "source")
-    begin = lambda: start(t.as_events(runs.replayable(own, path, raw.schema)))
-    return runs.in_order(begin, raw, path, "event_id", parts, copies)
+def arranged(spark, sf_dir, parts):
+    """The events in the order of seq, in ``parts`` batches."""
+    return ordered.arrange(t.table(spark, sf_dir, "events"), session.work_path(spark, "log"), "event_id", parts, "ts")
+
+
+def fed_in_order(own, log, start, **options):
+    """Run a query over the events, one batch of the ordered log each micro-batch; the drained query."""
+    return ordered.drained(lambda: start(ordered.stream(own, log, **options)))
+
+
+def begin(stream, ckpt, write, mode="update"):
+    return runs.start(stream, ckpt, write, mode, to_end=False)
 
 
 @query(COUNTS)
@@ -58,7 +65,8 @@ def stream_recovery(spark, sf_dir):
     own = own_session(spark, sf_dir)
     out, ckpt = session.work_path(spark, "out"), session.work_path(spark, "ckpt")
     write = runs.failing_after(runs.batch_writer(out), 3)
-    fed_in_order(spark, own, sf_dir, PARTS, lambda events: runs.start(state.counter(events), ckpt, write))
+    log = arranged(spark, sf_dir, PARTS)
+    fed_in_order(own, log, lambda rows: begin(state.counter(t.as_events(rows)), ckpt, write))
     failed = F.lit(max(write.failures, default=None)).cast("bigint")
     return runs.newest_batch(spark, out, ["key"], ["n"]).withColumn("failed_batch", failed)
 
@@ -150,19 +158,74 @@ def state_change_feed(spark, sf_dir):
     )
 
 
+USER = "CAST(user_id AS STRING)"
+KIND = "concat_ws(':', user_id, event_type)"
+
+
+def tiered(own, log, out, ckpt, delay, key, seed=None, **options):
+    """Run the two tiers over a log; the progress reports."""
+    progress = runs.Progress(own)
+    trail = lambda rows: state.tiers(state.touches(rows, F.expr(key)), DAY, delay, seed)
+    reports = progress.of(fed_in_order(own, log, lambda rows: begin(trail(rows), ckpt, runs.batch_writer(out)), **options))
+    runs.no_late_rows(reports)
+    return reports
+
+
 @query(COUNTS)
 def stream_tiering(spark, sf_dir):
     """Counts kept through demotion after a day without a touch, and promotion by the next one."""
-    own = own_session(spark, sf_dir)
-    out, ckpt = session.work_path(spark, "out"), session.work_path(spark, "ckpt")
-    progress = runs.Progress(own)
-    delay = runs.disorder(t.table(spark, sf_dir, "events"), "event_id", "ts", PARTS)
-    trail = lambda events: state.tiers(state.combine(events), DAY, delay)
-    q = fed_in_order(spark, own, sf_dir, PARTS, lambda events: runs.start(trail(events), ckpt, runs.batch_writer(out)))
-    runs.no_late_rows(progress.of(q))
+    own, log, out = own_session(spark, sf_dir), arranged(spark, sf_dir, PARTS), session.work_path(spark, "out")
+    tiered(own, log, out, session.work_path(spark, "ckpt"), ordered.delay(spark, log), USER)
     return spark.read.parquet(out).groupBy("key").agg(F.max("n").alias("n"))
 
 
+# Batches as the ordered log cuts a table of one file: row groups of an eighth of a batch. Within a batch the touches come
+# first, then the timers due by the latest time of the batches before.
+TRAIL = """WITH e AS (SELECT user_id || ':' || event_type AS key, epoch_us(ts) // 1000 AS ms, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events),
+size AS (SELECT greatest(1, count(*) // 8) AS rows, greatest(1, greatest(1, count(*) // 8) // 8) AS g FROM events),
+b AS (SELECT key, ms, i // g * g // rows AS batch FROM e, size),
+clock AS (SELECT batch, max(max(ms)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM b GROUP BY 1),
+touched AS (SELECT key, batch, max(ms) AS last, sum(count(*)) OVER (PARTITION BY key ORDER BY batch) AS n FROM b GROUP BY 1, 2),
+due AS (SELECT key, batch, n, last, last + 86400000 AS at_ms,
+  lead(batch) OVER w AS next_batch, lead(last) OVER w AS next_last,
+  (SELECT min(c.batch) FROM clock c WHERE c.mark >= last + 86400000) AS fires FROM touched WINDOW w AS (PARTITION BY key ORDER BY batch)),
+gone AS (SELECT * FROM due WHERE fires IS NOT NULL AND (next_batch IS NULL OR fires < next_batch))
+SELECT key, 'demote' AS what, CAST(n AS BIGINT) AS n, at_ms FROM gone
+UNION ALL SELECT key, 'promote', CAST(n AS BIGINT), next_last FROM gone WHERE next_batch IS NOT NULL"""
+
+
+@query(TRAIL)
+def stream_tier_trail(spark, sf_dir):
+    """Every demotion and promotion of the streamed tiers, with the count that moved and its event time."""
+    own, log, out = own_session(spark, sf_dir), arranged(spark, sf_dir, 8), session.work_path(spark, "out")
+    tiered(own, log, out, session.work_path(spark, "ckpt"), ordered.delay(spark, log), KIND)
+    return spark.read.parquet(out).where("what <> 'touch'").select("key", "what", "n", "at_ms")
+
+
+@query(TRAIL)
+def stream_rescale_tiers(spark, sf_dir):
+    """The same trail from three queries with 2, 4 and 1 state partitions: each takes over both tiers, the pending timers
+    and the clock of the one before."""
+    log, out = arranged(spark, sf_dir, 8), session.work_path(spark, "out")
+    delay, seed = ordered.delay(spark, log), None
+    ends = [round(log.batches * share) for share in (1 / 3, 2 / 3, 1)]
+    for partitions, first, until in zip((2, 4, 1), [0, *ends], ends, strict=False):
+        own, ckpt = runs.stream_session(spark, partitions), session.work_path(spark, "ckpt")
+        own_seed = None if seed is None else own.read.schema(seed.schema).parquet(*seed.inputFiles())
+        tiered(own, log, f"{out}/until={until}", ckpt, delay, KIND, own_seed, first=first, until=until, lead=True)
+        seed = session.durable(spark, state.tier_seed(runs.state_of(spark, ckpt, variable="hot"), runs.state_of(spark, ckpt, variable="cold")), "seed")
+    return spark.read.parquet(out).where("what <> 'touch'").select("key", "what", "n", "at_ms")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(max(ts)) // 1000 + 86400000 AS due_ms FROM events GROUP BY 1
+HAVING epoch_us(max(ts)) // 1000 + 86400000 > (SELECT epoch_us(max(ts)) // 1000 FROM events)""")
+def pending_timers(spark, sf_dir):
+    """Timers that the finished tiers still hold: last touch and a day, of keys touched within a day of the end."""
+    own, log, ckpt = own_session(spark, sf_dir), arranged(spark, sf_dir, PARTS), session.work_path(spark, "ckpt")
+    tiered(own, log, session.work_path(spark, "out"), ckpt, ordered.delay(spark, log), USER, ticks=1)
+    return runs.pending_timers(spark, ckpt)
+
+
 @query("""WITH cut AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events),
 c AS (
   SELECT CAST(user_id AS VARCHAR) AS key, count(*) FILTER (WHERE event_id < lo + (hi - lo + 2) // 2) AS old,
@@ -187,13 +250,14 @@ def stream_ttl(spark, sf_dir):
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq FROM events")
 def stream_dedupe(spark, sf_dir):
-    """Every part of the log delivered twice: each record comes out once."""
-    own = own_session(spark, sf_dir)
+    """Every record delivered twice within its batch: each comes out once."""
+    own, log = own_session(spark, sf_dir), arranged(spark, sf_dir, 3)
     out, ckpt, progress = session.work_path(spark, "out"), session.work_path(spark, "ckpt"), runs.Progress(own)
-    delay = runs.disorder(t.table(spark, sf_dir, "events"), "event_id", "ts", 3)
-    once = lambda events: state.dedupe(events.select("key", "seq", "ts"), ["key", "seq"], delay=delay)
-    begin = lambda events: runs.start(once(events), ckpt, runs.batch_writer(out), mode="append")
-    runs.no_late_rows(progress.of(fed_in_order(spark, own, sf_dir, 3, begin, copies=2)))
+    delay = ordered.delay(spark, log)
+    twice = lambda rows: t.as_events(rows).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    once = lambda rows: state.dedupe(twice(rows).select("key", "seq", "ts"), ["key", "seq"], delay=delay)
+    q = fed_in_order(own, log, lambda rows: begin(once(rows), ckpt, runs.batch_writer(out), "append"))
+    runs.no_late_rows(progress.of(q))
     return spark.read.parquet(out).select("key", "seq")
 
 
@@ -219,7 +283,7 @@ def stream_fold(spark, sf_dir):
     own = own_session(spark, sf_dir)
     out = session.work_path(spark, "out")
     write, ckpt = runs.batch_writer(out, log.squash), session.work_path(spark, "ckpt")
-    fed_in_order(spark, own, sf_dir, 4, lambda events: runs.start(t.as_op_log(events), ckpt, write, mode="append"))
+    fed_in_order(own, arranged(spark, sf_dir, 4), lambda rows: begin(t.as_op_log(t.as_events(rows)), ckpt, write, "append"))
     return dbl(log.fold_squashed(spark.read.parquet(out).drop("batch")))
 
 
@@ -230,7 +294,7 @@ def stream_checkpoints(spark, sf_dir):
     own = own_session(spark, sf_dir)
     data, pins = session.work_path(spark, "log"), session.work_path(spark, "pins")
     write, ckpt = runs.checkpoint_writer(data, pins, "events"), session.work_path(spark, "ckpt")
-    fed_in_order(spark, own, sf_dir, 3, lambda events: runs.start(t.as_op_log(events), ckpt, write, mode="append"))
+    fed_in_order(own, arranged(spark, sf_dir, 3), lambda rows: begin(t.as_op_log(t.as_events(rows)), ckpt, write, "append"))
     seq_hi = spark.read.parquet(pins).agg(F.max("seq_hi")).scalar()
     return dbl(log.resolve(spark.read.parquet(data), as_of=seq_hi)).withColumn("seq_hi", seq_hi)
 
@@ -280,7 +344,7 @@ def checkpoint_offset(spark, sf_dir):
     own = own_session(spark, sf_dir)
     data, pins = session.work_path(spark, "log"), session.work_path(spark, "pins")
     write, ckpt = runs.failing_after(runs.checkpoint_writer(data, pins, "events"), 1), session.work_path(spark, "ckpt")
-    fed_in_order(spark, own, sf_dir, 3, lambda events: runs.start(t.as_op_log(events), ckpt, write, mode="append"))
+    fed_in_order(own, arranged(spark, sf_dir, 3), lambda rows: begin(t.as_op_log(t.as_events(rows)), ckpt, write, "append"))
     marks = runs.checkpoint_offsets(spark, pins)
     held = spark.read.parquet(data).groupBy("batch").agg(F.count(F.lit(1)).alias("held"), F.max("seq").alias("top"))
     both = marks.join(held, "batch", "full")

@@ -71,39 +71,9 @@ def row_cuts(df: DataFrame, seq: str, parts: int, most_rows: int = 100_000_000)
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def in_order(begin: Callable[[], StreamingQuery], df: DataFrame, path: str, seq: str, parts: int, copies: int = 1) -> StreamingQuery | None:
-    """Feed ``df`` to a query as micro-batches that are disjoint and ascending in ``seq``.
-
-    Each range is staged and drained before the next one comes, so a batch is one range whatever the number
-    of files that ``df`` lies in or that a range is written to. ``begin`` starts the query on its checkpoint; ``copies``
-    delivers every range so many times within its batch.
-    """
-    query = None
-    for lo, hi in row_cuts(df, seq, parts):
-        for _ in range(copies):
-            stage(df, path, seq, lo, hi)
-        query = with_restarts(begin)
-    return query
-
-
-def disorder(df: DataFrame, seq: str, ts: str, parts: int) -> str:
-    """Watermark delay for ``in_order``: by how much event time goes back from one range to a later one."""
-    ranges = row_cuts(df, seq, parts)
-    which = F.lit(0)
-    for i, (lo, _) in enumerate(ranges):
-        which = F.when(F.col(seq) >= lo, i).otherwise(which)
-    ms = F.unix_millis(F.col(ts).cast("timestamp"))
-    rows = df.groupBy(which.alias("i")).agg(F.min(ms).alias("lo"), F.max(ms).alias("hi")).orderBy("i").collect()  # a row per range
-    back, top = 0, None
-    for row in rows:
-        back = back if top is None else max(back, top - row["lo"])
-        top = row["hi"] if top is None else max(top, row["hi"])
-    return f"{back} milliseconds"
-
-
 def replayable(spark: SparkSession, path: str, schema, per_batch: int | None = None, bytes_per_batch: int | None = None) -> DataFrame:
     """File stream that resumes after the last committed file; at most ``per_batch`` files, or about so many
-    bytes, a batch. Files of one batch come in no order; see :func:`in_order` where that matters."""
+    bytes, a batch. Files of one batch come in no order; see :mod:`statekit.streaming.ordered` where that matters."""
     reader = spark.readStream.schema(schema)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", str(per_batch))
@@ -122,14 +92,11 @@ def start(
     checkpoint: str,
     each_batch: Callable[[DataFrame, int], None],
     mode: str = "update",
+    to_end: bool = True,
 ) -> StreamingQuery:
-    return (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(each_batch)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Start a query; with ``to_end`` it ends when the input that is there now is processed."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each_batch)
+    return (writer.trigger(availableNow=True) if to_end else writer.trigger(processingTime="0 seconds")).start()
 
 
 def drain(query: StreamingQuery) -> StreamingQuery:
@@ -228,6 +195,12 @@ def state_of(
     return reader.load(checkpoint)
 
 
+def pending_timers(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(key, due_ms) of every timer that a query with timers left in its checkpoint folder."""
+    timers = spark.read.format("statestore").option("readRegisteredTimers", "true").load(checkpoint)
+    return timers.select(F.col("key.key").alias("key"), F.col("expiration_timestamp_ms").alias("due_ms"))
+
+
 def state_metadata(spark: SparkSession, checkpoint: str) -> DataFrame:
     return spark.read.format("state-metadata").load(checkpoint)
 

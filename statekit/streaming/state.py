@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,19 +26,29 @@ def adder(stream: DataFrame, key: str = "key", n: str = "n") -> DataFrame:
     return stream.groupBy(key).agg(F.sum(n).alias("n"))
 
 
-def combine(stream: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
-    """Touches ``(key, ts)`` as ``(key, n, last_ts, last_ms)``, one row per key and Arrow batch."""
+def combine(stream: DataFrame, key: str = "key", ts: str = "ts", n: str | None = None) -> DataFrame:
+    """Touches ``(key, ts)`` as ``(key, n, last_ts, last_ms)``, one row per key and Arrow batch.
+
+    Each row counts as one, or as the number in the column ``n``; a count of 0 only moves the clock.
+    """
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             grouped = pdf.groupby("key", sort=False, dropna=False)
-            yield grouped.agg(n=("ts", "size"), last_ts=("ts", "max"), last_ms=("ms", "max")).reset_index()
+            yield grouped.agg(n=("n", "sum"), last_ts=("ts", "max"), last_ms=("ms", "max")).reset_index()
 
     at = F.col(ts).cast("timestamp")
-    touches = stream.select(F.col(key).alias("key"), at.alias("ts"), F.unix_millis(at).alias("ms"))
+    count = F.lit(1) if n is None else F.col(n)
+    touches = stream.select(F.col(key).alias("key"), count.cast("long").alias("n"), at.alias("ts"), F.unix_millis(at).alias("ms"))
     return touches.mapInPandas(shrink, "key string, n long, last_ts timestamp, last_ms long")
 
 
+def touches(rows: DataFrame, key: Column, ts: str = "ts") -> DataFrame:
+    """Touches from an ordered log: rows of another lap than 0 only move the clock."""
+    counted = rows.select(key.alias("key"), F.col(ts).alias("ts"), F.when(F.col("lap") == 0, 1).otherwise(0).alias("n"))
+    return combine(counted, n="n")
+
+
 def seeded_counter(combined: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     """Counter over combined touches with state of its own, which a seed ``(key, n)`` may preload."""
 
@@ -67,13 +77,22 @@ def seeded_counter(combined: DataFrame, seed: DataFrame | None = None) -> DataFr
     )
 
 
-def tiers(combined: DataFrame, window_ms: int, delay: str = "0 seconds") -> DataFrame:
+def tier_seed(hot: DataFrame, cold: DataFrame) -> DataFrame:
+    """Both tiers of a finished query, as its state reader gives them, as a seed ``(key, hot, last_ms, cold)``."""
+    h = hot.select(F.col("key.key").alias("key"), F.col("value.n").alias("hot"), F.col("value.last_ms").alias("last_ms"), F.lit(None).cast("long").alias("cold"))
+    c = cold.select(F.col("key.key").alias("key"), F.lit(None).cast("long").alias("hot"), F.lit(None).cast("long").alias("last_ms"), F.col("value.n").alias("cold"))
+    return h.unionByName(c).groupBy("key").agg(*[F.max(x).alias(x) for x in ("hot", "last_ms", "cold")])
+
+
+def tiers(combined: DataFrame, window_ms: int, delay: str = "0 seconds", seed: DataFrame | None = None) -> DataFrame:
     """Hot and cold state per key by event time, from :func:`combine`.
 
     A touch arms a timer at its time + window. When the watermark passes it and the key was not
     touched since, the count goes to the cold state first and the hot state is cleared after. A touch
     that finds no hot state takes the count up from the cold one. Emits ``(key, what, n, at_ms)`` with
-    ``what`` one of touch, promote, demote.
+    ``what`` one of touch, promote, demote. Rows with a count of 0 change nothing but the watermark.
+
+    A ``seed`` (:func:`tier_seed`) brings in the tiers of another query; the timers of hot keys are armed again.
     """
 
     class Tiers(StatefulProcessor):
@@ -85,8 +104,11 @@ def tiers(combined: DataFrame, window_ms: int, delay: str = "0 seconds") -> Data
         def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
             add, last = 0, None
             for row in rows:
-                add += row.n
-                last = row.last_ms if last is None else max(last, row.last_ms)
+                if row.n:
+                    add += row.n
+                    last = row.last_ms if last is None else max(last, row.last_ms)
+            if last is None:
+                return
             hot = self.hot.get()
             if hot is None:
                 cold = self.cold.get()
@@ -111,6 +133,13 @@ def tiers(combined: DataFrame, window_ms: int, delay: str = "0 seconds") -> Data
                 self.hot.clear()
                 yield Row(key=key[0], what="demote", n=hot[0], at_ms=fired)
 
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            if initialState.cold is not None:
+                self.cold.update((initialState.cold,))
+            if initialState.hot is not None:
+                self.hot.update((initialState.hot, initialState.last_ms))
+                self.handle.registerTimer(initialState.last_ms + window_ms)
+
         def close(self) -> None:
             pass
 
@@ -120,6 +149,7 @@ def tiers(combined: DataFrame, window_ms: int, delay: str = "0 seconds") -> Data
         outputStructType="key string, what string, n long, at_ms long",
         outputMode="Update",
         timeMode="EventTime",
+        initialState=None if seed is None else seed.groupBy("key"),
     )
 
 
