@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from statekit.sources import files
 
-GROUPS = "file string, row_group int, rows long, bytes long"
+GROUPS = "file string, file_bytes long, changed timestamp, row_group int, rows long, bytes long"
 BOUNDS = "lo long, hi long, nulls long"
 
 
@@ -36,7 +36,7 @@ def as_long(value) -> int:
 
 
 def row_groups(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A row per row group below ``path``: file, row_group, rows, bytes, and a struct ``(lo, hi, nulls)`` for each column.
+    """A row per row group below ``path``: file (with its size and time), row_group, rows, bytes, and a struct ``(lo, hi, nulls)`` for each column.
 
     Only footers are read, each by the task that got the file's name. A bound is null where the writer left no figures;
     ``nulls`` is null where it did not count them. Columns are whole numbers or times.
@@ -45,13 +45,13 @@ def row_groups(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for names in batches:
-            for uri in names["path"]:
+            for uri, size, changed in zip(names["path"], names["bytes"], names["changed"], strict=True):
                 meta = parquet(uri).metadata
                 at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
                 out = []
                 for g in range(meta.num_row_groups):
                     group = meta.row_group(g)
-                    row = {"file": uri, "row_group": g, "rows": group.num_rows, "bytes": group.total_byte_size}
+                    row = {"file": uri, "file_bytes": size, "changed": changed, "row_group": g, "rows": group.num_rows, "bytes": group.total_byte_size}
                     for name in columns:
                         found = group.column(at[name]).statistics
                         known = found is not None and found.has_min_max
@@ -61,7 +61,7 @@ def row_groups(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
                             "nulls": found.null_count if found is not None and found.has_null_count else None,
                         }
                     out.append(row)
-                yield pd.DataFrame(out, columns=["file", "row_group", "rows", "bytes", *columns])
+                yield pd.DataFrame(out, columns=["file", "file_bytes", "changed", "row_group", "rows", "bytes", *columns])
 
-    names = files.file_inventory(spark, path).where(F.col("file").endswith(".parquet")).select("path")
+    names = files.file_inventory(spark, path).where(F.col("file").endswith(".parquet")).select("path", "bytes", "changed")
     return names.mapInPandas(read, f"{GROUPS}, {bounds}" if columns else GROUPS)
