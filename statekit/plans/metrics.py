@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statekit.operators import metrics, tiering
+from statekit import session
+from statekit.operators import metrics, sketches, tiering
 from statekit.plans.log import NOW, dbl
 from statekit.plans.registry import query
 from statekit.plans.tiering import DAY, TOUCHES
@@ -156,3 +157,26 @@ def throughput_report(spark, sf_dir):
         F.col("l_extendedprice").cast("decimal(18,2)").alias("micros"),
     )
     return metrics.throughput(runs, ["mode", "size_class"], "micros")
+
+
+@query("""WITH e AS (SELECT event_type, CAST(ts AS DATE) AS day FROM events),
+last AS (SELECT event_type, max(day) AS day FROM e GROUP BY 1)
+SELECT event_type, count(DISTINCT e.day) AS generations, count(*) AS n, count(*) FILTER (WHERE e.day < last.day) AS n_before,
+  TRUE AS p50_ok, TRUE AS p99_ok, TRUE AS p999_ok, FALSE AS shifted_ok
+FROM e JOIN last USING (event_type) GROUP BY 1""")
+def sketch_quantiles(spark, sf_dir):
+    """Sketches per event type and day, stored and merged by week and then over all: are the quantiles within the sketch's bound
+    of the exact ranks? ``shifted_ok`` asks the same of a wrong value and must fail; ``n_before`` lacks the last day."""
+    e = t.table(spark, sf_dir, "events").select("event_type", "value", F.col("ts").cast("date").alias("day"))
+    daily = session.durable(spark, sketches.sketch(e, ["event_type", "day"], "value", 800), "sketches")
+    weekly = sketches.merge(daily.withColumn("week", F.weekofyear("day")), ["event_type", "week"])
+    points = {"p50": 0.5, "p99": 0.99, "p999": 0.999}
+    found = sketches.quantiles(sketches.merge(weekly, ["event_type"]), points).withColumn("shifted", F.kll_sketch_get_quantile_double("sketch", F.lit(0.6)))
+    found = session.durable(spark, found, "quantiles")
+    last = daily.groupBy("event_type").agg(F.max("day").alias("last"), F.count(F.lit(1)).alias("generations"))
+    before = sketches.merge(daily.join(last, "event_type").where("day < last"), ["event_type"]).select("event_type", sketches.rows().alias("n_before"))
+    exact = sketches.ranks(e, found, "event_type", "value", [*points, "shifted"]).drop("n")
+    error = 3 * sketches.rank_error(800)  # three times the bound of 99 cases in 100: chance alone does not get there
+    ok = lambda name, p: ((F.col(f"{name}_below") <= p + error) & (F.col(f"{name}_upto") >= p - error)).alias(f"{name}_ok")
+    rows = found.select("event_type", sketches.rows().alias("n")).join(last, "event_type").join(before, "event_type").join(exact, "event_type")
+    return rows.select("event_type", "generations", "n", "n_before", *[ok(x, p) for x, p in points.items()], ok("shifted", 0.5))

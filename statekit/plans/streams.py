@@ -10,6 +10,7 @@ from statekit import session
 from statekit.operators import log
 from statekit.plans.log import BASED, FOLDED, NOW, ST, dbl
 from statekit.plans.registry import LOG, STATE, query
+from statekit.sources import colocated
 from statekit.sources import tables as t
 from statekit.streaming import ordered, runs, state
 
@@ -277,6 +278,54 @@ def stream_enrich(spark, sf_dir):
     return spark.read.parquet(out).select("seq", "key", "name", "segment")
 
 
+@query(f"""WITH {LOG}, {BASED}
+SELECT DISTINCT db_id, key, json_extract_string(props, '$.k') AS element FROM counted""")
+def stream_set(spark, sf_dir):
+    """Sets of the keys kept as stream state, one entry an element, through a failure after batch 1."""
+    own, log_, ckpt = own_session(spark, sf_dir), arranged(spark, sf_dir, 4), session.work_path(spark, "ckpt")
+    write = runs.failing_after(runs.batch_writer(session.work_path(spark, "out")), 1)
+    sets = lambda rows: state.live_set(state.set_operands(t.as_op_log(t.as_events(rows)), F.get_json_object("props", "$.k")))
+    fed_in_order(own, log_, lambda rows: begin(sets(rows), ckpt, write))
+    return runs.collection(spark, ckpt, "elements").select("db_id", "key", F.col("entry.element").alias("element"))
+
+
+def writes_twice(spark, sf_dir, out, ckpt, width):
+    """The writes of the op log (no reads), all of them delivered once and then all again."""
+    own, log_ = own_session(spark, sf_dir), arranged(spark, sf_dir, 2)
+    writes = lambda rows: t.as_op_log(t.as_events(rows)).where("op <> 'get'")
+    once = lambda rows: state.seen_once(writes(rows), ["db_id", "key", "seq"], width)
+    fed_in_order(own, log_, lambda rows: begin(once(rows), ckpt, runs.batch_writer(out), "append"), laps=2)
+
+
+@query(f"WITH {LOG} SELECT db_id, key, seq FROM log WHERE op <> 'get'")
+def stream_dedupe_any(spark, sf_dir):
+    """The whole log delivered again after its end: every write comes out once, without a delay to be set."""
+    out = session.work_path(spark, "out")
+    writes_twice(spark, sf_dir, out, session.work_path(spark, "ckpt"), state.SHARD_WIDTH)
+    return spark.read.parquet(out).select("db_id", "key", "seq")
+
+
+@query(f"""WITH {LOG}, w AS (SELECT seq, seq // 1024 AS shard FROM log WHERE op <> 'get'),
+i AS (SELECT *, seq - row_number() OVER (PARTITION BY shard ORDER BY seq) AS island FROM w)
+SELECT shard, min(seq) AS lo, max(seq) AS hi FROM i GROUP BY shard, island""")
+def seen_intervals(spark, sf_dir):
+    """The state of that deduplication: per shard of 1,024 positions the intervals seen, one more than it has gaps."""
+    ckpt = session.work_path(spark, "ckpt")
+    writes_twice(spark, sf_dir, session.work_path(spark, "out"), ckpt, 1024)
+    return runs.collection(spark, ckpt, "spans").select("shard", F.col("entry.lo").alias("lo"), F.col("at.hi").alias("hi"))
+
+
+@query(f"""WITH {LOG}, {STATE} SELECT e.event_id AS seq, CAST(e.user_id AS VARCHAR) AS key, CAST(s.value AS DOUBLE) AS value
+FROM events e LEFT JOIN state s ON s.key = CAST(e.user_id AS VARCHAR)""")
+def stream_lookup(spark, sf_dir):
+    """Events looked up, as they arrive, in a state table that is stored by hash of its key: only the events move."""
+    own, out = own_session(spark, sf_dir), session.work_path(spark, "out")
+    with colocated.stored(t.state(spark, sf_dir).select("key", "value"), ["key"], 16) as name:
+        rows = colocated.lookup(event_stream(spark, own, sf_dir).select("key", "seq"), own.table(name), ["key"])
+        runs.drain(runs.start(rows, session.work_path(spark, "ckpt"), runs.batch_writer(out), mode="append"))
+    return dbl(spark.read.parquet(out).select("seq", "key", "value"))
+
+
 @query(f"WITH {LOG}, {BASED} {FOLDED}")
 def stream_fold(spark, sf_dir):
     """Merge operands folded as they arrive: every batch is squashed, the rest is folded on reading."""

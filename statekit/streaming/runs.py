@@ -195,6 +195,12 @@ def state_of(
     return reader.load(checkpoint)
 
 
+def collection(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """The entries of a map that a query keeps as state, one row each: the grouping key's columns, ``entry`` and ``at``."""
+    rows = spark.read.format("statestore").option("stateVarName", variable).option("flattenCollectionTypes", "true").load(checkpoint)
+    return rows.select("key.*", F.col("user_map_key").alias("entry"), F.col("user_map_value").alias("at"))
+
+
 def pending_timers(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(key, due_ms) of every timer that a query with timers left in its checkpoint folder."""
     timers = spark.read.format("statestore").option("readRegisteredTimers", "true").load(checkpoint)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegralType
 
 
 def counter(stream: DataFrame, key: str = "key") -> DataFrame:
@@ -202,3 +203,132 @@ def enrich_batches(
             yield lookup(pdf)
 
     return df.mapInPandas(call, schema)
+
+
+def set_operands(ops: DataFrame, element: Column) -> DataFrame:
+    """Log rows as operands of a set ``(db_id, key, element, seq, base)``, combined per Arrow batch.
+
+    A put or merge adds its element at its position; a put or delete first clears what came before, which is a row of its
+    own with the position in ``base``. A null element is none.
+    """
+
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            adds = pdf[pdf["adds"] & pdf["element"].notna()].groupby(["db_id", "key", "element"], sort=False, dropna=False)["seq"].max().reset_index()
+            bases = pdf[pdf["clears"]].groupby(["db_id", "key"], sort=False, dropna=False)["seq"].max().reset_index(name="base")
+            out = pd.concat([adds, bases]).reindex(columns=["db_id", "key", "element", "seq", "base"])
+            yield out.astype({"seq": "Int64", "base": "Int64"})
+
+    rows = ops.where("op <> 'get'").select(
+        "db_id", "key", element.cast("string").alias("element"), "seq", F.col("op").isin("put", "merge").alias("adds"), F.col("op").isin("put", "delete").alias("clears")
+    )
+    return rows.mapInPandas(shrink, "db_id string, key string, element string, seq long, base long")
+
+
+def live_set(operands: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """The set of every key as stream state, from :func:`set_operands`: one entry per element, so no set must fit in a row.
+
+    An element lives while its newest position is not before the key's newest base, so rows may come in any order and any
+    number of times. With ``ttl_ms`` an element goes that long after its last write (wall clock), each by itself. Emits
+    ``(db_id, key, element, live)`` for elements that come and go; the state reader shows the sets (``elements``).
+    """
+
+    class LiveSet(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.base = handle.getValueState("base", "seq long")
+            self.elements = handle.getMapState("elements", "element string", "seq long", ttlDurationMs=ttl_ms)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            held = self.base.get()
+            before = base = held[0] if held else None
+            newest: dict[str, int] = {}
+            for row in rows:
+                if row.base is not None:
+                    base = row.base if base is None else max(base, row.base)
+                else:
+                    newest[row.element] = max(row.seq, newest.get(row.element, row.seq))
+            if base != before:
+                self.base.update((base,))
+                stale = [e[0] for e, at in self.elements.iterator() if at[0] < base and newest.get(e[0], -1) < base]
+                for element in stale:
+                    self.elements.removeKey((element,))
+                    yield Row(db_id=key[0], key=key[1], element=element, live=False)
+            for element, seq in newest.items():
+                if base is not None and seq < base:
+                    continue
+                known = self.elements.containsKey((element,))
+                if not known or self.elements.getValue((element,))[0] < seq:
+                    self.elements.updateValue((element,), (seq,))
+                if not known:
+                    yield Row(db_id=key[0], key=key[1], element=element, live=True)
+
+        def close(self) -> None:
+            pass
+
+    return operands.groupBy("db_id", "key").transformWithState(
+        LiveSet(),
+        outputStructType="db_id string, key string, element string, live boolean",
+        outputMode="Update",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
+    )
+
+
+SHARD_WIDTH = 1 << 16
+
+
+def seen_once(stream: DataFrame, columns: list[str], width: int = SHARD_WIDTH) -> DataFrame:
+    """Each position ``(db_id, seq)`` once, however far apart its copies arrive: no clock and no delay to be set.
+
+    The state of a shard of ``width`` neighbouring positions is the set of intervals that have been seen, so a shard that is
+    complete takes one row and any other one row more for each gap. Shards are cut by position, so a hot key is spread over them.
+    ``columns`` come out; a row without a position has no copies and passes.
+    """
+    import numpy as np
+
+    def merged(lo, hi, seqs):
+        lo, hi = np.concatenate([lo, seqs]), np.concatenate([hi, seqs])
+        order = np.argsort(lo, kind="stable")
+        lo, hi = lo[order], hi[order]
+        first = np.ones(len(lo), bool)
+        first[1:] = lo[1:] > hi[:-1] + 1
+        starts = np.flatnonzero(first)
+        return lo[starts], hi[np.r_[starts[1:] - 1, len(lo) - 1]] if len(lo) else hi
+
+    class SeenOnce(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.spans = handle.getMapState("spans", "lo long", "hi long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            if not key[1]:
+                for pdf in rows:
+                    yield pdf[columns]
+                return
+            held = dict((lo[0], hi[0]) for lo, hi in self.spans.iterator())
+            lo = np.array(sorted(held), np.int64)
+            hi = np.array([held[x] for x in sorted(held)], np.int64)
+            for pdf in rows:
+                pdf = pdf.drop_duplicates("place")
+                seqs = pdf["place"].to_numpy(np.int64)
+                at = np.searchsorted(lo, seqs, "right") - 1
+                known = at >= 0
+                known[known] = seqs[known] <= hi[at[known]]
+                lo, hi = merged(lo, hi, seqs[~known])
+                yield pdf[~known][columns]
+            now = dict(zip(lo.tolist(), hi.tolist(), strict=True))
+            for gone in held.keys() - now.keys():
+                self.spans.removeKey((gone,))
+            for start, end in now.items():
+                if held.get(start) != end:
+                    self.spans.updateValue((start,), (end,))
+
+        def close(self) -> None:
+            pass
+
+    # pandas turns whole numbers beside nulls into floats, in keys too: keys are never null, other columns travel as text.
+    kinds = stream.select(*columns).schema
+    text = {f.name: F.col(f.name).cast("string") for f in kinds if isinstance(f.dataType, IntegralType)}
+    schema = ", ".join(f"`{f.name}` {'string' if f.name in text else f.dataType.simpleString()}" for f in kinds)
+    placed = stream.select("*", F.col("seq").isNotNull().alias("placed"), F.coalesce("seq", F.lit(0)).cast("long").alias("place"))
+    sharded = placed.withColumns(text).withColumn("shard", F.floor(F.col("place") / width)).select("db_id", "placed", "shard", "place", *[c for c in columns if c != "db_id"])
+    once = sharded.groupBy("db_id", "placed", "shard").transformWithStateInPandas(SeenOnce(), outputStructType=schema, outputMode="Append", timeMode="None")
+    return once.withColumns({c: F.col(c).cast(kinds[c].dataType) for c in text})
