@@ -103,6 +103,11 @@ def fixed_width(prefix: str, number: Column, digits: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(number.cast("string"), digits, "0"))
 
 
+def checkpoint_number(name: str) -> Column:
+    """The number N of a checkpoint called ``chk-N``, null for other names."""
+    return F.regexp_extract(name, r"^chk-([0-9]{1,18})$", 1).try_cast("long")
+
+
 def format_handle(db_id: Column, checkpoint_id: Column, lo: Column, hi: Column) -> Column:
     """State handle as text ``db|checkpoint|lo|hi``."""
     return F.concat_ws("|", db_id, checkpoint_id, lo.cast("string"), hi.cast("string"))

@@ -409,6 +409,15 @@ def newer_checkpoint(checkpoints: DataFrame, least: int) -> DataFrame:
     return ahead.join(newest, "db_id").select("checkpoint_id", "i", "next_i", "newest_i")
 
 
+def numbered(checkpoints: DataFrame) -> DataFrame:
+    """Checkpoints ``(checkpoint_id, number)`` of one database: is a name's place by text its place by number, and which
+    one is the newest? One row per checkpoint, so one task sorts them."""
+    by_number, by_text = Window.orderBy("number"), Window.orderBy("checkpoint_id")
+    same = F.row_number().over(by_number) == F.row_number().over(by_text)
+    newest = F.col("number") == F.max("number").over(Window.partitionBy())
+    return checkpoints.select("checkpoint_id", "number", same.alias("same_as_text"), newest.alias("newest"))
+
+
 def live_keys_at(changelog: DataFrame, checkpoints: DataFrame, every: int) -> DataFrame:
     """Live keys at each of the regular checkpoints ``(checkpoint_id, i, seq_hi)``, in one pass.
 

@@ -6,7 +6,7 @@ first shrinks the rows with map-side combine, and running values are computed in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statekit.operators import chunks
@@ -124,3 +124,8 @@ def throughput(runs: DataFrame, by: list[str], micros: str) -> DataFrame:
         (total.cast("double") / n).alias("us_per_op"),
         (n * F.lit(1e6) / total.cast("double")).alias("ops_per_s"),
     )
+
+
+def by_name(catalog: DataFrame) -> DataFrame:
+    """The catalog with ``pos``, its place by name; a catalog has a row per metric name, so one task numbers it."""
+    return catalog.withColumn("pos", F.row_number().over(Window.orderBy("name")).cast("long")).orderBy("name")

@@ -51,3 +51,8 @@ def record(balance: Column, owner: Column, *tags: Column) -> Column:
     return F.struct(
         balance.cast("bigint").alias("balance"), owner.alias("owner"), F.array(*tags).alias("tags")
     )
+
+
+def appended(tags: str, tag: Column) -> Column:
+    """A list with one element more; a null list counts as an empty one."""
+    return F.array_append(F.coalesce(F.col(tags), F.array().cast("array<string>")), tag)

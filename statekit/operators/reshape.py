@@ -199,3 +199,25 @@ def scope_check(reads: DataFrame, truth: DataFrame) -> DataFrame:
         F.count(F.when(foreign, 1)).alias("mixed"),
         F.count(F.when(~right, 1)).alias("wrong"),
     )
+
+
+def value_probe(reads: DataFrame, pattern: Column) -> DataFrame:
+    """Per database: reads ``(db_id, key, own, got)`` that found nothing, the own value, another scope's value (one that
+    matches ``pattern``), or something else."""
+    same, like = F.col("got") == F.col("own"), F.rlike(F.col("got"), pattern)
+    return reads.groupBy("db_id").agg(
+        F.count(F.lit(1)).alias("reads"),
+        F.count_if(F.col("got").isNull()).alias("missing"),
+        F.count_if(same).alias("right_value"),
+        F.count_if(~same & like).alias("mixed"),
+        F.count_if(~same & ~like).alias("garbled"),
+    )
+
+
+def seeded(df: DataFrame, seq: str, seed: int) -> DataFrame:
+    """Add ``place``, by which rows are in an order that depends on the seed alone: a hash of seed and position.
+
+    The first 15 digits of it make a whole number; two rows share a place about once in 10**9 rows of a key.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(seq).cast("string")).cast("binary"))
+    return df.withColumn("place", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))

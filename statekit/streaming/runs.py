@@ -8,6 +8,7 @@ after a failure replaces its own output.
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable
 
@@ -116,6 +117,12 @@ def with_restarts(begin: Callable[[], StreamingQuery], restarts: int = 3) -> Str
     raise AssertionError("unreachable")
 
 
+def cause(failure: StreamingQueryException) -> str:
+    """The message of the Python error that ended a query, without the layers around it."""
+    errors = re.findall(r"^(?:\w+\.)*\w*(?:Error|Exception): (.*)$", str(failure), re.MULTILINE)
+    return errors[-1] if errors else str(failure)
+
+
 def batch_writer(path: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """Sink that may repeat a batch without doubling it."""
 
@@ -164,14 +171,16 @@ def failing_after(write: Callable[[DataFrame, int], None], batch_id: int) -> Cal
     return write_then_fail
 
 
-def simple_sink(stream: DataFrame, kind: str, checkpoint: str, name: str | None = None, mode: str = "append") -> StreamingQuery:
+def simple_sink(
+    stream: DataFrame, kind: str, checkpoint: str, name: str | None = None, mode: str = "append", to_end: bool = True
+) -> StreamingQuery:
     """``console``, ``noop`` or ``memory`` (a temporary view, for tests)."""
     if kind not in ("console", "noop", "memory"):
         raise ValueError(f"unknown sink {kind!r}")
     writer = stream.writeStream.format(kind).outputMode(mode).option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
-    return writer.trigger(availableNow=True).start()
+    return (writer.trigger(availableNow=True) if to_end else writer.trigger(processingTime="0 seconds")).start()
 
 
 def newest_batch(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
