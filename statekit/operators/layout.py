@@ -119,8 +119,8 @@ def encoded_order(keyed: DataFrame, groups: int = r.GROUPS, state_id: str = "s")
         last = None
         for pdf in batches:
             for group, part in pdf.groupby("key_group", sort=False):
-                codes = part["encoded"].tolist()
-                back = sum(b <= a for a, b in zip(codes, codes[1:]))
+                codes = part["encoded"].to_numpy()
+                back = int((codes[1:] <= codes[:-1]).sum())
                 if last is not None and last[0] == group:
                     back += codes[0] <= last[1]
                 last = (group, codes[-1])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statekit.operators import chunks, log
 from statekit.session import durable
+from statekit.sources import stores
 
 
 def compact(changelog: DataFrame, now: Column) -> DataFrame:
@@ -120,8 +122,15 @@ def refresh(checkpoints: DataFrame, checkpoint_id: str, expire_ts: Column) -> Da
 
 
 def drop_segment(spark: SparkSession, table: str, column: str, value: int) -> None:
-    """Drop one segment of a partitioned catalog table: a change of metadata, no row is rewritten."""
+    """Drop one segment of a partitioned catalog table: a change of metadata, no row is rewritten.
+
+    The files of an external table stay behind when its partition goes; they are removed after it.
+    """
+    at = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()["data_type"]
     spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({column} = {int(value)})")
+    store, path = stores.opened(f"{at}/{column}={int(value)}")
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)
 
 
 def range_tombstones(state: DataFrame, in_range: Column, seq: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from statekit import session
 from statekit.operators import log, records, scans
 from statekit.plans.registry import CHECKPOINTS, LOG, STATE, query
 from statekit.sources import tables as t
@@ -151,7 +152,7 @@ def incremental_merge(spark, sf_dir):
     """Fold half of the log, then fold the other half into it: equal to one fold over everything."""
     whole = t.op_log(spark, sf_dir)
     half = t.half_way(spark, sf_dir)
-    stored = log.fold(log.upto(whole, half))
+    stored = session.durable(spark, log.fold(log.upto(whole, half)), "folded")
     return dbl(log.fold_into(stored, whole.where(F.col("seq") > half)))
 
 

@@ -13,8 +13,10 @@ from statekit.functions import routing as r
 from statekit.operators import log, reshape
 from statekit.plans.log import ST, dbl
 from statekit.plans.registry import LOG, STATE, group_sql, query
+from statekit.plans.streams import arranged, begin, fed_in_order, own_session
 from statekit.sources import manifest
 from statekit.sources import tables as t
+from statekit.streaming import runs, state
 
 COMMITS, CRASH, MOST_FILES = 5, 3, 3
 COLUMNS = ["db_id", "key", "op", "value", "seq", "create_ts", "expire_ts", "shard"]
@@ -124,3 +126,20 @@ def manifest_versions(spark, sf_dir):
     first = every.groupBy("file").agg(F.min("version").alias("version")).groupBy("version").agg(F.count(F.lit(1)).alias("files"))
     whole = every.groupBy("version").agg(F.count(F.lit(1)).alias("live_files"), F.sum("rows").alias("live_rows"), F.max("hi").alias("hi"))
     return first.join(whole, "version")
+
+
+@query(f"""WITH {LOG}, k AS (SELECT key, count(*) AS n, CAST({group_sql('key')} // 8 AS INTEGER) AS shard FROM log GROUP BY 1)
+SELECT key, n, TRUE AS few_files FROM k""")
+def stream_table(spark, sf_dir):
+    """Counts kept by a stream of five batches in a table of shards, the fourth of which fails after its commit: every batch
+    counts once, and no shard has over three files."""
+    own, log_ = own_session(spark, sf_dir), arranged(spark, sf_dir, 5)
+    root, ckpt = session.work_path(spark, "table"), session.work_path(spark, "ckpt")
+    newest = lambda rows: rows.groupBy("key", "shard").agg(F.max("n").alias("n")).select("key", "n", "shard")
+    write = runs.failing_after(manifest.batch_sink(root, newest, MOST_FILES, "n"), 3)
+    counts = lambda rows: state.counter(t.as_events(rows)).withColumn("shard", r.shard(r.key_group("key")))
+    fed_in_order(own, log_, lambda rows: begin(counts(rows), ckpt, write))
+    crowded = manifest.live(spark, root).groupBy("shard").agg(F.count(F.lit(1)).alias("files")).where(F.col("files") > MOST_FILES)
+    schema = "key string, n long, shard int"
+    rows = newest(manifest.read(spark, root, spark.createDataFrame([], schema).schema))
+    return rows.select("key", "n", F.lit(crowded.isEmpty()).alias("few_files"))

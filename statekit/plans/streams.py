@@ -76,7 +76,9 @@ def third(spark, sf_dir, index, path, as_counts):
     """Append one third of the events to a source folder."""
     e = t.events(spark, sf_dir)
     e = e.select("key", F.lit(1).cast("bigint").alias("n"), "seq") if as_counts else e.select("key", "seq", "ts")
-    lo, hi = runs.cuts(t.events(spark, sf_dir), "seq", 3)[index]
+    cuts = runs.row_cuts(t.events(spark, sf_dir), "seq", 3)
+    first, last = index * len(cuts) // 3, (index + 1) * len(cuts) // 3
+    lo, hi = (cuts[first][0], cuts[last - 1][1]) if last > first else (0, 0)
     runs.stage(e, path, "seq", lo, hi)
     return e.schema
 

@@ -144,7 +144,9 @@ def drop_segment(spark, sf_dir):
         .saveAsTable(name)
     )
     upkeep.drop_segment(spark, name, "shard", 5)
-    return dbl(spark.table(name).drop("shard"))
+    rest = session.durable(spark, spark.table(name).drop("shard"), "rest")
+    spark.sql(f"DROP TABLE {name}")
+    return dbl(rest)
 
 
 @query(f"WITH {LOG}, {STATE} SELECT {ST} FROM state WHERE NOT (key >= '2' AND key < '5')")

@@ -24,7 +24,7 @@ from statekit.operators import upkeep
 from statekit.session import durable
 from statekit.sources import files, stores
 
-ENTRY = "file string, shard int, rows long, bytes long, lo long, hi long, changed timestamp"
+ENTRY = "file string, shard int, rows long, bytes long, lo long, hi long, changed timestamp, batch long"
 
 
 def entries(spark: SparkSession, place: str, seq: str) -> DataFrame:
@@ -34,7 +34,7 @@ def entries(spark: SparkSession, place: str, seq: str) -> DataFrame:
     per_file = groups.groupBy("file", "file_bytes", "changed").agg(
         F.sum("rows").alias("rows"), F.min(f"{seq}.lo").alias("lo"), F.max(f"{seq}.hi").alias("hi")
     )
-    return per_file.select("file", shard.alias("shard"), "rows", F.col("file_bytes").alias("bytes"), "lo", "hi", "changed")
+    return per_file.select("file", shard.alias("shard"), "rows", F.col("file_bytes").alias("bytes"), "lo", "hi", "changed", F.lit(None).cast("long").alias("batch"))
 
 
 def write(rows: DataFrame, root: str, seq: str = "seq") -> DataFrame:
@@ -142,7 +142,7 @@ def sweep(spark: SparkSession, judgement: DataFrame) -> int:
     return gone.mapInPandas(remove, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def compact(spark: SparkSession, root: str, schema: StructType, keep: Callable[[DataFrame], DataFrame], most_files: int) -> tuple[int, int]:
+def compact(spark: SparkSession, root: str, schema: StructType, keep: Callable[[DataFrame], DataFrame], most_files: int, seq: str = "seq") -> tuple[int, int]:
     """Rewrite the shards that consist of more than ``most_files`` files; the versions before and after.
 
     Only files of those shards are read, and only they are replaced; all others stay under their names. ``keep`` says
@@ -155,8 +155,30 @@ def compact(spark: SparkSession, root: str, schema: StructType, keep: Callable[[
     if not shards:
         return before, before
     rows = read(spark, root, schema, before, F.col("shard").isin(shards))
-    added = durable(spark, write(keep(rows), root), "entries")
-    return before, commit(spark, root, added, named.where(F.col("shard").isin(shards)))
+    replaced = named.where(F.col("shard").isin(shards))
+    newest_batch = named.agg(F.max("batch")).first()[0]
+    added = durable(spark, write(keep(rows), root, seq).withColumn("batch", F.lit(newest_batch).cast("long")), "entries")
+    return before, commit(spark, root, added, replaced)
+
+
+def batch_sink(root: str, keep: Callable[[DataFrame], DataFrame], most_files: int, seq: str) -> Callable[[DataFrame, int], None]:
+    """Sink that commits each micro-batch of a stream once and keeps the table small.
+
+    Rows have a column ``shard``. A batch that was committed before a failure is known by its number and left out when it
+    comes again. After a commit, shards of more than ``most_files`` files are rewritten to what ``keep`` leaves of them,
+    so a reader opens a bounded number of files however long the stream has run.
+    """
+
+    def write_batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        done = live(spark, root).agg(F.max("batch")).first()[0]
+        if done is not None and number <= done:
+            return
+        added = durable(spark, write(df, root, seq).withColumn("batch", F.lit(number).cast("long")), "entries")
+        commit(spark, root, added)
+        compact(spark, root, df.schema, keep, most_files, seq)
+
+    return write_batch
 
 
 def change_report(spark: SparkSession, root: str, before: int, after: int) -> DataFrame:

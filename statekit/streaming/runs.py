@@ -143,7 +143,8 @@ def checkpoint_writer(data: str, checkpoints: str, db_id: str, seq: str = "seq")
 
     def both(df: DataFrame, batch_id: int) -> None:
         write(df, batch_id)
-        row = df.agg(F.max(seq).alias("seq_hi"), F.count(F.lit(1)).alias("rows")).select(
+        written = df.sparkSession.read.schema(df.schema).parquet(f"{data}/batch={batch_id}")  # not computed twice
+        row = written.agg(F.max(seq).alias("seq_hi"), F.count(F.lit(1)).alias("rows")).select(
             F.lit(f"chk-{batch_id}").alias("checkpoint_id"), F.lit(db_id).alias("db_id"), "seq_hi", "rows"
         )
         pin(row, batch_id)
