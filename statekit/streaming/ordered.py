@@ -12,6 +12,7 @@ the column ``lap``: 0 for a first delivery, see ``stream`` for the others.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -130,11 +131,7 @@ class OrderedReader(DataSourceStreamReader):
 
 
 class OrderedLog(DataSource):
-    """Streaming source ``ordered_log``; see :func:`stream`."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "ordered_log"
+    """Streaming source over an arranged log; see :func:`stream`."""
 
     def schema(self) -> StructType:
         return StructType.fromJson(json.loads(self.options["columns"])).add("lap", IntegerType())
@@ -143,6 +140,17 @@ class OrderedLog(DataSource):
         return OrderedReader(dict(self.options))
 
 
+def registered(own: SparkSession) -> str:
+    """Make the source known to a session; its name there.
+
+    Spark refuses a name that the thread's active session knows and the given one does not, so each session has its own.
+    """
+    name = own.conf.get("spark.statekit.ordered.name", None) or f"ordered_log_{uuid.uuid4().hex[:12]}"
+    own.conf.set("spark.statekit.ordered.name", name)
+    own.dataSource.register(type("OrderedLog", (OrderedLog,), {"name": classmethod(lambda cls: name)}))
+    return name
+
+
 def stream(own: SparkSession, log: Log, first: int = 0, until: int | None = None, laps: int = 1, lead: bool = False, ticks: int = 0) -> DataFrame:
     """The batches ``first .. until - 1`` of a log, one each micro-batch, with the column ``lap``.
 
@@ -151,9 +159,8 @@ def stream(own: SparkSession, log: Log, first: int = 0, until: int | None = None
     in laps of its own, so that timers due by its time fire. Rows of other laps than 0 are copies; what they mean is the
     reader's business (see :func:`statekit.streaming.state.touches`).
     """
-    own.dataSource.register(OrderedLog)
     options = {"path": log.path, "columns": log.schema, "first": first, "until": log.batches if until is None else until, "laps": laps, "lead": lead, "ticks": ticks}
-    reader = own.readStream.format("ordered_log")
+    reader = own.readStream.format(registered(own))
     for name, value in options.items():
         reader = reader.option(name, str(value).lower() if isinstance(value, bool) else value)
     return reader.load()

@@ -93,6 +93,17 @@ def test_odd_logs(spark, tmp_path):
         ordered.arrange(spark.createDataFrame([(1,), (None,)], "seq long"), f"{tmp_path}/null", "seq", 2)
 
 
+def test_another_active_session(spark, tmp_path):
+    """A session that knows the source and is the thread's active one does not stand in the way of the next."""
+    log, seen = ordered.arrange(numbered(spark, 20), f"{tmp_path}/log", "seq", 2), []
+    for k in range(2):
+        own = runs.stream_session(spark, 1)
+        collected(own, log, f"{tmp_path}/ckpt-{k}", seen)
+        own.createDataFrame([(1,)], "x int").count()  # makes it the active one
+    assert len(seen) == 2 * log.batches
+    spark.createDataFrame([(1,)], "x int").count()
+
+
 SHIFT = 1_000_000
 
 
