@@ -30,7 +30,6 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,26 +140,13 @@ CONTEXT = np.dtype([("total", "<f4"), ("spare", "<f4")])
 # ---- packed columns --------------------------------------------------------------------------------------------
 
 
-def packed(columns: list[np.ndarray]) -> bytes:
-    """Columns of 64-bit integers, the first one sorted, by byte planes."""
-    planes = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
-    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T for x in planes]
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
-
-
-def unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(columns, 8, -1)
-    out = [np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes]
-    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
-
-
 def rows(kind: str, part: np.ndarray, columns: list[np.ndarray]) -> Iterator[dict]:
     """One packed row for each part, sorted by the columns in turn."""
     order = np.lexsort([*columns[::-1], part])
     bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         mine = order[lo:hi]
-        yield {"kind": kind, "part": int(part[mine[0]]), "blob": packed([x[mine].astype(np.uint64) for x in columns]), "figures": None}
+        yield {"kind": kind, "part": int(part[mine[0]]), "blob": c.packed([x[mine].astype(np.uint64) for x in columns]), "figures": None}
 
 
 def arrow_rows(found: Iterator[dict]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +274,7 @@ def added_up(packed_rows: DataFrame, kind: str, columns: int, parts: int, fn) ->
                     yield from fn(part, [np.concatenate(x) for x in zip(*held, strict=True)])
                     held = []
                 part = p
-                held.append(unpacked(blob, columns))
+                held.append(c.unpacked(blob, columns))
         if held:
             yield from fn(part, [np.concatenate(x) for x in zip(*held, strict=True)])
 

@@ -14,14 +14,17 @@ Bucket refinement, coarse to fine; a bucket with one member is left out of all l
    each is refined again: in parts of up to 19 windows, first by the 82 bytes that they have in common.
 4. *window buckets*: the same once more for the first members of parts that differ, by their single windows.
 
-A bucket's pointer is its earliest member; every other member is removed. Order inside a bucket is not
-needed, so refinement stops at depth 100 and identifiers are hashes instead of ranks (64 bits of span
-within 64 bits of q-gram), which spares a global sort.
+A bucket's pointer is its earliest member; every other member is removed. Each round sends its members once, to the
+*part* that a hash of the q-gram bucket names, where they are sorted by the identifiers of bucket, span and position. Only
+the order within a bucket is needed, so identifiers are hashes instead of ranks (64 bits of span within 64 bits of
+q-gram) and refinement stops at depth 100. A task has sorted its own block of members before: of a span bucket only the
+block's earliest member travels on, so a passage that half of the corpus holds is one member a block.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statekit.llm import common as c
+from statekit.session import durable
 
 DEPTH, GRAM = 100, 25
 PART = 19
 PART_COMMON = DEPTH - PART + 1
 REACH = DEPTH - GRAM
 BLOCK = 1 << 20
+MEMBERS = 300_000
+LEAST_PARTS, PART_BYTES = 64, 16 << 20
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -146,18 +152,100 @@ def unpacked(fn):
     return run
 
 
+def in_pieces(fn):
+    def run(batch: pa.RecordBatch):
+        for part in c.pieces(batch):
+            yield from fn(part)
+
+    return run
+
+
 def pack_texts(batch: pa.RecordBatch):
     press = zstandard.ZstdCompressor(level=1)
     yield {"doc_id": batch.column("doc_id"), "packed": [press.compress(x.encode()) for x in batch.column("text").to_pylist()]}
 
 
-def refine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of the span buckets but the earliest, and the earliest ones of q-gram buckets with several of them."""
-    buckets = rows.groupBy("gram", "span").agg(F.min(F.struct("doc_id", "place")).alias("head"), F.count(F.lit(1)).alias("n"))
-    late = rows.join(buckets.where("n > 1").drop("n"), ["gram", "span"]).where("doc_id != head.doc_id OR place != head.place")
-    apart = buckets.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    edges = buckets.join(apart, "gram").select("head.doc_id", F.struct("head.place", "gram").alias("run"))
-    return late.select("doc_id", "place"), edges.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+def pointers(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Members (gram, span, doc_id, place) sorted by bucket and position; which are pointers, and which stand in a q-gram
+    bucket of several span buckets."""
+    order = np.lexsort(columns[::-1])
+    gram, span, doc, place = (x[order] for x in columns)
+    new = np.r_[True, gram[1:] != gram[:-1]]
+    head = new | np.r_[True, span[1:] != span[:-1]]
+    bucket = np.cumsum(new) - 1
+    several = (np.bincount(bucket, head) > 1)[bucket]
+    return [gram, span, doc, place], head, several
+
+
+def sent(found: DataFrame, fn, parts: int, block: int) -> DataFrame:
+    """The members that ``fn`` finds in each batch, combined in blocks of about ``block`` and packed for their parts."""
+    schema = pa.schema([("part", pa.int32()), ("late", pa.bool_()), ("blob", pa.binary())])
+
+    def flush(held) -> Iterator[pa.RecordBatch]:
+        columns, head, _ = pointers([np.concatenate(x) for x in zip(*held, strict=True)])
+        part = (c.mix(columns[0]) % np.uint64(parts)).astype(np.int64)
+        out = []
+        for late, some in ((True, ~head), (False, head)):
+            mine = np.flatnonzero(some)
+            mine = mine[np.argsort(part[mine], kind="stable")]
+            bounds = np.flatnonzero(np.diff(part[mine], prepend=-1, append=-1))
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                at = mine[lo:hi]
+                out.append({"part": int(part[at[0]]), "late": late, "blob": c.packed([x[at].view(np.uint64) for x in (columns[2:] if late else columns)])})
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for members in fn(batch):
+                held.append([members["gram"].view(np.uint64), members["span"].view(np.uint64), members["doc_id"], members["place"]])
+                size += len(members["place"])
+                if size >= block:
+                    yield from flush(held)
+                    held, size = [], 0
+        if size:
+            yield from flush(held)
+
+    return found.mapInArrow(run, "part int, late boolean, blob binary")
+
+
+def refine(spark: SparkSession, found: DataFrame, fn, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Members of the span buckets but the earliest, and the earliest ones of q-gram buckets with several of them.
+
+    Written once: what the next round and the end read is not computed again.
+    """
+    schema = pa.schema([("edge", pa.bool_()), ("doc_id", pa.int64()), ("place", pa.int64()), ("gram", pa.int64())])
+
+    def rows(edge: bool, doc: np.ndarray, place: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
+        kinds = pa.array(np.full(len(doc), edge))
+        return pa.RecordBatch.from_arrays([kinds, pa.array(doc.view(np.int64)), pa.array(place.view(np.int64)), pa.array(gram.view(np.int64))], schema=schema)
+
+    def settle(held) -> Iterator[pa.RecordBatch]:
+        gram, span, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        (gram, span, doc, place), head, several = pointers([gram, span, doc.view(np.int64), place.view(np.int64)])
+        yield rows(False, doc[~head], place[~head], gram[~head])
+        yield rows(True, doc[head & several], place[head & several], gram[head & several])
+
+    def run(batches):
+        part, held = None, []
+        for batch in batches:
+            for p, late, blob in zip(*(batch.column(x).to_pylist() for x in ("part", "late", "blob")), strict=True):
+                if late:  # settled by the task that sent it
+                    doc, place = c.unpacked(blob, 2)
+                    yield rows(False, doc, place, np.zeros(len(doc), np.uint64))
+                    continue
+                if p != part and held:
+                    yield from settle(held)
+                    held = []
+                part = p
+                held.append(c.unpacked(blob, 4))
+        if held:
+            yield from settle(held)
+
+    dealt = sent(found, fn, parts, MEMBERS).repartition(parts, "part").sortWithinPartitions("part")
+    done = durable(spark, dealt.mapInArrow(run, "edge boolean, doc_id long, place long, gram long"), "repeats")
+    edges = done.where("edge").groupBy("doc_id").agg(F.collect_list(F.struct("place", "gram")).alias("runs"))
+    return done.where("NOT edge").select("doc_id", "place"), edges
 
 
 def merge(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,15 +286,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     an id before all others; for repeated rows and ids see ``common.one_each``. Other columns are ignored.
     """
     texts, names = c.one_each(spark, docs)
-    schema = "doc_id long, place long, gram long, span long"
-    found = c.map_batches(texts, find_anchors, schema)
-    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(LEAST_PARTS, size // PART_BYTES)
     # The texts are shuffled by id once, packed; the three joins below take the same exchange.
     packed = c.map_batches(texts, pack_texts, "doc_id long, packed binary")
-    whole, edges = refine(found.join(grams, "gram"))
-    parts, edges = refine(c.map_batches(packed.join(edges, "doc_id"), unpacked(find_parts), schema))
-    single, _ = refine(c.map_batches(packed.join(edges, "doc_id"), unpacked(find_windows), schema))
-    runs = whole.unionByName(parts).unionByName(single).groupBy("doc_id").agg(F.collect_list("place").alias("runs"))
+    whole, edges = refine(spark, texts, in_pieces(find_anchors), parts)
+    cut_up, edges = refine(spark, packed.join(edges, "doc_id"), unpacked(find_parts), parts)
+    single, _ = refine(spark, packed.join(edges, "doc_id"), unpacked(find_windows), parts)
+    runs = whole.unionByName(cut_up).unionByName(single).groupBy("doc_id").agg(F.collect_list("place").alias("runs"))
     out = packed.join(runs, "doc_id", "left").select("doc_id", "packed", "runs")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return c.shown(c.map_batches(out, unpacked(cut), schema), names)

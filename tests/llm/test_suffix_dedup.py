@@ -42,6 +42,17 @@ def test_against_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_many_small_blocks(spark, monkeypatch):
+    """Members of a bucket come from many blocks, each of which has settled its own."""
+    monkeypatch.setattr(op, "MEMBERS", 20)
+    rows = rows_for_test()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op.remove_repeats(spark, df).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(rows)
+
+
 def test_long_text_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(op, "BLOCK", 64)
     rows = rows_for_test()[:60]
