@@ -19,6 +19,10 @@ Nothing is capped: every pair that the bounds leave is decided, or both sides ar
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +33,23 @@ from statekit.llm.links import components
 from statekit.session import durable
 
 FEW = 32
+BLOCK = 200_000
+LEAST_PARTS, PART_BYTES = 64, 8 << 20
+
+
+def release() -> None:
+    """Give memory that a worker no longer uses back to the machine; it stays alive between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(fn):
+    def run(batch: pa.RecordBatch):
+        yield from fn(batch)
+        release()
+
+    return run
 
 
 def shingle_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
@@ -116,6 +137,70 @@ def block_rows(width: int, percent: int):
     return run
 
 
+def met_rows(texts: DataFrame, width: int, percent: int, parts: int, block: int) -> DataFrame:
+    """The block rows (sig, doc_id, size, need) that two documents or more have.
+
+    Each travels once, packed with the others of its block of text to the part that its signature names; one that only a
+    single document has ends there. A signature keeps 56 bits.
+    """
+    schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
+    found = block_rows(width, percent)
+
+    def flush(held) -> Iterator[pa.RecordBatch]:
+        sig, doc, size, need = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        part = (sig % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((sig, part))
+        bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+        out = {"part": [], "blob": []}
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            at = order[lo:hi]
+            out["part"].append(int(part[at[0]]))
+            out["blob"].append(c.packed([sig[at], doc[at].view(np.uint64), ((size[at] << 1) ^ (size[at] >> 63)).view(np.uint64), need[at].view(np.uint64)]))
+        yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    def send(batches):
+        held, rows = [], 0
+        for batch in batches:
+            for piece in c.pieces(batch):
+                for x in found(piece):
+                    held.append([x["sig"] >> np.uint64(8), x["doc_id"].astype(np.int64), x["size"].astype(np.int64), x["need"].astype(np.int64)])
+                    rows += len(x["sig"])
+                    if rows >= block:
+                        yield from flush(held)
+                        rows = 0
+        if rows:
+            yield from flush(held)
+        release()
+
+    def settle(held) -> pa.RecordBatch:
+        sig, doc, size, need = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(sig, kind="stable")
+        sig, doc, size, need = sig[order], doc[order].view(np.int64), size[order], need[order]
+        heads = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        many = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
+        kept = np.repeat(many, np.diff(np.r_[heads, len(sig)]))
+        size = (size >> np.uint64(1)).astype(np.int64) ^ -(size & np.uint64(1)).astype(np.int64)
+        columns = [sig.view(np.int64)[kept], doc[kept], size[kept].astype(np.int32), need[kept].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["sig", "doc_id", "size", "need"])
+
+    def meet(batches):
+        part, held = None, []
+        for batch in batches:
+            for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if p != part and held:
+                    yield settle(held)
+                part = p
+                held.append(c.unpacked(blob, 4))
+        if held:
+            yield settle(held)
+        release()
+
+    sent = texts.mapInArrow(send, "part int, blob binary").repartition(parts, "part").sortWithinPartitions("part")
+    return sent.mapInArrow(meet, "sig long, doc_id long, size int, need int")
+
+
 def single_grams(width: int):
     def run(batch: pa.RecordBatch):
         sets = shingle_sets(batch, width)
@@ -154,7 +239,7 @@ def decide(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     """Links among the pairs (a, b), counted over the whole rows of both."""
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
     two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-    counted = c.map_batches(two.select("a", "b", "text", "other"), overlaps(width), "a long, b long, na long, nb long, same long")
+    counted = c.map_batches(two.select("a", "b", "text", "other"), lean(overlaps(width)), "a long, b long, na long, nb long, same long")
     return counted.where(enough("same", percent)).select("a", "b")
 
 
@@ -165,15 +250,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, per
     a component. For null ids, repeated rows and ids see ``common.one_each``; other columns are ignored.
     """
     texts, names = c.one_each(spark, docs)
-    sizes = durable(spark, c.map_batches(texts, profile(width), "doc_id long, n long, s1 long, s2 long"), "jaccard-sizes")
+    sizes = durable(spark, c.map_batches(texts, lean(profile(width)), "doc_id long, n long, s1 long, s2 long"), "jaccard-sizes")
     filled = sizes.where("n > 0")
     same = filled.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
     rows = durable(spark, filled.join(same, ["n", "s1", "s2"]).select("doc_id", "n", "rep", "n_copies"), "jaccard-rows")
     reps = rows.where("doc_id = rep").select("doc_id", "n")
 
-    sigs = c.map_batches(texts, block_rows(width, percent), "sig long, doc_id long, size int, need int")
-    twice = sigs.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("sig")
-    shared = durable(spark, sigs.join(twice, "sig").join(reps, "doc_id"), "jaccard-blocks")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    met = met_rows(texts, width, percent, max(LEAST_PARTS, size // PART_BYTES), BLOCK)
+    shared = durable(spark, met.join(reps, "doc_id"), "jaccard-blocks")
     # A document that shares fewer block rows than any pair within the similarity must is out.
     met = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("sig")
     met = shared.join(met, "sig").withColumn("lower", F.col("size") < 0)
@@ -228,7 +313,7 @@ def unshared_bound(percent: int) -> Column:
 
 def rare_columns(spark: SparkSession, texts: DataFrame, many: DataFrame, width: int, percent: int) -> DataFrame:
     """The rarest n-grams of the given documents, as many as a pair within the similarity must meet in."""
-    grams = c.map_batches(texts.join(many, "doc_id"), single_grams(width), "doc_id long, gram long, n long")
+    grams = c.map_batches(texts.join(many, "doc_id"), lean(single_grams(width)), "doc_id long, gram long, n long")
     grams = durable(spark, grams, "jaccard-grams")
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     ranked = grams.join(counts, "gram").groupBy("doc_id", "n").agg(
