@@ -82,3 +82,12 @@ def test_host_words_of_long_urls(spark):
     deep = "/".join("abcdefghi")
     got = op.mine(pages(spark, [f"http://good.example.org/en/{deep}"] * 5 + [f"http://bad.example.org/es/{deep}"] * 5 + [f"http://ugly.example.org/en/{deep}"]), 0.1, 0.7)
     assert {(frozenset(["w:bad"]), "block", 1.0), (frozenset(["w:good"]), "allow", 1.0)} <= {x[:3] for x in got}
+
+
+def test_many_common_segments(spark):
+    """Twelve segments that each stand in half of the labelled urls, and a way for rules too many to be sent."""
+    urls = [f"http://x.org/{'/'.join(f's{chr(97 + k)}' for k in range(12) if (n * 2654435761 >> k + 8) & 1)}/{'es' if n % 3 else 'mix'}" for n in range(2000)]
+    urls = [u.replace("x.org", "x.com/de") if n % 2 else u for n, u in enumerate(urls)] + ["http://q.net/sa/sb", "http://q.net/es", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    sent, joined = (sorted(map(tuple, op.judge(spark, df, 0.05, 0.5, most).collect())) for most in (op.MOST_SENT, 0))
+    assert sent == joined and len(sent) == len(urls) and any(r[5] for r in sent)
