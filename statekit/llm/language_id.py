@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters over byte n-grams.
 
-One filter holds all languages: each slot is a mask with one bit per language, and the AND of an n-gram's slots
-is the mask of all languages that (probably) contain it. A document's languages are ranked by how many of its
+A slot of the filter is a mask with one bit per language, and the AND of an n-gram's slots is the mask of all
+languages that (probably) contain it. A mask has 62 bits; further languages go to further masks. A document's languages are ranked by how many of its
 n-grams have their bit, corrected for the share of false positives that the filling of each slice implies.
 
 An n-gram enters a language only if it is not much rarer there than in the language that uses it most, so that
@@ -24,7 +24,7 @@ GRAM = 4
 PER_LANGUAGE = 2_000
 SLOTS, HASHES = 1 << 18, 2
 RARER = 0.2
-MOST_LANGUAGES = 62
+BITS = 62  # languages of one mask
 UNKNOWN = "und"
 
 LETTER = np.zeros(256, bool)
@@ -34,7 +34,7 @@ LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 @dataclass
 class Filter:
     languages: list[str]  # by falling number of rows, then by name
-    masks: np.ndarray
+    masks: np.ndarray  # a row of slots for every BITS languages
     false_rate: np.ndarray
 
 
@@ -81,12 +81,12 @@ def slot(gram, k: int):
 
 
 def learn(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filter:
-    """A filter from the rows with text and lang; beyond 62 languages, the most frequent ones."""
+    """A filter for all languages of the rows with text and lang."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row per language
     languages = [r["lang"] for r in found]
     if not languages:
-        return Filter([], np.zeros(SLOTS, np.int64), np.zeros(0))
+        return Filter([], np.zeros((0, SLOTS), np.int64), np.zeros(0))
     share = spark.createDataFrame([(r["lang"], k, per_language / r["count"]) for k, r in enumerate(found)], "lang string, k int, share double")
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     sample = rows.join(F.broadcast(share), "lang").where(lot < F.col("share")).select("text", "lang")
@@ -96,12 +96,12 @@ def learn(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE
     rated = rated.select("gram", "k", (F.col("n") / F.col("total")).alias("rate"))
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"))
     kept = rated.join(best, "gram").where(F.col("rate") >= RARER * F.col("best"))
-    masks = kept.groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
+    masks = kept.groupBy("gram", F.expr(f"k div {BITS}").alias("part")).agg(F.bit_or(F.expr(f"shiftleft(1L, k % {BITS})")).alias("mask"))
     slots = F.explode(F.array(*[F.shiftrightunsigned("gram", 18 * k).bitwiseAND(F.lit(SLOTS - 1)) for k in range(HASHES)]))
-    filled = masks.select(slots.alias("slot"), "mask").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most SLOTS rows
-    out = np.zeros(SLOTS, np.int64)
-    out[filled["slot"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64)
-    fill = np.array([((out >> k) & 1).mean() for k in range(len(languages))])
+    filled = masks.select("part", slots.alias("slot"), "mask").groupBy("part", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most SLOTS rows a part
+    out = np.zeros((-(-len(languages) // BITS), SLOTS), np.int64)
+    out[filled["part"].to_numpy(np.int64), filled["slot"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64)
+    fill = np.array([((out[k // BITS] >> k % BITS) & 1).mean() for k in range(len(languages))])
     return Filter(languages, out, fill**HASHES)
 
 
@@ -113,14 +113,14 @@ def decide(shared):
     def run(batch: pa.RecordBatch):
         model: Filter = shared.value
         key, at = grams(batch)
-        mask = np.full(len(key), -1)
-        for k in range(HASHES):
-            mask &= model.masks[slot(key, k).astype(np.int64)]
+        slots = [slot(key, k).astype(np.int64) for k in range(HASHES)]
         total = np.diff(at)
         n = batch.num_rows
         share = np.zeros((max(1, len(model.languages)), n))
         for k in range(len(model.languages)):
-            hits = np.r_[0, np.cumsum((mask >> k) & 1)]
+            if k % BITS == 0:
+                mask = np.bitwise_and.reduce([model.masks[k // BITS][x] for x in slots])
+            hits = np.r_[0, np.cumsum((mask >> k % BITS) & 1)]
             hits = hits[at[1:]] - hits[at[:-1]]
             false = model.false_rate[k]
             share[k] = np.clip((hits - false * total) / np.maximum(1, total) / max(1e-9, 1 - false), 0, 1)

@@ -64,3 +64,36 @@ def test_edges(spark):
     empty = op.learn(spark, docs.where("false"))
     assert {r.lang_pred for r in op.identify(spark, df, empty).collect()} == {"und"}
     assert op.identify(spark, df.where("false"), model).count() == 0
+
+
+def test_more_languages_than_bits(spark):
+    """130 made-up languages, each with letters of its own: every one is learned and told apart."""
+    r = random.Random(3)
+    names = [f"l{k:03}" for k in range(130)]
+    words = {x: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for x in names}
+    rows = [(k * 20 + n, " ".join(r.choices(words[x], k=30)), x) for k, x in enumerate(names) for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op.learn(spark, docs.where("doc_id % 20 < 15"))
+    assert sorted(model.languages) == names and len(model.masks) == 3
+    got = op.identify(spark, docs.where("doc_id % 20 >= 15"), model).collect()
+    assert len(got) == 650 and all(x.lang_pred == names[x.doc_id // 20] and x.score > 0 for x in got)
+
+
+def test_decision_like_brute_force(spark):
+    """Shares of n-grams per language by sets and loops, corrected for the fill of each slice."""
+    docs = table(spark, SF, "documents").where("text IS NOT NULL")
+    model = op.learn(spark, docs)
+    rows = docs.select("doc_id", "text").where("doc_id % 40 = 0").collect()
+    got = {x.doc_id: x for x in op.identify(spark, docs, model).collect()}
+    for d in rows:
+        keys = common.mix(np.array([int.from_bytes(g, "big") for g in brute_grams(d.text)], np.uint64))
+        share = []
+        for k in range(len(model.languages)):
+            hits = sum(all(int(model.masks[0][int(op.slot(x, h))]) >> k & 1 for h in range(op.HASHES)) for x in keys[:, None].ravel())
+            false = model.false_rate[k]
+            share.append(min(1, max(0, (hits - false * len(keys)) / max(1, len(keys)) / max(1e-9, 1 - false))))
+        best = max(range(len(share)), key=lambda k: (share[k], -k))
+        rest = max([x for k, x in enumerate(share) if k != best], default=0)
+        if any(x.isalpha() for x in d.text):
+            assert got[d.doc_id].lang_pred == model.languages[best]
+            assert abs(got[d.doc_id].score - (share[best] / (share[best] + rest) * min(1, 2 * share[best]) if share[best] else 0)) < 1e-9
