@@ -1,6 +1,6 @@
 """Secret scan: fixed patterns, and a likelihood ratio of two character Markov models.
 
-A run of token characters that no pattern covers is compared under two first-order models, one of random
+A run of token characters, or what the patterns leave of one, is compared under two first-order models, one of random
 strings and one of ordinary words and identifiers. Both are learned from labelled samples: what the patterns
 found and seeded random strings on one side, the corpus' own words and repeated characters on the other. A run is a
 secret if the mean log-likelihood ratio per character and the sum both pass their thresholds.
@@ -62,28 +62,52 @@ def scan(batch: pa.RecordBatch, model: np.ndarray | None) -> list[list[tuple[int
     data, at = c.buffer(batch.column("text"))
     hex_a, hex_b, hex_at = long_runs(data, at, HEX, LEAST["hex"])
     run_a, run_b, run_at = long_runs(data, at, TOKEN, LEAST_RUN)
-    score = ratios(data, run_a, run_b, model) if model is not None else np.zeros((len(run_a), 2))
-    random = (score[:, 0] >= MEAN_BITS) & (score[:, 1] >= SUM_BITS)
-    out = []
+    points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]  # code points before each byte
+    base, rest_a, rest_b, rest_at = [], [], [], [0]
     texts = batch.column("text")
     for k in range(batch.num_rows):
-        text = texts[k].as_py()
-        plain = text.isascii()
-        head = int(at[k])
-
-        def point(x: int, head=head, plain=plain) -> int:
-            x = int(x)
-            return x - head if plain else int(((data[head:x] & 0xC0) != 0x80).sum())
-
-        found = patterns(text, [(point(a), point(b)) for a, b in zip(hex_a[hex_at[k] : hex_at[k + 1]], hex_b[hex_at[k] : hex_at[k + 1]], strict=True)])
-        more = []
-        for x in range(run_at[k], run_at[k + 1]):
-            if random[x]:
-                a, b = point(run_a[x]), point(run_b[x])
-                if not any(s < b and a < e for s, e, _ in found):
-                    more.append((a, b, "markov"))
-        out.append(sorted(found + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else found)
-    return out
+        hexes, runs = slice(hex_at[k], hex_at[k + 1]), slice(run_at[k], run_at[k + 1])
+        first = points[at[k]]
+        found = patterns(texts[k].as_py(), list(zip((points[hex_a[hexes]] - first).tolist(), (points[hex_b[hexes]] - first).tolist(), strict=True)))
+        base.append(found)
+        if model is not None:
+            spans = list(zip((points[run_a[runs]] - first).tolist(), (points[run_b[runs]] - first).tolist(), strict=True))
+            for start, stop, byte in beside(spans, found, run_a[runs].tolist()):
+                # Inside a run a code point is a byte.
+                rest_a.append(byte)
+                rest_b.append(byte + stop - start)
+        rest_at.append(len(rest_a))
+    if model is None:
+        return base
+    a, b = np.array(rest_a, np.int64), np.array(rest_b, np.int64)
+    score = ratios(data, a, b, model)
+    random = (score[:, 0] >= MEAN_BITS) & (score[:, 1] >= SUM_BITS)
+    for k, found in enumerate(base):
+        mine = np.arange(rest_at[k], rest_at[k + 1])
+        mine = mine[random[mine]]
+        if len(mine):
+            first = points[at[k]]
+            found += zip((points[a[mine]] - first).tolist(), (points[b[mine]] - first).tolist(), ["markov"] * len(mine), strict=True)
+            found.sort(key=lambda s: (s[0], KINDS.index(s[2])))
+    return base
+
+
+def beside(runs: list[tuple[int, int]], spans: list[tuple[int, int, str]], places: list[int]) -> Iterator[tuple[int, int, int]]:
+    """What the spans, ordered by start, leave of the runs, if long enough: start, end and place in the buffer."""
+    j, end = 0, 0  # next span, and how far those before it reach
+    for (start, stop), place in zip(runs, places, strict=True):
+        free = start
+        while True:
+            while j < len(spans) and spans[j][0] <= max(free, end):
+                end = max(end, spans[j][1])
+                j += 1
+            free = max(free, end)
+            to = min(stop, spans[j][0]) if j < len(spans) else stop
+            if to - free >= LEAST_RUN:
+                yield free, to, place + free - start
+            if to >= stop or free >= stop:
+                break
+            free = to
 
 
 def ratios(data: np.ndarray, start: np.ndarray, stop: np.ndarray, model: np.ndarray) -> np.ndarray:
@@ -147,7 +171,7 @@ def find_secrets(spark: SparkSession, docs: DataFrame, model: np.ndarray) -> Dat
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans, found.
 
     ``found`` is the list of spans, ``spans`` its text. Null text counts as empty; other columns are ignored, repeated
-    rows stay repeated. A span of the models never touches one of the patterns.
+    rows stay repeated. A span of the models never covers what a pattern covers; it may end where one begins.
     """
     shared = spark.sparkContext.broadcast(model)
 

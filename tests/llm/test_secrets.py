@@ -58,3 +58,52 @@ def test_redact_and_edges(spark):
     assert got == [(1, None, "é [secret] b"), (2, 2, None), (3, 3, ""), (3, 3, "")]
     assert op.find_secrets(spark, df, m).count() == 4 and op.find_secrets(spark, df.where("false"), m).count() == 0
     op.learn(spark, df.where("false"))
+
+
+def test_what_a_pattern_leaves_of_a_run(spark):
+    """The parts of a key beside a base span are scored, and covered by redact."""
+    r = random.Random(5)
+    key = lambda n: "".join(r.choice(string.ascii_uppercase + string.digits + "xyzw") for _ in range(n))
+    texts = {k: f"é key {key(40)}{'0123456789abcdef' * 2}{key(40)} end" for k in range(30)}
+    m = model(spark)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x for x in op.find_secrets(spark, df, m).collect()}
+    assert sum(x.n_hex == 1 and x.n_markov == 2 for x in got.values()) >= 28
+    clean = {x.doc_id: x.text for x in op.redact(spark, df, m).collect()}
+    assert sum(len(x.replace("[secret]", "")) <= 12 for x in clean.values()) >= 28
+
+
+def test_beside_like_brute_force():
+    r = random.Random(6)
+    for _ in range(2000):
+        cuts = sorted(r.sample(range(400), 8))
+        runs = [(cuts[k], cuts[k + 1]) for k in range(0, 8, 2)]
+        spans = sorted((a, a + r.randint(1, 60), "hex") for a in r.sample(range(400), r.randint(0, 5)))
+        want = []
+        for a, b in runs:
+            free = [x for x in range(a, b) if not any(s <= x < e for s, e, _ in spans)]
+            heads = [x for x in free if x == a or x - 1 not in free]
+            for x in heads:
+                y = x
+                while y in free:
+                    y += 1
+                if y - x >= op.LEAST_RUN:
+                    want.append((x, y, x + 1000))
+        assert list(op.beside(runs, spans, [a + 1000 for a, _ in runs])) == want
+
+
+def test_time_grows_with_the_text(spark):
+    """A long text full of hex runs behind one wide character."""
+    import time
+
+    import pyarrow as pa
+
+    m = model(spark)
+    took = []
+    for n in (20_000, 160_000):
+        batch = pa.RecordBatch.from_pydict({"text": pa.array(["é" + ("0123456789abcdef" * 2 + " ") * n])})
+        start = time.perf_counter()
+        (got,) = op.scan(batch, m)
+        took.append(time.perf_counter() - start)
+        assert len(got) == n and got[-1] == (33 * n - 32, 33 * n, "hex")
+    assert took[1] < 24 * took[0] + 1
