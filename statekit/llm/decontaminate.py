@@ -108,43 +108,40 @@ def find_prefixes(shared, widths: list[int], window: int):
 
 
 def covered(batch: pa.RecordBatch):
-    """Words covered by the found windows, and a digest of the items they belong to."""
-    n, items = [], []
-    for found in batch.column("found").to_pylist():
-        spans = sorted({(f["start"], f["start"] + f["size"]) for f in found})
+    """Words covered by the found windows."""
+    n = []
+    for found in batch.column("spans").to_pylist():
         total, end = 0, -1
-        for a, b in spans:
+        for a, b in sorted((f["start"], f["start"] + f["size"]) for f in found):
             total += max(0, b - max(a, end))
             end = max(end, b)
         n.append(total)
-        items.append(sorted({f["item_id"] for f in found}))
-    yield {
-        "doc_id": batch.column("doc_id"),
-        "n_hit": n,
-        "n_items": [len(x) for x in items],
-        "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
-        "items": items,
-    }
+    yield {"doc_id": batch.column("doc_id"), "n_hit": n, "windows": batch.column("windows")}
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, items, contaminated.
 
-    An item shorter than the window is one window. Null texts have no words; a null item id reads 'null';
-    items equal in id are one item, repeated windows count once. Ties in rarity go by hash. For null ids,
+    An item shorter than the window is one window. Null texts have no words; a null item id reads 'null'
+    and is not the item of that name; items equal in id are one item, repeated windows count once. Ties in rarity go by hash. For null ids,
     repeated rows and ids see ``common.one_each``. Either table may be empty; other columns are ignored.
     """
     texts, names = c.one_each(spark, docs)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     made = c.map_batches(items, windows_of(window), "item_id string, words binary, size int, grams array<struct<gram: long, place: int>>")
-    made = durable(spark, made.distinct(), "leak-windows")
-    tokens = made.select("item_id", "words", "size", F.explode("grams").alias("g")).select("item_id", "words", "size", "g.gram", "g.place")
-    widths = sorted({min(SHINGLE, r.size) for r in made.select("size").distinct().collect()})  # at most `window` sizes
+    made = durable(spark, made, "leak-made")
+    # A window that many items share is looked for once; its items are joined to what was found.
+    windows = made.dropDuplicates(["words"]).select(F.monotonically_increasing_id().alias("window"), "words", "size", "grams")
+    windows = durable(spark, windows, "leak-windows")
+    owners = made.select("item_id", "words").distinct().join(windows.select("window", "words"), "words").select("window", "item_id")
+    tokens = windows.select("window", "size", F.explode("grams").alias("g")).select("window", "size", "g.gram", "g.place")
+    widths = sorted({min(SHINGLE, r.size) for r in windows.select("size").distinct().collect()})  # at most `window` sizes
     shared = spark.sparkContext.broadcast(bloom(tokens.select("gram")))
     counts = c.map_batches(texts, count_grams(shared, widths), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    ranked = tokens.join(counts, "gram", "left").groupBy("item_id", "words", "size")
+    ranked = tokens.join(counts, "gram", "left").groupBy("window")
     prefixes = ranked.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "place")).alias("p")).where("p.n > 0")
-    prefixes = durable(spark, prefixes.select("item_id", "words", "size", "p.gram", "p.place"), "leak-prefixes")
+    prefixes = prefixes.select("window", "p.gram", "p.place").join(windows.select("window", "words", "size"), "window")
+    prefixes = durable(spark, prefixes, "leak-prefixes")
     shared = spark.sparkContext.broadcast(bloom(prefixes.select("gram")))
     hits = "hits array<struct<gram: long, at: int, before: int, near: binary>>"
     found = durable(spark, c.map_batches(texts, find_prefixes(shared, widths, window), f"doc_id long, n_words long, {hits}"), "leak-hits")
@@ -153,9 +150,15 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, windo
     # The window must start `place` words before the shingle, on the words themselves.
     near = F.split(F.decode("near", "utf-8"), " ")
     same = F.array_join(F.slice(near, F.col("before") - F.col("place") + 1, F.col("size")), " ") == F.decode("words", "utf-8")
-    pairs = pairs.where(same).select("doc_id", F.struct((F.col("at") - F.col("place")).alias("start"), "size", "item_id").alias("f"))
-    spans = pairs.groupBy("doc_id").agg(F.collect_set("f").alias("found"))
-    spans = c.map_batches(spans, covered, "doc_id long, n_hit long, n_items long, items_sha256 string, items array<string>")
+    pairs = pairs.where(same).select("doc_id", F.struct((F.col("at") - F.col("place")).alias("start"), "size").alias("span"), "window")
+    spans = pairs.groupBy("doc_id").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("window")).alias("windows"))
+    spans = durable(spark, c.map_batches(spans, covered, "doc_id long, n_hit long, windows array<long>"), "leak-spans")
+    # Documents with the same windows have the same items.
+    listed = spans.select("windows").distinct().withColumn("window", F.explode("windows")).join(owners, "window").groupBy("windows")
+    listed = listed.agg(F.collect_set(F.struct("item_id")).alias("items"))
+    listed = listed.select("windows", F.sort_array(F.transform("items", lambda x: F.coalesce(x["item_id"], F.lit("null")))).alias("items"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    spans = spans.join(listed, "windows").select("doc_id", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "items")
     none = hashlib.sha256(b"").hexdigest()
     out = found.select("doc_id", "n_words").join(spans, "doc_id", "left").select(
         "doc_id",

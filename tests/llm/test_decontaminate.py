@@ -56,3 +56,14 @@ def test_edges(spark):
     assert [x.n_hit for x in op.find_leaks(spark, one, no_items).collect()] == [0, 0, 0]
     got = sorted((x.doc_id or 0, x.n_words, x.n_hit, x["items"]) for x in op.find_leaks(spark, one, item).collect())
     assert got == [(0, 2, 0, []), (1, 1, 1, ["7"]), (1, 3, 2, ["null"])]
+
+
+def test_a_window_of_many_items(spark):
+    """A sentence that all items share is one window; null is no name."""
+    shared = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(f"i{k}", shared) for k in range(400)] + [(None, shared), ("null", shared + " eleven")], "item_id string, text string")
+    docs = spark.createDataFrame([(k, f"before {shared} after {k}") for k in range(50)] + [(50, shared + " eleven"), (51, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op.find_leaks(spark, docs, items).collect()}
+    want = sorted([f"i{k}" for k in range(400)] + ["null", "null"])
+    assert all(got[k].items == want and got[k].n_items == 402 and got[k].n_hit == 10 for k in range(50))
+    assert got[50].items == want and got[50].n_hit == 11 and not got[51].contaminated and got[51].items == []
