@@ -6,6 +6,8 @@ The numpy helpers run inside Spark tasks and see one Arrow batch at a time, in p
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from statekit.session import durable
 
 PIECE = 1 << 20
+BATCH_BYTES = 4 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SPACE = b" \t\n\x0b\x0c\r"
@@ -50,6 +53,28 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the machine; it stays alive between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(fn):
+    def run(batch: pa.RecordBatch):
+        yield from fn(batch)
+        release()
+
+    return run
+
+
+def bounded(spark: SparkSession) -> None:
+    """From now on an Arrow batch ends at BATCH_BYTES, so ten thousand long texts don't fill executor and worker at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def as_arrow(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.Array):
         return values if values.type == kind else values.cast(kind)

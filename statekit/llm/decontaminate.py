@@ -126,6 +126,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, windo
     and is not the item of that name; items equal in id are one item, repeated windows count once. Ties in rarity go by hash. For null ids,
     repeated rows and ids see ``common.one_each``. Either table may be empty; other columns are ignored.
     """
+    c.bounded(spark)
     texts, names = c.one_each(spark, docs)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     made = c.map_batches(items, windows_of(window), "item_id string, words binary, size int, grams array<struct<gram: long, place: int>>")
@@ -137,14 +138,14 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, windo
     tokens = windows.select("window", "size", F.explode("grams").alias("g")).select("window", "size", "g.gram", "g.place")
     widths = sorted({min(SHINGLE, r.size) for r in windows.select("size").distinct().collect()})  # at most `window` sizes
     shared = spark.sparkContext.broadcast(bloom(tokens.select("gram")))
-    counts = c.map_batches(texts, count_grams(shared, widths), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = c.map_batches(texts, c.lean(count_grams(shared, widths)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     ranked = tokens.join(counts, "gram", "left").groupBy("window")
     prefixes = ranked.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "place")).alias("p")).where("p.n > 0")
     prefixes = prefixes.select("window", "p.gram", "p.place").join(windows.select("window", "words", "size"), "window")
     prefixes = durable(spark, prefixes, "leak-prefixes")
     shared = spark.sparkContext.broadcast(bloom(prefixes.select("gram")))
     hits = "hits array<struct<gram: long, at: int, before: int, near: binary>>"
-    found = durable(spark, c.map_batches(texts, find_prefixes(shared, widths, window), f"doc_id long, n_words long, {hits}"), "leak-hits")
+    found = durable(spark, c.map_batches(texts, c.lean(find_prefixes(shared, widths, window)), f"doc_id long, n_words long, {hits}"), "leak-hits")
     places = found.select("doc_id", "n_words", F.explode("hits").alias("h")).select("doc_id", "n_words", "h.*")
     pairs = places.join(prefixes, "gram").where("at >= place AND at - place + size <= n_words")
     # The window must start `place` words before the shingle, on the words themselves.

@@ -19,8 +19,6 @@ Nothing is capped: every pair that the bounds leave is decided, or both sides ar
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,21 +35,6 @@ BLOCK = 200_000
 LEAST_PARTS, PART_BYTES = 64, 8 << 20
 
 
-def release() -> None:
-    """Give memory that a worker no longer uses back to the machine; it stays alive between stages."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
-        ctypes.CDLL(None).malloc_trim(0)
-
-
-def lean(fn):
-    def run(batch: pa.RecordBatch):
-        yield from fn(batch)
-        release()
-
-    return run
-
-
 def shingle_sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the word n-grams of each text; a shorter text is one n-gram as a whole."""
     data, at = c.buffer(batch.column("text"))
@@ -171,7 +154,7 @@ def met_rows(texts: DataFrame, width: int, percent: int, parts: int, block: int)
                         rows = 0
         if rows:
             yield from flush(held)
-        release()
+        c.release()
 
     def settle(held) -> pa.RecordBatch:
         sig, doc, size, need = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -195,7 +178,7 @@ def met_rows(texts: DataFrame, width: int, percent: int, parts: int, block: int)
                 held.append(c.unpacked(blob, 4))
         if held:
             yield settle(held)
-        release()
+        c.release()
 
     sent = texts.mapInArrow(send, "part int, blob binary").repartition(parts, "part").sortWithinPartitions("part")
     return sent.mapInArrow(meet, "sig long, doc_id long, size int, need int")
@@ -239,7 +222,7 @@ def decide(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     """Links among the pairs (a, b), counted over the whole rows of both."""
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
     two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-    counted = c.map_batches(two.select("a", "b", "text", "other"), lean(overlaps(width)), "a long, b long, na long, nb long, same long")
+    counted = c.map_batches(two.select("a", "b", "text", "other"), c.lean(overlaps(width)), "a long, b long, na long, nb long, same long")
     return counted.where(enough("same", percent)).select("a", "b")
 
 
@@ -249,8 +232,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, per
     Null and empty texts have no n-grams and are linked with nothing. Ties cannot occur: the smallest id names
     a component. For null ids, repeated rows and ids see ``common.one_each``; other columns are ignored.
     """
+    c.bounded(spark)
     texts, names = c.one_each(spark, docs)
-    sizes = durable(spark, c.map_batches(texts, lean(profile(width)), "doc_id long, n long, s1 long, s2 long"), "jaccard-sizes")
+    sizes = durable(spark, c.map_batches(texts, c.lean(profile(width)), "doc_id long, n long, s1 long, s2 long"), "jaccard-sizes")
     filled = sizes.where("n > 0")
     same = filled.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
     rows = durable(spark, filled.join(same, ["n", "s1", "s2"]).select("doc_id", "n", "rep", "n_copies"), "jaccard-rows")
@@ -313,7 +297,7 @@ def unshared_bound(percent: int) -> Column:
 
 def rare_columns(spark: SparkSession, texts: DataFrame, many: DataFrame, width: int, percent: int) -> DataFrame:
     """The rarest n-grams of the given documents, as many as a pair within the similarity must meet in."""
-    grams = c.map_batches(texts.join(many, "doc_id"), lean(single_grams(width)), "doc_id long, gram long, n long")
+    grams = c.map_batches(texts.join(many, "doc_id"), c.lean(single_grams(width)), "doc_id long, gram long, n long")
     grams = durable(spark, grams, "jaccard-grams")
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     ranked = grams.join(counts, "gram").groupBy("doc_id", "n").agg(

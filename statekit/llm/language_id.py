@@ -82,6 +82,7 @@ def slot(gram, k: int):
 
 def learn(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filter:
     """A filter for all languages of the rows with text and lang."""
+    c.bounded(spark)
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row per language
     languages = [r["lang"] for r in found]
@@ -155,11 +156,13 @@ def identify(spark: SparkSession, docs: DataFrame, model: Filter) -> DataFrame:
 
 def keep_known(spark: SparkSession, docs: DataFrame, model: Filter) -> DataFrame:
     """The rows of docs, with their columns, whose text has a known language."""
+    c.bounded(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             parts = c.pieces(pa.RecordBatch.from_pydict({"doc_id": np.zeros(len(texts), np.int64), "text": pa.array(texts.fillna(""), pa.string())}))
             yield pd.Series([x != UNKNOWN for part in parts if part.num_rows for out in decide(shared)(part) for x in out["lang_pred"]], dtype=bool)
+            c.release()
 
     return docs.where(F.pandas_udf(known, "boolean")("text"))

@@ -27,7 +27,7 @@ from statekit.session import durable
 WINDOW = 2048
 BUCKET_ROWS = 100_000
 MOST_BUCKETS = 4096
-CACHE = 1_000_000
+CACHE = 250_000
 # How the tokenizer cuts text in Latin-1 (contractions, letters, one digit, other signs).
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa00-9²³¹¼-¾a-zªµºß-öø-ÿ]+")
 
@@ -225,9 +225,10 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1,
     Rows equal in id and text are one document, packed once; for null and repeated ids see
     ``common.one_each``. Other columns are ignored. ``window`` must be a power of two.
     """
+    c.bounded(spark)
     texts, names = c.one_each(spark, docs)
     dtype = str(encoder(tokenizer)[1])
-    tokens = durable(spark, c.map_batches(texts, tokenize(tokenizer, end_id), "doc_id long, n long, ids binary"), "pack-tokens")
+    tokens = durable(spark, c.map_batches(texts, c.lean(tokenize(tokenizer, end_id)), "doc_id long, n long, ids binary"), "pack-tokens")
     lengths = tokens.select("doc_id", "n", (F.col("n") % window).alias("r"))
     rows = tokens.count()
     buckets = max(1, min(MOST_BUCKETS, rows // BUCKET_ROWS, rows // 64))
@@ -259,4 +260,4 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1,
     pieces = tokens.join(placed, "doc_id").select("doc_id", "n", "ids", "r", "seq", "place", "at", "full")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     total = sum(s.left for s in sums)
-    return c.shown(c.map_batches(pieces, cut(window, planned, total, dtype), schema), names)
+    return c.shown(c.map_batches(pieces, c.lean(cut(window, planned, total, dtype)), schema), names)

@@ -158,6 +158,7 @@ def learn(spark: SparkSession, docs: DataFrame, samples: int = SAMPLES) -> np.nd
 
     The strings come from about ``samples`` / 10 whole texts, picked by a hash of the text.
     """
+    c.bounded(spark)
     texts = docs.where("text IS NOT NULL").select("text")
     share = samples / 10 / max(1, texts.count())
     texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
@@ -193,6 +194,7 @@ def find_secrets(spark: SparkSession, docs: DataFrame, model: np.ndarray) -> Dat
 
 def redact(spark: SparkSession, docs: DataFrame, model: np.ndarray, mark: str = "[secret]") -> DataFrame:
     """The rows of docs, with their columns; every span of a text is replaced by the mark, a null text stays."""
+    c.bounded(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -200,6 +202,7 @@ def redact(spark: SparkSession, docs: DataFrame, model: np.ndarray, mark: str =
             batch = pa.RecordBatch.from_pydict({"text": pa.array(texts.fillna(""), pa.string())})
             out = [cover(t, s, mark) for part in c.pieces(batch) if part.num_rows for t, s in zip(part.column("text").to_pylist(), scan(part, shared.value), strict=True)]
             yield pd.Series(out, index=texts.index, dtype=object).where(texts.notna(), None)
+            c.release()
 
     return docs.withColumn("text", F.pandas_udf(clean, "string")("text"))
 
