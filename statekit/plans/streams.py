@@ -72,11 +72,11 @@ def stream_recovery(spark, sf_dir):
     return runs.newest_batch(spark, out, ["key"], ["n"]).withColumn("failed_batch", failed)
 
 
-def third(spark, sf_dir, index, path, as_counts):
-    """Append one third of the events to a source folder."""
+def third(spark, sf_dir, index, path, as_counts, cuts):
+    """Append one third of the events to a source folder. The cuts are approximate quantiles, which need not come out the
+    same again, so all thirds are taken by the same ones."""
     e = t.events(spark, sf_dir)
     e = e.select("key", F.lit(1).cast("bigint").alias("n"), "seq") if as_counts else e.select("key", "seq", "ts")
-    cuts = runs.row_cuts(t.events(spark, sf_dir), "seq", 3)
     first, last = index * len(cuts) // 3, (index + 1) * len(cuts) // 3
     lo, hi = (cuts[first][0], cuts[last - 1][1]) if last > first else (0, 0)
     runs.stage(e, path, "seq", lo, hi)
@@ -86,14 +86,14 @@ def third(spark, sf_dir, index, path, as_counts):
 @query(COUNTS)
 def stream_rescale(spark, sf_dir):
     """State partitions doubled, then cut to a quarter: the state of a drained run is the first input of the next."""
-    held = None
+    held, cuts = None, runs.row_cuts(t.events(spark, sf_dir), "seq", 3)
     for i, factor in enumerate((1, 2, 0.5)):
         own = own_session(spark, sf_dir, factor)
         path, ckpt = session.work_path(spark, "source"), session.work_path(spark, "ckpt")
         if held is not None:
             seed = held.select(F.col("key.key").alias("key"), F.col("value.sum").alias("n"), F.lit(-1).cast("bigint").alias("seq"))
             seed.write.mode("append").parquet(path)
-        schema = third(spark, sf_dir, i, path, as_counts=True)
+        schema = third(spark, sf_dir, i, path, True, cuts)
         totals = state.adder(runs.replayable(own, path, schema))
         runs.drain(runs.start(totals, ckpt, runs.batch_writer(session.work_path(spark, "out"))))
         held = runs.state_of(spark, ckpt)
@@ -103,11 +103,11 @@ def stream_rescale(spark, sf_dir):
 @query(COUNTS)
 def stream_rescale_savepoint(spark, sf_dir):
     """The same chain with operator-owned state, handed on as the initial state of the next run."""
-    held = None
+    held, cuts = None, runs.row_cuts(t.events(spark, sf_dir), "seq", 3)
     for i, factor in enumerate((1, 2, 0.5)):
         own = own_session(spark, sf_dir, factor)
         path, ckpt = session.work_path(spark, "source"), session.work_path(spark, "ckpt")
-        schema = third(spark, sf_dir, i, path, as_counts=False)
+        schema = third(spark, sf_dir, i, path, False, cuts)
         seed = None if held is None else own.read.schema(held.schema).parquet(saved)
         counts = state.seeded_counter(state.combine(runs.replayable(own, path, schema)), seed)
         runs.drain(runs.start(counts, ckpt, runs.batch_writer(session.work_path(spark, "out"))))

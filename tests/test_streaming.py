@@ -158,3 +158,19 @@ def test_null_keys_are_combined(spark):
     df = spark.range(100).select(F.when(F.col("id") % 2 == 0, "k").alias("key"), F.timestamp_millis(F.col("id")).alias("ts"))
     rows = state.combine(df).groupBy("key").agg(F.sum("n").alias("n")).collect()
     assert {x.key: x.n for x in rows} == {"k": 50, None: 50}
+
+
+@pytest.mark.parametrize("name", ["stream_rescale", "stream_rescale_savepoint"])
+def test_thirds_are_cut_once(spark, monkeypatch, name):
+    """Quantiles that come out otherwise each time neither lose nor double a record."""
+    d, plain, calls = "/root/testdata/sf0.001", runs.row_cuts, []
+
+    def wobbling(*args):
+        calls.append(1)
+        (lo, a), (_, b), (_, hi) = plain(*args)
+        return [(lo, a + 7 * len(calls)), (a + 7 * len(calls), b - 5 * len(calls)), (b - 5 * len(calls), hi)]
+
+    monkeypatch.setattr(runs, "row_cuts", wobbling)
+    got = {r.key: r.n for r in REGISTRY[name].run(spark, d).collect()}
+    rows = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").cast("string").alias("key")).count().collect()
+    assert got == {r.key: r["count"] for r in rows}
