@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,14 +32,21 @@ def write_state(df: DataFrame, path: str, codec: str = "None", mode: str = "erro
     df.write.mode(mode).option("compression", codec_option(codec)).parquet(path)
 
 
-def write_by(df: DataFrame, path: str, column: str, codec: str = "Zstd", mode: str = "errorifexists") -> None:
+def write_by(df: DataFrame, path: str, column: str, codec: str = "Zstd", mode: str = "errorifexists", splits: Column | None = None) -> None:
     """Write state partitioned by a routing column, sorted by key inside each file.
 
     The rebalance hint lets Spark split a large shard over several tasks (and files) instead of
-    handing all of it to one, and join small ones.
+    handing all of it to one, and join small ones. It is void without adaptive execution, as in a stateful stream,
+    where a shard is then one file. ``splits`` deals a shard by key over at most so many files, whatever the settings.
     """
+    if splits is not None:
+        placed = df.repartition(column, F.pmod(F.xxhash64("key"), splits))
+    elif df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        placed = df.hint("rebalance", column)
+    else:
+        placed = df.repartition(column)
     (
-        df.hint("rebalance", column)
+        placed
         .sortWithinPartitions(column, "key")
         .write.mode(mode)
         .option("compression", codec_option(codec))

@@ -24,6 +24,7 @@ from statekit.operators import upkeep
 from statekit.session import durable
 from statekit.sources import files, stores
 
+FILE_BYTES = 128 << 20
 ENTRY = "file string, shard int, rows long, bytes long, lo long, hi long, changed timestamp, batch long"
 
 
@@ -37,10 +38,11 @@ def entries(spark: SparkSession, place: str, seq: str) -> DataFrame:
     return per_file.select("file", shard.alias("shard"), "rows", F.col("file_bytes").alias("bytes"), "lo", "hi", "changed", F.lit(None).cast("long").alias("batch"))
 
 
-def write(rows: DataFrame, root: str, seq: str = "seq") -> DataFrame:
-    """Write rows by their column ``shard`` without committing them; the entries of the new files."""
+def write(rows: DataFrame, root: str, seq: str = "seq", splits: Column | None = None) -> DataFrame:
+    """Write rows by their column ``shard`` without committing them; the entries of the new files. ``splits``: see
+    :func:`statekit.sources.files.write_by`."""
     place = f"{root}/data/write={uuid.uuid4().hex}"
-    files.write_by(rows, place, "shard")
+    files.write_by(rows, place, "shard", splits=splits)
     return entries(rows.sparkSession, place, seq)
 
 
@@ -146,18 +148,20 @@ def compact(spark: SparkSession, root: str, schema: StructType, keep: Callable[[
     """Rewrite the shards that consist of more than ``most_files`` files; the versions before and after.
 
     Only files of those shards are read, and only they are replaced; all others stay under their names. ``keep`` says
-    what remains of a shard's rows.
+    what remains of a shard's rows. A shard comes out as one file, a large one as several, but never over ``most_files``.
     """
     before = newest(root)
     named = live(spark, root, before)
-    crowded = named.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_files)
-    shards = [r["shard"] for r in crowded.select("shard").collect()]  # as many as there are shards
+    crowded = named.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") > most_files)
+    sizes = {r["shard"]: min(most_files, 1 + r["bytes"] // FILE_BYTES) for r in crowded.collect()}  # as many as there are shards
+    shards = list(sizes)
     if not shards:
         return before, before
     rows = read(spark, root, schema, before, F.col("shard").isin(shards))
     replaced = named.where(F.col("shard").isin(shards))
     newest_batch = named.agg(F.max("batch")).first()[0]
-    added = durable(spark, write(keep(rows), root, seq).withColumn("batch", F.lit(newest_batch).cast("long")), "entries")
+    splits = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("shard")]
+    added = durable(spark, write(keep(rows), root, seq, splits).withColumn("batch", F.lit(newest_batch).cast("long")), "entries")
     return before, commit(spark, root, added, replaced)
 
 

@@ -116,3 +116,32 @@ def test_footers(spark, tmp_path):
     assert [(r.rows, r.id.lo, r.id.hi, r.ts.lo, r.ts.hi) for r in got] == [(30, 0, 29, 0, 29), (30, 30, 59, 30, 59), (30, 60, 89, 60, 89), (10, 90, 99, 90, 99)]
     assert [(r.none.lo, r.none.nulls, r.id.nulls) for r in got][0] == (None, 30, 0)
     assert len({r.file_bytes for r in got}) == 1 and os.path.getsize(got[0].file.removeprefix("file:").replace("///", "/")) == got[0].file_bytes
+
+
+def test_a_stream_of_many_tasks_keeps_few_files(spark, tmp_path):
+    """A stateful stream runs without adaptive execution; five state partitions leave one file a shard and batch, not five."""
+    from statekit.streaming import ordered, runs, state
+
+    own, root = runs.stream_session(spark, 5), f"file://{tmp_path}/t"
+    df = spark.range(400).select(F.pmod("id", F.lit(97)).cast("string").alias("key"), F.col("id").alias("seq"))
+    log = ordered.arrange(df, f"{tmp_path}/log", "seq", 4)
+    sharded = lambda s: state.counter(s).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(3)).cast("int"))
+    newest = lambda df: df.groupBy("key", "shard").agg(F.max("n").alias("n")).select("key", "n", "shard")
+    sink = manifest.batch_sink(root, newest, 2, "n")
+    ordered.drained(lambda: runs.start(sharded(ordered.stream(own, log)), f"{tmp_path}/ckpt", sink, to_end=False))
+    per_shard = [r["count"] for r in manifest.live(spark, root).groupBy("shard").count().collect()]
+    assert len(per_shard) == 3 and max(per_shard) <= 2
+    got = {r.key: r.n for r in newest(manifest.read(spark, root, spark.createDataFrame([], "key string, n long, shard int").schema)).collect()}
+    assert got == {str(k): 4 + (k < 400 - 4 * 97) for k in range(97)}
+
+
+def test_a_large_shard_stays_within_its_files(spark, tmp_path, monkeypatch):
+    """A compaction splits by size, but never into more files than allowed."""
+    monkeypatch.setattr(manifest, "FILE_BYTES", 100, raising=False)
+    own, root = spark.newSession(), f"file://{tmp_path}/t"
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    for k in range(4):
+        add(spark, root, 100 * k, 100 * k + 100)
+    manifest.compact(own, root, rows(own, 0, 1).schema, lambda df: df.repartition(6), 3)
+    per_shard = [r["count"] for r in manifest.live(spark, root).groupBy("shard").count().collect()]
+    assert len(per_shard) == 2 and 1 < max(per_shard) <= 3 and seqs(spark, root) == list(range(400))
