@@ -104,12 +104,13 @@ def stream_rescale(spark, sf_dir):
 def stream_rescale_savepoint(spark, sf_dir):
     """The same chain with operator-owned state, handed on as the initial state of the next run."""
     held, cuts = None, runs.row_cuts(t.events(spark, sf_dir), "seq", 3)
+    buckets = runs.state_buckets(t.table(spark, sf_dir, "events").count())
     for i, factor in enumerate((1, 2, 0.5)):
         own = own_session(spark, sf_dir, factor)
         path, ckpt = session.work_path(spark, "source"), session.work_path(spark, "ckpt")
         schema = third(spark, sf_dir, i, path, False, cuts)
         seed = None if held is None else own.read.schema(held.schema).parquet(saved)
-        counts = state.seeded_counter(state.combine(runs.replayable(own, path, schema)), seed)
+        counts = state.seeded_counter(state.combine(runs.replayable(own, path, schema)), seed, buckets)
         runs.drain(runs.start(counts, ckpt, runs.batch_writer(session.work_path(spark, "out"))))
         held = runs.state_of(spark, ckpt, variable="n").select(
             F.col("key.key").alias("key"), F.col("value.n").alias("n")
@@ -168,7 +169,7 @@ KIND = "concat_ws(':', user_id, event_type)"
 def tiered(own, log, out, ckpt, delay, key, seed=None, **options):
     """Run the two tiers over a log; the progress reports."""
     progress = runs.Progress(own)
-    trail = lambda rows: state.tiers(state.touches(rows, F.expr(key)), DAY, delay, seed)
+    trail = lambda rows: state.tiers(state.touches(rows, F.expr(key)), DAY, delay, seed, runs.state_buckets(log.rows))
     reports = progress.of(fed_in_order(own, log, lambda rows: begin(trail(rows), ckpt, runs.batch_writer(out)), **options))
     runs.no_late_rows(reports)
     return reports

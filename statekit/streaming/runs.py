@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import ArrayType, StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,6 +27,11 @@ def state_partitions(spark: SparkSession, rows: int, per_partition: int = 1 << 2
     return max(min(2, spark.sparkContext.defaultParallelism), rows // per_partition)
 
 
+def state_buckets(rows: int) -> int:
+    """Groups of keys for a stream of about so many rows, so that the keys of one are some thousands."""
+    return max(64, rows >> 14)
+
+
 def stream_session(spark: SparkSession, partitions: int) -> SparkSession:
     """A session of the same application with its own settings for stateful queries.
 
@@ -202,7 +208,18 @@ def state_of(
         reader = reader.option("batchId", str(batch_id))
     if variable is not None:
         reader = reader.option("stateVarName", variable)
-    return reader.load(checkpoint)
+    return by_key(reader.load(checkpoint))
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    """State of buckets, which holds its keys and their values as arrays, as a row for each key; other state as it is."""
+    value = rows.schema["value"].dataType if "value" in rows.columns else None
+    names = value.fieldNames() if isinstance(value, StructType) else []
+    if "key" not in names or not all(isinstance(f.dataType, ArrayType) for f in value):
+        return rows
+    at = rows.select("partition_id", F.explode(F.arrays_zip(*[F.col(f"value.{n}") for n in names])).alias("at"))
+    held = F.struct(*[F.col(f"at.{n}").alias(n) for n in names if n != "key"])
+    return at.select(F.struct(F.col("at.key").alias("key")).alias("key"), held.alias("value"), "partition_id")
 
 
 def collection(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
@@ -212,9 +229,8 @@ def collection(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame
 
 
 def pending_timers(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """(key, due_ms) of every timer that a query with timers left in its checkpoint folder."""
-    timers = spark.read.format("statestore").option("readRegisteredTimers", "true").load(checkpoint)
-    return timers.select(F.col("key.key").alias("key"), F.col("expiration_timestamp_ms").alias("due_ms"))
+    """(key, due_ms) of every key that waits for its time in the tiers that a query left in its checkpoint folder."""
+    return state_of(spark, checkpoint, variable="hot").select(F.col("key.key").alias("key"), F.col("value.due_ms").alias("due_ms"))
 
 
 def state_metadata(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -50,31 +50,54 @@ def touches(rows: DataFrame, key: Column, ts: str = "ts") -> DataFrame:
     return combine(counted, n="n")
 
 
-def seeded_counter(combined: DataFrame, seed: DataFrame | None = None) -> DataFrame:
-    """Counter over combined touches with state of its own, which a seed ``(key, n)`` may preload."""
+BUCKETS = 64
+
+
+def in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+
+
+def plain(column: pd.Series) -> list:
+    """Values of a pandas column, nulls as None."""
+    return column.astype(object).where(column.notna(), None).tolist()
+
+
+def seeded_counter(combined: DataFrame, seed: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Counter over combined touches with state of its own, which a seed ``(key, n)`` may preload.
+
+    Keys share ``buckets`` groups, so that a call of the state moves many keys; the number is fixed by a query's first batch.
+    """
 
     class Counter(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.n = handle.getValueState("n", "n long")
+            self.n = handle.getValueState("n", "key array<string>, n array<bigint>")
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-            before = self.n.get()
-            total = sum(row.n for row in rows) + (before[0] if before else 0)
-            self.n.update((total,))
-            yield Row(key=key[0], n=total)
+        def held(self) -> dict:
+            held = self.n.get()
+            return dict(zip(*held, strict=True)) if held else {}
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            held, touched = self.held(), {}
+            for pdf in rows:
+                for k, n in zip(plain(pdf["key"]), plain(pdf["n"]), strict=True):
+                    held[k] = touched[k] = held.get(k, 0) + int(n)
+            self.n.update((list(held), list(held.values())))
+            yield pd.DataFrame({"key": pd.Series(list(touched), dtype=object), "n": list(touched.values())})
 
         def handleInitialState(self, key, initialState, timerValues) -> None:
-            self.n.update((initialState.n,))
+            held = self.held()
+            held.update(zip(plain(initialState["key"]), map(int, initialState["n"]), strict=True))
+            self.n.update((list(held), list(held.values())))
 
         def close(self) -> None:
             pass
 
-    return combined.select("key", "n").groupBy("key").transformWithState(
+    return in_buckets(combined.select("key", "n"), buckets).groupBy("bucket").transformWithStateInPandas(
         Counter(),
         outputStructType="key string, n long",
         outputMode="Update",
         timeMode="None",
-        initialState=None if seed is None else seed.groupBy("key"),
+        initialState=None if seed is None else in_buckets(seed, buckets).groupBy("bucket"),
     )
 
 
@@ -85,7 +108,7 @@ def tier_seed(hot: DataFrame, cold: DataFrame) -> DataFrame:
     return h.unionByName(c).groupBy("key").agg(*[F.max(x).alias(x) for x in ("hot", "last_ms", "cold")])
 
 
-def tiers(combined: DataFrame, window_ms: int, delay: str = "0 seconds", seed: DataFrame | None = None) -> DataFrame:
+def tiers(combined: DataFrame, window_ms: int, delay: str = "0 seconds", seed: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Hot and cold state per key by event time, from :func:`combine`.
 
     A touch arms a timer at its time + window. When the watermark passes it and the key was not
@@ -94,63 +117,99 @@ def tiers(combined: DataFrame, window_ms: int, delay: str = "0 seconds", seed: D
     ``what`` one of touch, promote, demote. Rows with a count of 0 change nothing but the watermark.
 
     A ``seed`` (:func:`tier_seed`) brings in the tiers of another query; the timers of hot keys are armed again.
+
+    Keys share ``buckets`` groups, so that a call of the state moves many keys; the number is fixed by a query's first batch.
+    A bucket holds one timer, at the time its first key falls due.
     """
 
     class Tiers(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.hot = handle.getValueState("hot", "n long, last_ms long")
-            self.cold = handle.getValueState("cold", "n long")
+            self.hot = handle.getValueState("hot", "key array<string>, n array<bigint>, last_ms array<bigint>, due_ms array<bigint>")
+            self.cold = handle.getValueState("cold", "key array<string>, n array<bigint>")
+            self.timer = handle.getValueState("timer", "at_ms long")
+
+        def keep(self, hot: dict, fired: int | None = None) -> None:
+            n, last = [x[0] for x in hot.values()], [x[1] for x in hot.values()]
+            self.hot.update((list(hot), n, last, [x + window_ms for x in last]))
+            held, due = self.timer.get(), min(last, default=None)
+            if held and held[0] not in (fired, None if due is None else due + window_ms):
+                self.handle.deleteTimer(held[0])
+            if due is None:
+                self.timer.clear()
+            elif held is None or held[0] != due + window_ms:
+                self.handle.registerTimer(due + window_ms)
+                self.timer.update((due + window_ms,))
+
+        def held_hot(self) -> dict:
+            held = self.hot.get()
+            return dict(zip(held[0], zip(held[1], held[2], strict=True), strict=True)) if held else {}
+
+        def held_cold(self) -> dict:
+            held = self.cold.get()
+            return dict(zip(*held, strict=True)) if held else {}
+
+        def trail(self, rows: list) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["key", "what", "n", "at_ms"])
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-            add, last = 0, None
-            for row in rows:
-                if row.n:
-                    add += row.n
-                    last = row.last_ms if last is None else max(last, row.last_ms)
-            if last is None:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            new: dict = {}
+            for pdf in rows:
+                pdf = pdf[(pdf["n"] > 0) & pdf["last_ms"].notna()]
+                for k, n, ms in zip(plain(pdf["key"]), plain(pdf["n"]), plain(pdf["last_ms"]), strict=True):
+                    had, at = new.get(k, (0, ms))
+                    new[k] = (had + int(n), max(at, int(ms)))
+            if not new:
                 return
-            hot = self.hot.get()
-            if hot is None:
-                cold = self.cold.get()
-                before = cold[0] if cold else 0
-                if cold:
-                    yield Row(key=key[0], what="promote", n=before, at_ms=last)
-                self.handle.registerTimer(last + window_ms)
-            else:
-                before = hot[0]
-                if last > hot[1]:
-                    self.handle.deleteTimer(hot[1] + window_ms)
-                    self.handle.registerTimer(last + window_ms)
-                last = max(last, hot[1])
-            self.hot.update((before + add, last))
-            yield Row(key=key[0], what="touch", n=before + add, at_ms=last)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-            fired = expiredTimerInfo.getExpiryTimeInMs()
-            hot = self.hot.get()
-            if hot is not None and hot[1] + window_ms <= fired:
-                self.cold.update((hot[0],))
-                self.hot.clear()
-                yield Row(key=key[0], what="demote", n=hot[0], at_ms=fired)
+            hot, cold, out = self.held_hot(), None, []
+            for k, (add, last) in new.items():
+                if k in hot:
+                    before, at = hot[k]
+                    last = max(last, at)
+                else:
+                    cold = self.held_cold() if cold is None else cold
+                    before = cold.get(k, 0)
+                    if k in cold:
+                        out.append((k, "promote", before, last))
+                hot[k] = (before + add, last)
+                out.append((k, "touch", before + add, last))
+            self.keep(hot)
+            yield self.trail(out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            fired, mark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+            hot = self.held_hot()
+            gone = [k for k, (_, last) in hot.items() if last + window_ms <= fired or last + window_ms < mark]
+            if gone:
+                cold = {**self.held_cold(), **{k: hot[k][0] for k in gone}}
+                self.cold.update((list(cold), list(cold.values())))
+                yield self.trail([(k, "demote", hot[k][0], hot[k][1] + window_ms) for k in gone])
+            left = set(gone)
+            self.keep({k: x for k, x in hot.items() if k not in left}, fired)
 
         def handleInitialState(self, key, initialState, timerValues) -> None:
-            if initialState.cold is not None:
-                self.cold.update((initialState.cold,))
-            if initialState.hot is not None:
-                self.hot.update((initialState.hot, initialState.last_ms))
-                self.handle.registerTimer(initialState.last_ms + window_ms)
+            hot, cold = self.held_hot(), self.held_cold()
+            columns = [plain(initialState[c]) for c in ("key", "hot", "last_ms", "cold")]
+            for k, n, last, before in zip(*columns, strict=True):
+                if before is not None:
+                    cold[k] = int(before)
+                if n is not None:
+                    hot[k] = (int(n), int(last))
+            if cold:
+                self.cold.update((list(cold), list(cold.values())))
+            if hot:
+                self.keep(hot)
 
         def close(self) -> None:
             pass
 
-    clocked = combined.withWatermark("last_ts", delay)
-    return clocked.groupBy("key").transformWithState(
+    clocked = in_buckets(combined.withWatermark("last_ts", delay), buckets)
+    return clocked.groupBy("bucket").transformWithStateInPandas(
         Tiers(),
         outputStructType="key string, what string, n long, at_ms long",
         outputMode="Update",
         timeMode="EventTime",
-        initialState=None if seed is None else seed.groupBy("key"),
+        initialState=None if seed is None else in_buckets(seed, buckets).groupBy("bucket"),
     )
 
 

@@ -174,3 +174,33 @@ def test_thirds_are_cut_once(spark, monkeypatch, name):
     got = {r.key: r.n for r in REGISTRY[name].run(spark, d).collect()}
     rows = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").cast("string").alias("key")).count().collect()
     assert got == {r.key: r["count"] for r in rows}
+
+
+def test_tiers_move_keys_by_buckets(spark, tmp_path):
+    """3,000 keys in 8 groups: state has a row a group, the trail a row a key, and timers of one group fire each at its time."""
+    own, src, out, ckpt = runs.stream_session(spark, 2), f"{tmp_path}/src", f"{tmp_path}/out", f"{tmp_path}/ckpt"
+    start = 1_000_000
+    first = [(f"k{i}", start + i) for i in range(3000)] + [(None, start)]
+    for rows in (first, [("k7", start + 2050)], [("end", start + 2101)], [("k0", start + 2102)], [("end", start + 9_000)], [("end", start + 9_001)]):
+        spark.createDataFrame(rows, "key string, ms long").coalesce(1).write.mode("append").parquet(src)
+    stream = runs.replayable(own, src, spark.createDataFrame([], "key string, ms long").schema, per_batch=1)
+    touches = stream.select("key", F.timestamp_millis("ms").alias("ts"))
+    runs.drain(runs.start(state.tiers(state.combine(touches), 2000, "3000 milliseconds", buckets=8), ckpt, runs.batch_writer(out)))
+    trail = spark.read.parquet(out).where("key IS DISTINCT FROM 'end'")
+    gone = {(r.key, r.at_ms - start, r.n) for r in trail.where("what = 'demote'").collect()}
+    # k0 and k7 were touched again before their time, so they go once and late.
+    assert gone == {(f"k{i}", i + 2000, 1) for i in range(3000) if i not in (0, 7)} | {(None, 2000, 1), ("k0", 4102, 2), ("k7", 4050, 2)}
+    raw = spark.read.format("statestore").option("stateVarName", "cold").load(ckpt)
+    assert raw.count() <= 8 and runs.state_of(spark, ckpt, variable="cold").count() == 3001
+
+
+def test_counter_takes_over_in_buckets(spark, tmp_path):
+    own, src, ckpt = runs.stream_session(spark, 2), f"{tmp_path}/src", f"{tmp_path}/ckpt"
+    df = spark.range(600).select(F.when(F.col("id") % 300 > 0, F.pmod("id", F.lit(300)).cast("string")).alias("key"), F.timestamp_millis("id").alias("ts"))
+    df.write.parquet(src)
+    seed = own.createDataFrame([("7", 100), ("old", 5), (None, 50)], "key string, n long")
+    counts = state.seeded_counter(state.combine(runs.replayable(own, src, df.schema)), seed, 4)
+    runs.drain(runs.start(counts, ckpt, runs.batch_writer(f"{tmp_path}/out")))
+    got = {r.key.key: r.value.n for r in runs.state_of(spark, ckpt, variable="n").collect()}
+    assert got == {**{str(i): 2 for i in range(1, 300)}, None: 52, "7": 102, "old": 5}
+    assert spark.read.format("statestore").option("stateVarName", "n").load(ckpt).count() <= 4
