@@ -16,6 +16,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,7 +29,7 @@ from pyspark.sql.types import IntegerType, StructType
 from statekit.sources import stores
 from statekit.streaming import runs
 
-FILE_ROWS = 8_000_000
+FILE_ROWS = 1_000_000
 GROUPS_A_BATCH = 8
 INDEX = "batch int, file string, row_group int, rows long, lo long, hi long, min_us long, max_us long"
 
@@ -45,14 +47,17 @@ class Log:
 def arrange(df: DataFrame, path: str, seq: str, parts: int, ts: str | None = None) -> Log:
     """Write ``df`` in the order of ``seq``, to be delivered in ``parts`` batches or a few more.
 
-    The log is read once for its rows and once for the sequence numbers that the sort samples and counts. Every row needs
-    one. ``ts`` names the event time whose bounds the index keeps.
+    Files are cut at exact ranks, so that each holds whole row groups and batches are those of a single sorted file, while a
+    task sorts about ``FILE_ROWS`` rows (or a row group, if that is larger). The log is read once for its rows and, if it
+    needs several files, for its sequence numbers. Every row needs one. ``ts`` names the event time whose bounds the index keeps.
     """
     spark = df.sparkSession
     rows = df.count()
     per_batch = max(1, rows // parts)
     per_group = max(1, per_batch // GROUPS_A_BATCH)
-    sorted_ = df.repartitionByRange(max(1, rows // FILE_ROWS), seq).sortWithinPartitions(seq)
+    cuts = at_ranks(df, f"{path}/ranks", seq, -(-FILE_ROWS // per_group) * per_group, rows)
+    by_file = df.withColumn("_file", file_of(cuts)(F.col(seq))).repartitionById(len(cuts) + 1, F.col("_file")) if cuts else df.coalesce(1)
+    sorted_ = by_file.sortWithinPartitions(seq).drop("_file")
     sorted_.write.option("parquet.block.row.count.limit", per_group).parquet(f"{path}/data")
     groups = stores.row_groups(spark, f"{path}/data", [seq] + ([ts] if ts else []))
     times = [F.col(f"{ts}.{c}") if ts else F.lit(None).cast("long") for c in ("lo", "hi")]
@@ -74,6 +79,37 @@ def arrange(df: DataFrame, path: str, seq: str, parts: int, ts: str | None = Non
     return Log(path, df.schema.json(), 0 if found["top"] is None else found["top"] + 1, found["rows"] or 0)
 
 
+def at_ranks(df: DataFrame, path: str, seq: str, step: int, rows: int) -> list[int]:
+    """The sequence numbers at the ranks ``step``, 2 ``step``, ... of the order; their sorted numbers lie below ``path``."""
+    if rows <= step:
+        return []
+    spark = df.sparkSession
+    df.where(F.col(seq).isNotNull()).select(seq).repartitionByRange(-(-rows // step), seq).sortWithinPartitions(seq).write.parquet(path)
+    groups = stores.row_groups(spark, path, [seq]).select("file", "row_group", "rows", f"{seq}.lo", f"{seq}.hi")
+    before = F.sum("rows").over(Window.orderBy("lo", "hi", "file", "row_group")) - F.col("rows")
+    first = F.greatest(F.lit(1), F.ceil(before / step)) * step
+    wanted = groups.select("file", "row_group", "rows", before.alias("before"), first.alias("first")).where("first < before + rows")
+    wanted = wanted.select("file", "row_group", F.explode(F.sequence(F.col("first"), F.col("before") + F.col("rows") - 1, F.lit(step))).alias("rank"), "before")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (file, group), some in pdf.groupby(["file", "row_group"]):
+                numbers = stores.parquet(file).read_row_group(int(group), columns=[seq]).column(seq).to_numpy()
+                yield pd.DataFrame({"cut": numbers[(some["rank"] - some["before"]).to_numpy()]})
+
+    # As many numbers as there are files.
+    return sorted({r["cut"] for r in wanted.mapInPandas(read, "cut long").collect()})
+
+
+def file_of(cuts: list[int]):
+    @F.pandas_udf("int")
+    def number(seqs: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, seqs.to_numpy(), "right").astype(np.int32))
+
+    edges = np.array(cuts)
+    return number
+
+
 def index(spark: SparkSession, log: Log) -> DataFrame:
     return spark.read.parquet(f"{log.path}/index").drop("nulls")
 

@@ -140,3 +140,25 @@ def test_tier_trace_survives_a_rescale(spark, tmp_path):
     assert {r.key: r.cold for r in seed if r.key != "end"} == {"hot": 14, "A": 3, "B": 3}
     due = {r.key: r.due_ms - SHIFT for r in runs.pending_timers(spark, ckpt).collect()}
     assert due == {"end": 60_100}
+
+
+@pytest.mark.parametrize("file_rows", [50, 130])
+def test_many_files_make_the_batches_of_one(spark, tmp_path, monkeypatch, file_rows):
+    """Files are cut at exact ranks: each batch has the same rows, however many files the log takes, and no file is large."""
+    odd = numbered(spark, 1003).withColumn("seq", F.col("seq") * F.col("seq"))  # far apart at the end
+    shape = lambda log: [tuple(r) for r in ordered.index(spark, log).groupBy("batch").agg(F.min("lo"), F.max("hi"), F.sum("rows")).sort("batch").collect()]
+    want = shape(ordered.arrange(odd, f"{tmp_path}/one", "seq", 6))
+    monkeypatch.setattr(ordered, "FILE_ROWS", file_rows)
+    many = ordered.arrange(odd, f"{tmp_path}/many", "seq", 6)
+    assert shape(many) == want and len(want) >= 6
+    files = ordered.index(spark, many).groupBy("file").agg(F.sum("rows").alias("rows")).collect()
+    assert len(files) > 5 and max(f.rows for f in files) <= file_rows + 20
+
+
+def test_many_files_with_equal_numbers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordered, "FILE_ROWS", 40)
+    df = spark.range(500).select(F.when(F.col("id") < 300, 5).otherwise(F.col("id")).cast("long").alias("seq"))
+    log = ordered.arrange(df.repartition(3), f"{tmp_path}/log", "seq", 10)
+    assert log.rows == 500 and sorted(r.seq for r in spark.read.parquet(f"{log.path}/data").collect()) == [5] * 300 + list(range(300, 500))
+    bounds = ordered.index(spark, log).groupBy("batch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).sort("batch").collect()
+    assert all(a.hi < b.lo for a, b in zip(bounds, bounds[1:], strict=False))
