@@ -223,8 +223,14 @@ def by_key(rows: DataFrame) -> DataFrame:
 
 
 def collection(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
-    """The entries of a map that a query keeps as state, one row each: the grouping key's columns, ``entry`` and ``at``."""
+    """The entries of a collection that a query keeps as state, one row each: the grouping key's columns, ``entry`` and ``at``.
+
+    Those of a map are its key and value; a collection kept as arrays has the whole entry for both.
+    """
     rows = spark.read.format("statestore").option("stateVarName", variable).option("flattenCollectionTypes", "true").load(checkpoint)
+    if "value" in rows.columns:
+        arrays = F.arrays_zip(*[F.col(f"value.{n}") for n in rows.schema["value"].dataType.fieldNames()])
+        return rows.select("key.*", F.explode(arrays).alias("entry")).withColumn("at", F.col("entry"))
     return rows.select("key.*", F.col("user_map_key").alias("entry"), F.col("user_map_value").alias("at"))
 
 

@@ -339,7 +339,8 @@ def seen_once(stream: DataFrame, columns: list[str], width: int = SHARD_WIDTH) -
     """Each position ``(db_id, seq)`` once, however far apart its copies arrive: no clock and no delay to be set.
 
     The state of a shard of ``width`` neighbouring positions is the set of intervals that have been seen, so a shard that is
-    complete takes one row and any other one row more for each gap. Shards are cut by position, so a hot key is spread over them.
+    complete takes one interval and any other one more for each gap. They are one row of arrays, read and written by one call
+    each and bounded by ``width``. Shards are cut by position, so a hot key is spread over them.
     ``columns`` come out; a row without a position has no copies and passes.
     """
     import numpy as np
@@ -355,16 +356,16 @@ def seen_once(stream: DataFrame, columns: list[str], width: int = SHARD_WIDTH) -
 
     class SeenOnce(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.spans = handle.getMapState("spans", "lo long", "hi long")
+            self.spans = handle.getValueState("spans", "lo array<bigint>, hi array<bigint>")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             if not key[1]:
                 for pdf in rows:
                     yield pdf[columns]
                 return
-            held = dict((lo[0], hi[0]) for lo, hi in self.spans.iterator())
-            lo = np.array(sorted(held), np.int64)
-            hi = np.array([held[x] for x in sorted(held)], np.int64)
+            held = self.spans.get() or ([], [])
+            lo, hi = (np.array(x, np.int64) for x in held)
+            before = lo, hi
             for pdf in rows:
                 pdf = pdf.drop_duplicates("place")
                 seqs = pdf["place"].to_numpy(np.int64)
@@ -373,12 +374,8 @@ def seen_once(stream: DataFrame, columns: list[str], width: int = SHARD_WIDTH) -
                 known[known] = seqs[known] <= hi[at[known]]
                 lo, hi = merged(lo, hi, seqs[~known])
                 yield pdf[~known][columns]
-            now = dict(zip(lo.tolist(), hi.tolist(), strict=True))
-            for gone in held.keys() - now.keys():
-                self.spans.removeKey((gone,))
-            for start, end in now.items():
-                if held.get(start) != end:
-                    self.spans.updateValue((start,), (end,))
+            if not (np.array_equal(lo, before[0]) and np.array_equal(hi, before[1])):
+                self.spans.update((lo.tolist(), hi.tolist()))
 
         def close(self) -> None:
             pass

@@ -120,3 +120,12 @@ def test_sketches_merge_in_any_order(spark):
     for r in got:
         assert r.n == 10_000 and r.p10_below <= 0.1 + error and r.p10_upto >= 0.1 - error and r.p90_below <= 0.9 + error and r.p90_upto >= 0.9 - error
     assert {r.n for r in whole.select(sketches.rows().alias("n")).collect()} == {10_000}
+
+
+def test_a_shard_of_many_gaps_is_one_row(spark, tmp_path):
+    """Every second position, twice over: as many intervals as positions, but a row of state a shard."""
+    batches = [[("d", s, "", 1) for s in range(0, 2000, 2)]] * 2
+    out, ckpt = fed(spark, tmp_path, batches, lambda s: state.seen_once(s, ["seq"], 1024), SEEN, mode="append")
+    assert sorted(r.seq for r in spark.read.parquet(out).collect()) == list(range(0, 2000, 2))
+    assert runs.collection(spark, ckpt, "spans").count() == 1000
+    assert spark.read.format("statestore").option("stateVarName", "spans").option("flattenCollectionTypes", "true").load(ckpt).count() == 2
