@@ -287,7 +287,7 @@ def stream_set(spark, sf_dir):
     """Sets of the keys kept as stream state, one entry an element, through a failure after batch 1."""
     own, log_, ckpt = own_session(spark, sf_dir), arranged(spark, sf_dir, 4), session.work_path(spark, "ckpt")
     write = runs.failing_after(runs.batch_writer(session.work_path(spark, "out")), 1)
-    sets = lambda rows: state.live_set(state.set_operands(t.as_op_log(t.as_events(rows)), F.get_json_object("props", "$.k")))
+    sets = lambda rows: state.live_set(state.set_operands(t.as_op_log(t.as_events(rows)), F.get_json_object("props", "$.k")), buckets=runs.state_buckets(log_.rows))
     fed_in_order(own, log_, lambda rows: begin(sets(rows), ckpt, write))
     return runs.collection(spark, ckpt, "elements").select("db_id", "key", F.col("entry.element").alias("element"))
 

@@ -231,7 +231,9 @@ def collection(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame
     if "value" in rows.columns:
         arrays = F.arrays_zip(*[F.col(f"value.{n}") for n in rows.schema["value"].dataType.fieldNames()])
         return rows.select("key.*", F.explode(arrays).alias("entry")).withColumn("at", F.col("entry"))
-    return rows.select("key.*", F.col("user_map_key").alias("entry"), F.col("user_map_value").alias("at"))
+    outer = rows.schema["key"].dataType.fieldNames()
+    inner = [F.col(f"user_map_key.{n}") for n in ("db_id", "key") if n not in outer and n in rows.schema["user_map_key"].dataType.fieldNames()]
+    return rows.select("key.*", *inner, F.col("user_map_key").alias("entry"), F.col("user_map_value").alias("at"))
 
 
 def pending_timers(spark: SparkSession, checkpoint: str) -> DataFrame:

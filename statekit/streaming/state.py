@@ -284,47 +284,54 @@ def set_operands(ops: DataFrame, element: Column) -> DataFrame:
     return rows.mapInPandas(shrink, "db_id string, key string, element string, seq long, base long")
 
 
-def live_set(operands: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def live_set(operands: DataFrame, ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The set of every key as stream state, from :func:`set_operands`: one entry per element, so no set must fit in a row.
 
     An element lives while its newest position is not before the key's newest base, so rows may come in any order and any
     number of times. With ``ttl_ms`` an element goes that long after its last write (wall clock), each by itself. Emits
-    ``(db_id, key, element, live)`` for elements that come and go; the state reader shows the sets (``elements``).
+    ``(db_id, key, element, live)`` for elements that come and go; the state reader shows the sets (``elements``). Keys share
+    ``buckets`` groups, fixed by a query's first batch: a group's entries are read together, and only those that change written.
     """
 
     class LiveSet(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.base = handle.getValueState("base", "seq long")
-            self.elements = handle.getMapState("elements", "element string", "seq long", ttlDurationMs=ttl_ms)
+            self.base = handle.getValueState("base", "db_id array<string>, key array<string>, seq array<bigint>")
+            self.elements = handle.getMapState("elements", "db_id string, key string, element string", "seq long", ttlDurationMs=ttl_ms)
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             held = self.base.get()
-            before = base = held[0] if held else None
-            newest: dict[str, int] = {}
-            for row in rows:
-                if row.base is not None:
-                    base = row.base if base is None else max(base, row.base)
-                else:
-                    newest[row.element] = max(row.seq, newest.get(row.element, row.seq))
+            before = dict(zip(zip(held[0], held[1], strict=True), held[2], strict=True)) if held else {}
+            base, newest = dict(before), {}
+            for pdf in rows:
+                columns = [plain(pdf[c]) for c in ("db_id", "key", "element", "seq", "base")]
+                for d, k, element, seq, cleared in zip(*columns, strict=True):
+                    if cleared is not None:
+                        base[d, k] = max(int(cleared), base.get((d, k), int(cleared)))
+                    else:
+                        newest[d, k, element] = max(int(seq), newest.get((d, k, element), int(seq)))
             if base != before:
-                self.base.update((base,))
-                stale = [e[0] for e, at in self.elements.iterator() if at[0] < base and newest.get(e[0], -1) < base]
-                for element in stale:
-                    self.elements.removeKey((element,))
-                    yield Row(db_id=key[0], key=key[1], element=element, live=False)
-            for element, seq in newest.items():
-                if base is not None and seq < base:
+                self.base.update(([x[0] for x in base], [x[1] for x in base], list(base.values())))
+            out, known = [], {tuple(e): at[0] for e, at in self.elements.iterator()}
+            moved = {x for x, at in base.items() if before.get(x) != at}
+            for e, at in known.items():
+                if e[:2] in moved and max(at, newest.get(e, at)) < base[e[:2]]:
+                    self.elements.removeKey(e)
+                    out.append((*e, False))
+            for e, seq in newest.items():
+                if seq < base.get(e[:2], seq):
                     continue
-                known = self.elements.containsKey((element,))
-                if not known or self.elements.getValue((element,))[0] < seq:
-                    self.elements.updateValue((element,), (seq,))
-                if not known:
-                    yield Row(db_id=key[0], key=key[1], element=element, live=True)
+                if e not in known or known[e] < seq:
+                    self.elements.updateValue(e, (seq,))
+                if e not in known:
+                    out.append((*e, True))
+            yield pd.DataFrame(out, columns=["db_id", "key", "element", "live"])
 
         def close(self) -> None:
             pass
 
-    return operands.groupBy("db_id", "key").transformWithState(
+    numbers = {c: F.col(c).cast("string") for c in ("seq", "base")}  # pandas turns whole numbers beside nulls into floats
+    grouped = operands.withColumns(numbers).withColumn("bucket", F.pmod(F.xxhash64("db_id", "key"), F.lit(buckets)))
+    return grouped.groupBy("bucket").transformWithStateInPandas(
         LiveSet(),
         outputStructType="db_id string, key string, element string, live boolean",
         outputMode="Update",

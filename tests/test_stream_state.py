@@ -129,3 +129,13 @@ def test_a_shard_of_many_gaps_is_one_row(spark, tmp_path):
     assert sorted(r.seq for r in spark.read.parquet(out).collect()) == list(range(0, 2000, 2))
     assert runs.collection(spark, ckpt, "spans").count() == 1000
     assert spark.read.format("statestore").option("stateVarName", "spans").option("flattenCollectionTypes", "true").load(ckpt).count() == 2
+
+
+def test_sets_share_buckets(spark, tmp_path):
+    """400 keys in 4 groups: every key has its own set, and the positions of their puts take a row of state a group."""
+    first = [("d", f"k{i}", "put", "x", 2 * i) for i in range(400)] + [("d", f"k{i}", "merge", "y", 2 * i + 1) for i in range(400)]
+    shape = lambda s: state.live_set(state.set_operands(s, F.col("element")), buckets=4)
+    _, ckpt = fed(spark, tmp_path, [first, [("d", "k7", "delete", None, 1000), ("d", "k8", "put", "z", 1001)]], shape, OPS)
+    got = {(r.key, r.entry.element) for r in runs.collection(spark, ckpt, "elements").collect()}
+    assert got == {(f"k{i}", e) for i in range(400) if i not in (7, 8) for e in "xy"} | {("k8", "z")}
+    assert spark.read.format("statestore").option("stateVarName", "base").load(ckpt).count() <= 4
