@@ -60,3 +60,32 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, "a"), (1, "b c"), (1, "b c"), (1, "d")], "doc_id long, text string")
     got = op.pack(spark, df, PATH).collect()
     assert sorted((p.doc_id or 0, p.doc_tokens) for p in got if p.start == 0) == [(0, 2), (1, 2), (1, 3)]
+
+
+def test_pieces_are_encoded_together(monkeypatch):
+    tokenizer, bare, *rest, cache = op.encoder(PATH)
+    calls = []
+
+    class Counting:
+        def encode(self, *args, **options):
+            calls.append(1)
+            return bare.encode(*args, **options)
+
+    cache.clear()
+    monkeypatch.setattr(op, "encoder", lambda path: (tokenizer, Counting(), *rest, cache))
+    r = random.Random(4)
+    signs = [*map(chr, range(256)), *"stmdrevel''' 0½" * 20, "'ll", "'RE"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 90))) for _ in range(2000)]
+    texts += ["", "a’s Σ", "<|endoftext|>'s", "word " * 300_000 + "x" * 40, "é" * 3000]
+    got = op.encode(PATH, texts)
+    assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) < 500
+
+
+def test_a_full_cache_starts_again(monkeypatch):
+    monkeypatch.setattr(op, "CACHE", 50)
+    tokenizer = op.encoder(PATH)[0]
+    for k in range(5):
+        text = " ".join(f"word{chr(97 + i)}{chr(97 + k)}" for i in range(20))
+        assert op.encode(PATH, [text, text])[1].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(op.encoder(PATH)[-1]) <= 50
