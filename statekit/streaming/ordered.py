@@ -48,17 +48,20 @@ def arrange(df: DataFrame, path: str, seq: str, parts: int, ts: str | None = Non
     """Write ``df`` in the order of ``seq``, to be delivered in ``parts`` batches or a few more.
 
     Files are cut at exact ranks, so that each holds whole row groups and batches are those of a single sorted file, while a
-    task sorts about ``FILE_ROWS`` rows (or a row group, if that is larger). The log is read once for its rows and, if it
-    needs several files, for its sequence numbers. Every row needs one. ``ts`` names the event time whose bounds the index keeps.
+    task sorts about ``FILE_ROWS`` rows: a row group of more rows is cut into files of its own, which stay in one batch. The log is
+    read once for its rows and, if it needs several files, for its sequence numbers. Every row needs one. ``ts`` names the event time whose bounds the index keeps.
     """
     spark = df.sparkSession
     rows = df.count()
     per_batch = max(1, rows // parts)
     per_group = max(1, per_batch // GROUPS_A_BATCH)
-    cuts = at_ranks(df, f"{path}/ranks", seq, -(-FILE_ROWS // per_group) * per_group, rows)
+    split = -(-per_group // FILE_ROWS)
+    step = per_group * max(1, -(-FILE_ROWS // per_group))
+    part = -(-per_group // split) if split > 1 else step
+    cuts = at_ranks(df, f"{path}/ranks", seq, step, part, rows)
     by_file = df.withColumn("_file", file_of(cuts)(F.col(seq))).repartitionById(len(cuts) + 1, F.col("_file")) if cuts else df.coalesce(1)
     sorted_ = by_file.sortWithinPartitions(seq).drop("_file")
-    sorted_.write.option("parquet.block.row.count.limit", per_group).parquet(f"{path}/data")
+    sorted_.write.option("parquet.block.row.count.limit", min(part, per_group)).parquet(f"{path}/data")
     groups = stores.row_groups(spark, f"{path}/data", [seq] + ([ts] if ts else []))
     times = [F.col(f"{ts}.{c}") if ts else F.lit(None).cast("long") for c in ("lo", "hi")]
     groups = groups.select("file", "row_group", "rows", f"{seq}.lo", f"{seq}.hi", F.col(f"{seq}.nulls").alias("nulls"), times[0].alias("min_us"), times[1].alias("max_us"))
@@ -66,7 +69,8 @@ def arrange(df: DataFrame, path: str, seq: str, parts: int, ts: str | None = Non
     order = Window.orderBy("lo", "file", "row_group")
     before = F.sum("rows").over(order) - F.col("rows")
     fresh = F.coalesce(F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    numbered = groups.select("*", F.floor(before / per_batch).alias("_at"), fresh.alias("_fresh"))
+    begun = F.floor(before / per_group) * per_group if split > 1 else before  # the files of one row group go together
+    numbered = groups.select("*", F.floor(begun / per_batch).alias("_at"), fresh.alias("_fresh"))
     # A row group that shares a number with the one before stays in its batch.
     batch = F.max(F.when(F.col("_fresh"), F.col("_at"))).over(order)
     numbered = numbered.withColumn("_batch", batch).withColumn("batch", F.dense_rank().over(Window.orderBy("_batch")) - 1)
@@ -79,17 +83,19 @@ def arrange(df: DataFrame, path: str, seq: str, parts: int, ts: str | None = Non
     return Log(path, df.schema.json(), 0 if found["top"] is None else found["top"] + 1, found["rows"] or 0)
 
 
-def at_ranks(df: DataFrame, path: str, seq: str, step: int, rows: int) -> list[int]:
-    """The sequence numbers at the ranks ``step``, 2 ``step``, ... of the order; their sorted numbers lie below ``path``."""
-    if rows <= step:
+def at_ranks(df: DataFrame, path: str, seq: str, step: int, part: int, rows: int) -> list[int]:
+    """The sequence numbers at the ranks ``step``, 2 ``step``, ... of the order, and at every ``part`` ranks after each of these;
+    their sorted numbers lie below ``path``."""
+    if rows <= part:
         return []
     spark = df.sparkSession
-    df.where(F.col(seq).isNotNull()).select(seq).repartitionByRange(-(-rows // step), seq).sortWithinPartitions(seq).write.parquet(path)
+    df.where(F.col(seq).isNotNull()).select(seq).repartitionByRange(-(-rows // part), seq).sortWithinPartitions(seq).write.parquet(path)
     groups = stores.row_groups(spark, path, [seq]).select("file", "row_group", "rows", f"{seq}.lo", f"{seq}.hi")
     before = F.sum("rows").over(Window.orderBy("lo", "hi", "file", "row_group")) - F.col("rows")
-    first = F.greatest(F.lit(1), F.ceil(before / step)) * step
-    wanted = groups.select("file", "row_group", "rows", before.alias("before"), first.alias("first")).where("first < before + rows")
-    wanted = wanted.select("file", "row_group", F.explode(F.sequence(F.col("first"), F.col("before") + F.col("rows") - 1, F.lit(step))).alias("rank"), "before")
+    wanted = groups.select("file", "row_group", "rows", before.alias("before"), (F.floor(before / step) * step).alias("first"))
+    wanted = wanted.withColumn("base", F.explode(F.sequence(F.col("first"), F.col("before") + F.col("rows") - 1, F.lit(step))))
+    wanted = wanted.withColumn("rank", F.explode(F.sequence(F.col("base"), F.col("base") + step - 1, F.lit(part))))
+    wanted = wanted.where("rank > 0 AND rank >= before AND rank < before + rows").select("file", "row_group", "rank", "before")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

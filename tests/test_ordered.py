@@ -162,3 +162,18 @@ def test_many_files_with_equal_numbers(spark, tmp_path, monkeypatch):
     assert log.rows == 500 and sorted(r.seq for r in spark.read.parquet(f"{log.path}/data").collect()) == [5] * 300 + list(range(300, 500))
     bounds = ordered.index(spark, log).groupBy("batch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).sort("batch").collect()
     assert all(a.hi < b.lo for a, b in zip(bounds, bounds[1:], strict=False))
+
+
+@pytest.mark.parametrize("n", [1000, 1003])
+def test_a_large_row_group_is_cut_into_files(spark, tmp_path, monkeypatch, n):
+    """No task sorts more than FILE_ROWS rows, however few batches are asked for, and the batches stay the same."""
+    def batches(name):
+        log = ordered.arrange(numbered(spark, n), f"{tmp_path}/{name}", "seq", 2, "ts")
+        rows = ordered.index(spark, log)
+        return rows.groupBy("batch").agg(F.sum("rows").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).sort("batch").collect(), rows
+
+    whole, _ = batches("whole")
+    monkeypatch.setattr(ordered, "FILE_ROWS", 20)
+    cut, rows = batches("cut")
+    assert cut == whole
+    assert max(r.rows for r in rows.groupBy("file").agg(F.sum("rows").alias("rows")).collect()) <= 20
