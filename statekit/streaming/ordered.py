@@ -48,7 +48,7 @@ def arrange(df: DataFrame, path: str, seq: str, parts: int, ts: str | None = Non
     """Write ``df`` in the order of ``seq``, to be delivered in ``parts`` batches or a few more.
 
     Files are cut at exact ranks, so that each holds whole row groups and batches are those of a single sorted file, while a
-    task sorts about ``FILE_ROWS`` rows: a row group of more rows is cut into files of its own, which stay in one batch. The log is
+    task sorts less than twice ``FILE_ROWS`` rows: a row group of more rows is cut into files of its own, which stay in one batch. The log is
     read once for its rows and, if it needs several files, for its sequence numbers. Every row needs one. ``ts`` names the event time whose bounds the index keeps.
     """
     spark = df.sparkSession
